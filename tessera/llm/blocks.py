@@ -15,7 +15,6 @@ covers the loss of any executor because block ids follow from content.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.components import cut, shared_dir  # noqa: F401
+
 #: Text bytes worked on at a time; NumPy temporaries are some dozens of times that.
 SLICE_BYTES = 3 << 20
 #: Text bytes of a block.
@@ -41,26 +42,6 @@ _LOWER[65:91] += 32
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (a test) gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
