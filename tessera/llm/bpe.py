@@ -20,47 +20,41 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.token_counts import chunk_text, chunks_of
 
-#: Encoded chunks that a worker remembers.
-REMEMBERED = 400_000
+#: Encoded matches, and chunks of them, that a worker remembers at least (twice as many at most).
+REMEMBERED = 500_000
 IDS = "doc_id long, ids array<int>"
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class RankQueue:
-    """Positions by rank; the lowest rank first, and within a rank the leftmost position."""
+    """Buckets of positions (heaps: the leftmost first) by rank, under three levels of bitmaps.
+
+    A bit of ``low`` stands for a bucket, one of ``mid`` for a word of ``low``; the few words of
+    ``mid`` have their bits in a top word that the encoder keeps.  Empty between two matches.
+    """
 
     def __init__(self, ranks: int):
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.low = [0] * (ranks // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
-        self.top = 0  # one bit for each word of mid
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            word = rank >> 6
-            self.low[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not (top := self.top):
-            return None
-        high = (top & -top).bit_length() - 1
-        mid = self.mid[high]
-        word = high << 6 | ((mid & -mid).bit_length() - 1)
-        low = self.low[word]
-        rank = word << 6 | ((low & -low).bit_length() - 1)
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[high] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top = top & (top - 1)
-        return rank, position
+
+
+class Memory(dict):
+    """Values of a function; those not asked for during the last REMEMBERED new ones are forgotten."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function, self.older = function, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -72,38 +66,62 @@ class Encoder:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.queue = RankQueue(len(self.bytes_of))
-        self.known: dict[str, bytes] = {}
+        self.matches = Memory(lambda m: array("I", self.merge(m.encode("utf-8"))).tobytes())
+        self.chunks = Memory(lambda c: self._packed(chunk_text(c)))
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one match of the pattern."""
+        """The ids of one match of the pattern.
+
+        The queue's push and pop stand in line here: they run some dozen times for each word.
+        """
         get, queue, n = self.ranks.get, self.queue, len(piece)
         if (whole := get(piece)) is not None:
             return [whole]
+        buckets, low, mid, top = queue.buckets, queue.low, queue.mid, 0
         after, before = list(range(1, n + 1)), list(range(-1, n))
         waiting = [-1] * (n + 1)  # the rank under which a position waits now
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                waiting[i] = rank
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, at = found
-            if waiting[at] != rank:
-                continue
+        fresh = [(i, get(piece[i : i + 2])) for i in range(n - 1)]
+        while True:
+            for at, rank in fresh:
+                if rank is None:
+                    continue
+                waiting[at] = rank
+                bucket = buckets[rank]
+                if not bucket:
+                    word = rank >> 6
+                    low[word] |= 1 << (rank & 63)
+                    mid[word >> 6] |= 1 << (word & 63)
+                    top |= 1 << (word >> 6)
+                heappush(bucket, at)
+            # the leftmost position of the lowest rank
+            found = False
+            while top and not found:
+                high = (top & -top).bit_length() - 1
+                level = mid[high]
+                word = high << 6 | ((level & -level).bit_length() - 1)
+                level = low[word]
+                rank = word << 6 | ((level & -level).bit_length() - 1)
+                bucket = buckets[rank]
+                at = heappop(bucket)
+                found = waiting[at] == rank  # else it is stale
+                if not bucket:
+                    low[word] = level = level & (level - 1)
+                    if not level:
+                        mid[high] = level = mid[high] & (mid[high] - 1)
+                        if not level:
+                            top &= top - 1
+            if not found:
+                break
             gone = after[at]
             end = after[gone]
             after[at] = end
             before[end] = at
             waiting[gone] = waiting[at] = -1
-            if end < n and (rank := get(piece[at : after[end]])) is not None:
-                waiting[at] = rank
-                push(rank, at)
+            fresh = [(at, get(piece[at : after[end]]))] if end < n else []
             left = before[at]
             if left >= 0:
-                rank = get(piece[left:end])
-                waiting[left] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, left)
+                waiting[left] = -1
+                fresh.append((left, get(piece[left:end])))
         out, at = [], 0
         while at < n:
             out.append(self.ranks[piece[at : after[at]]])
@@ -114,23 +132,14 @@ class Encoder:
         return [i for m in self.find(text) for i in self.merge(m.encode("utf-8"))]
 
     def _packed(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+        return b"".join([self.matches[m] for m in self.find(text)])
 
     def encode_packed(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit integers; chunks met before are looked up."""
+        """Ids as unsigned 32-bit integers; chunks and matches met before are looked up."""
         found = chunks_of(text) if text else None
         if found is None:
             return self._packed(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join([known[c] for c in found])
-        except KeyError:
-            for c in found:
-                if c not in known:
-                    known[c] = self._packed(chunk_text(c))
-            return b"".join([known[c] for c in found])
+        return b"".join(map(self.chunks.__getitem__, found))
 
     def decode(self, ids) -> bytes:
         table = self.bytes_of
