@@ -35,8 +35,10 @@ ROUNDS, COST = 3, 4.0
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
-_CODE[48:58] = 27
-_CODE[128:192] = 28 + (np.arange(64) & 3)
+_CODE[48:58] = np.arange(27, 37)
+_CODE[128:192] = 37 + np.arange(64) % 27
+#: Slots for subsequences: four 6-bit letters, hashed.
+SLOTS = 1 << 22
 _SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 #: The norm of a string of each length, all its subsequences taken as different.
 _NORM = np.sqrt([max(1e-9, sum(max(0, n - s[-1]) * DECAY ** (2 * (s[-1] + 1 - LENGTH)) for s in _SHAPES)) for n in range(WINDOW + 1)])
@@ -82,7 +84,8 @@ def subsequences(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> It
         here = np.flatnonzero(left > shape[-1])
         code = flat[here]
         for offset in shape[1:]:
-            code = code << 5 | flat[here + offset]
+            code = code << 6 | flat[here + offset]
+        code = ((code.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF) >> 10
         yield own[here], code, DECAY ** (shape[-1] + 1 - LENGTH)
 
 
@@ -107,9 +110,9 @@ class Strings:
 
     def kernel(self, landmarks: Strings) -> np.ndarray:
         """The normalised kernel of every string with every landmark."""
-        width, m = 1 << 5 * LENGTH, len(landmarks)
+        m = len(landmarks)
         codes = np.unique(np.concatenate([c for _, c, _ in subsequences(landmarks.letters, landmarks.start, landmarks.size)]))
-        slot = np.full(width, -1, np.int32)
+        slot = np.full(SLOTS, -1, np.int32)
         slot[codes] = np.arange(len(codes))
         table = np.zeros((len(codes), m), np.float32)
         for own, code, weight in subsequences(landmarks.letters, landmarks.start, landmarks.size):
@@ -152,29 +155,37 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's sigmoid: slope and offset, on smoothed targets."""
+def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Platt's sigmoid of a text's worst score: slope and offset, on smoothed targets."""
     n1, n0 = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
+    x, w = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        v = p * (1 - p) + 1e-6
-        g = np.array([((p - goal) * z).sum() + 1e-3 * a, (p - goal).sum()])
-        h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum()]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
-    return max(a, 1e-3), b
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + 1e-3 * np.eye(2), x.T @ (p - goal) + 1e-3 * w)
+        w = w - np.clip(step, -2, 2)
+    return np.array([max(w[0], 1e-3), w[1]])
+
+
+def _worst_scores(text: np.ndarray, found: np.ndarray, n: int, bias: float) -> np.ndarray:
+    """The highest score of each of ``n`` texts; at least ``bias``, a string's score without any subsequence."""
+    out = np.full(n, bias)
+    np.maximum.at(out, text, found)
+    return out
+
+
+def _sigmoid(z: np.ndarray, slopes: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slopes[0] * z + slopes[1], -30, 30)))
 
 
 class Model:
     """Weights of subsequences, the bias, and the sigmoid; ``constant`` is the score without a machine."""
 
-    def __init__(self, codes, weights, bias, slope, offset, constant=None):
-        self.codes, self.weights, self.bias, self.slope, self.offset, self.constant = codes, weights, bias, slope, offset, constant
+    def __init__(self, codes, weights, bias, slopes, constant=None):
+        self.codes, self.weights, self.bias, self.slopes, self.constant = codes, weights, bias, slopes, constant
 
     def table(self) -> np.ndarray:
-        out = np.zeros(1 << 5 * LENGTH)
+        out = np.zeros(SLOTS)
         out[self.codes] = self.weights
         return out
 
@@ -184,19 +195,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.0) / (len(y) + 1) if len(y) else 0.0
-        return Model(np.zeros(0, int), np.zeros(0), 0.0, 1.0, 0.0, float(rate))
+        return Model(np.zeros(0, int), np.zeros(0), 0.0, np.array([1.0, 0.0]), float(rate))
     rng = np.random.default_rng(seed)
     letters, start, size, text = units(*B.text_buffers(pa.array(texts, pa.string())))
     hashes = B.range_hashes(B.prefix_hashes(letters), start, start + size)
     _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     pool = Strings(letters, start[index], size[index])
-    pairs = np.unique(text.astype(np.int64) << 32 | inverse)
+    text_of, pairs = text, np.unique(text.astype(np.int64) << 32 | inverse)
     text, unit = pairs >> 32, pairs & 0xFFFFFFFF
     if not len(pool):
-        return Model(np.zeros(0, int), np.zeros(0), 0.0, 1.0, 0.0, float(y.mean()))
+        return Model(np.zeros(0, int), np.zeros(0), 0.0, np.array([1.0, 0.0]), float(y.mean()))
     toxic_texts, clean_texts = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     # first suspicion: log odds of a subsequence in toxic against clean texts
-    seen = np.zeros((2, 1 << 5 * LENGTH))
+    seen = np.zeros((2, SLOTS))
     for kind in (0, 1):
         rows = y[text] == kind
         often = np.bincount(unit[rows], minlength=len(pool)).astype(float)
@@ -229,23 +240,22 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
         values, vectors = np.linalg.eigh(landmarks.kernel(landmarks).astype(float))
         keep = values > 1e-5 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
+        often = np.minimum(frequent[rows], 50).astype(float)
         x = pool.take(rows).kernel(landmarks).astype(float) @ whiten
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        often = np.where(sign > 0, np.minimum(frequent[rows], 50), 1.0)
-        often[sign > 0] *= (sign < 0).sum() / often[sign > 0].sum()
+        for kind in (1, -1):
+            often[sign == kind] *= len(sign) / 2 / often[sign == kind].sum()
         w = _linear_svm(x, sign, often)
         alpha, bias = whiten @ w[:-1], float(w[-1])
-        table = np.zeros(1 << 5 * LENGTH)
+        table = np.zeros(SLOTS)
         for own, code, weight in subsequences(landmarks.letters, landmarks.start, landmarks.size):
             np.add.at(table, code, weight * (alpha / _NORM[landmarks.size])[own])
         machine = table, bias
         found = scores(table, bias, pool.letters, pool.start, pool.size)
     table, bias = machine
-    z = np.full(len(y), bias)
-    np.maximum.at(z, text, found[unit])
-    slope, offset = _logistic(z, y)
+    z = _worst_scores(text_of, found[inverse], len(y), bias)
     codes = np.flatnonzero(table)
-    return Model(codes, table[codes], bias, slope, offset)
+    return Model(codes, table[codes], bias, _logistic(z, y))
 
 
 def _worst(text: np.ndarray, unit: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,9 +291,8 @@ def _score(model: Model):
                             known, values = np.zeros(0, np.uint64), np.zeros(0)
                             place = np.zeros(len(hashes), np.int64)
                         known, values = np.insert(known, place[new], hashes[new]), np.insert(values, place[new], got[new])
-                        edge = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-                        z[text[edge]] = np.maximum(np.maximum.reduceat(got[inverse], edge), model.bias)
-                    score = 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30)))
+                        z = _worst_scores(text, got[inverse], batch.num_rows, model.bias)
+                    score = _sigmoid(z, model.slopes)
                 else:
                     score = np.full(batch.num_rows, model.constant)
                 yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(score)], names=["doc_id", "score"])
