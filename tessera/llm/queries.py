@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cover_tree, lm, near_dup, sharding, token_counts, toxicity
+from tessera.llm import bpe, cover_tree, decontaminate, lm, near_dup, sharding, token_counts, toxicity, warc
 from tessera.llm.blocks import crc_of_id
 
 
@@ -39,6 +39,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
@@ -46,6 +50,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,8 +67,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_top_k": op3_top_k,
     "op4_shards": op4_shards,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_decontaminate": op6_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
