@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cover_tree, decontaminate, lm, near_dup, sharding, token_counts, toxicity, warc
+from tessera.llm import bpe, cover_tree, decontaminate, lm, near_dup, repeats, sharding, token_counts, toxicity, warc
 from tessera.llm.blocks import crc_of_id
 
 
@@ -43,6 +43,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(table(spark, sf_dir, "documents"), length=200)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shards": op4_shards,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_decontaminate": op6_decontaminate,
+    "op7_repeats": op7_repeats,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
