@@ -58,11 +58,11 @@ class Forest:
         return True
 
 
-#: Edges a task contracts at a time.
-CONTRACT = 200_000
+#: Edges a task contracts at a time, and that one task may finish.
+CONTRACT, FINISH = 200_000, 400_000
 
 
-def _contract(batches):
+def contract(batches):
     """Edges of each stretch of a partition as stars around their smallest nodes."""
 
     def stars(us, vs):
@@ -83,6 +83,20 @@ def _contract(batches):
         yield stars(us, vs)
 
 
+def _finish(batches):
+    """Every node with its component, from all edges; for a bounded number of them."""
+    forest = Forest()
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.join(u, v)
+    nodes = list(forest.parent)
+    roots = [forest.root(x) for x in nodes]
+    every = {*roots} - {*nodes}
+    nodes, roots = nodes + sorted(every), roots + sorted(every)
+    for at in range(0, len(nodes), 50_000):
+        yield pa.record_batch([pa.array(nodes[at : at + 50_000], pa.int64()), pa.array(roots[at : at + 50_000], pa.int64())], names=["node", "component"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -96,18 +110,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, contracted: bool = False, finish: int = FINISH, rounds: int = 60) -> DataFrame:
     """Columns ``u`` and ``v`` (long) in; ``node`` and ``component`` (its smallest node) out.
 
     Loops and edges with a null end are left out, repeated edges count once, and nodes without an edge to
-    another node don't appear.
+    another node don't appear.  ``contracted`` says that :func:`contract` has been over the edges.  Once no more than
+    ``finish`` edges are left, one task's union-find ends the rounds early; the result is the same.
     """
     now = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    now = now.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(_contract, "u long, v long")
-    now, before = cut(now.distinct()), None
+    now = now.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    now, before = cut((now if contracted else now.mapInArrow(contract, "u long, v long")).distinct()), None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
+        if state[0] <= finish:
+            return cut(now.coalesce(1).mapInArrow(_finish, "node long, component long"))
+        if state == before:
             break
         before = state
         now = cut(_small_star(_large_star(now)))
