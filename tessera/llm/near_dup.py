@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
-from tessera.operators.components import connected_components, cut, spanning
+from tessera.operators.components import connected_components, contract, cut, spanning
 
 #: Minwise tokens of a document.
 TOKENS = 64
 #: Independent trees: a pair at the threshold stays together in one with probability above 1/2, so 14 miss
 #: fewer than one such pair in 10,000.
 TREES, DEPTH, DEEPER, ROUNDS = 14, 4, 4, 2
-#: Probability of a second token at a node.
+#: Probability of a second token at a node.  Below a node that is still large there is one token only: a large
+#: group's rows don't multiply, and its members are connected many times over.
 SECOND = 0.25
 #: Rows of a chunk, and of a small node.
 SMALL = 64
@@ -97,14 +98,17 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TOKENS)
 
 
-def _descend(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes reached ``levels`` further down; ``rows`` says whose tokens each entry follows."""
+def _descend(nodes: np.ndarray, rows: np.ndarray, tokens: np.ndarray, levels: int, second_token: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes reached ``levels`` further down; ``rows`` says whose tokens each entry follows.
+
+    ``second_token`` is the probability that a node picks two tokens.
+    """
     u = np.uint64
     for _ in range(levels):
         draw = B.mix(nodes + u(0x51ED270B))
         first = (draw % u(TOKENS)).astype(np.int64)
         second = (B.mix(draw) % u(TOKENS)).astype(np.int64)
-        also = ((draw >> u(32)).astype(np.float64) < SECOND * 2.0**32) & (second != first)
+        also = ((draw >> u(32)).astype(np.float64) < second_token * 2.0**32) & (second != first)
         children = [B.mix(B.chain(nodes, tokens[rows, first].astype(u)) + first.astype(u))]
         children.append(B.mix(B.chain(nodes[also], tokens[rows[also], second[also]].astype(u)) + second[also].astype(u)))
         nodes, rows = np.concatenate(children), np.concatenate([rows, rows[also]])
@@ -122,7 +126,7 @@ def _plant(batches):
             vertices, tokens = some.column("vertex").to_numpy(), _tokens(some.column("tokens"))
             rows = np.tile(np.arange(len(vertices)), TREES)
             roots = np.repeat(B.mix(np.arange(1, TREES + 1, dtype=np.uint64)), len(vertices))
-            yield _placed(*_descend(roots, rows, tokens, DEPTH), vertices)
+            yield _placed(*_descend(roots, rows, tokens, DEPTH, SECOND), vertices)
 
 
 def _branch(batches):
@@ -130,7 +134,7 @@ def _branch(batches):
         for at in range(0, batch.num_rows, 16384):
             some = batch.slice(at, 16384)
             nodes, vertices = some.column("node").to_numpy().view(np.uint64), some.column("vertex").to_numpy()
-            yield _placed(*_descend(nodes, np.arange(len(nodes)), _tokens(some.column("tokens")), DEEPER), vertices)
+            yield _placed(*_descend(nodes, np.arange(len(nodes)), _tokens(some.column("tokens")), DEEPER, 0.0), vertices)
 
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -210,6 +214,11 @@ def _compare_sketches(least: int):
     return run
 
 
+def _forest(edges_of):
+    """Edges contracted in the worker that finds them: a stage with two Python operators has twice the workers."""
+    return lambda batches: contract(edges_of(batches))
+
+
 def _sorted_map(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
     return df.repartition(B.partitions(df.sparkSession), keys[0]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -360,7 +369,8 @@ def _meet_chunks(left: DataFrame, right: DataFrame, compare) -> DataFrame:
     salts = 16
     left = left.withColumnRenamed("payload", "left_payload").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = right.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
-    return left.join(right, ["grp", "salt"]).select("left_payload", "payload").mapInArrow(compare, "u long, v long")
+    # a merge join keeps packing and comparing, both Python, in separate stages
+    return left.join(right.hint("merge"), ["grp", "salt"]).select("left_payload", "payload").mapInArrow(compare, "u long, v long")
 
 
 def _proposed(vertices: DataFrame, least: int) -> DataFrame:
@@ -372,7 +382,7 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
         sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1")
         shared = cut(placed.join(sizes, "node").select("node", "vertex", "n", "pivot"))
         few = shared.filter(F.col("n") <= SMALL).select("node", "vertex").join(sketches, "vertex")
-        edges.append(_sorted_map(few.select("node", "vertex", "sketch"), ["node"], _compare_sketches(least), "u long, v long"))
+        edges.append(_sorted_map(few.select("node", "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long"))
         many = shared.filter(F.col("n") > SMALL)
         if many.isEmpty():
             many = None
@@ -382,14 +392,14 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
     if many is not None:
         sizes = many.select("node", "n", "pivot").distinct()
         chunks = _in_chunks(many.select("node", "vertex"), sizes, "node").join(sketches, "vertex")
-        near = _sorted_map(chunks.select(F.col("chunk_key").alias("node"), "vertex", "sketch"), ["node"], _compare_sketches(least), "u long, v long")
+        near = _sorted_map(chunks.select(F.col("chunk_key").alias("node"), "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long")
         near = cut(near)
         edges.append(near)
-        labels = connected_components(near).select(F.col("node").alias("vertex"), F.col("component").alias("label"))
+        labels = connected_components(near, contracted=True).select(F.col("node").alias("vertex"), F.col("component").alias("label"))
         left, right = _cross_chunks(many.select("node", "vertex"), labels, sizes, "node")
         left, right = (x.select(F.col("node").alias("grp"), _chunk_key("node", F.col("chunk")).alias("chunk_key"), "vertex") for x in (left, right))
         left, right = (_sorted_map(x.join(sketches, "vertex").select("grp", "chunk_key", "vertex", "sketch"), ["chunk_key", "vertex"], _pack_sketches, "grp long, payload binary") for x in (left, right))
-        edges.append(_meet_chunks(left, right, _compare_pairs(least)))
+        edges.append(_meet_chunks(left, right, _forest(_compare_pairs(least))))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -412,7 +422,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     linkable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
     vertices = linkable.groupBy(F.col("key_a").alias("vertex")).agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("tokens").alias("tokens"))
     vertices = cut(vertices.select("vertex", "row.doc_id", "row.text_key", "tokens").mapInArrow(_narrow, "vertex long, doc_id long, text_key long, tokens binary, sketch binary"))
-    candidates = connected_components(_proposed(vertices, least_agreement(percent / 100)))
+    candidates = connected_components(_proposed(vertices, least_agreement(percent / 100)), contracted=True)
     members = candidates.select(F.col("component").alias("grp"), F.col("node").alias("vertex"))
     members = cut(members.join(vertices.select("vertex", "doc_id", "text_key"), "vertex"))
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot"))
@@ -422,12 +432,12 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     chunked = _in_chunks(large, large_sizes, "grp").select("chunk_key", "vertex")
     placed = small.unionByName(chunked).join(members.select("vertex", "doc_id", "text_key"), "vertex")
     texts = docs.join(placed, ["doc_id", "text_key"]).select("chunk_key", "vertex", "text")
-    links = cut(_sorted_map(texts, ["chunk_key", "vertex"], _confirm(shingle_words, percent), "u long, v long"))
+    links = cut(_sorted_map(texts, ["chunk_key", "vertex"], _forest(_confirm(shingle_words, percent)), "u long, v long"))
     if not large_sizes.isEmpty():
-        labels = connected_components(links).select(F.col("node").alias("vertex"), F.col("component").alias("label"))
+        labels = connected_components(links, contracted=True).select(F.col("node").alias("vertex"), F.col("component").alias("label"))
         left, right = (_packed(x, docs, members, shingle_words) for x in _cross_chunks(large, labels, large_sizes, "grp"))
-        links = links.unionByName(_meet_chunks(left, right, _confirm_pairs(percent)))
-    found = cut(connected_components(links).withColumnRenamed("node", "vertex").join(vertices.select("vertex", "doc_id"), "vertex"))
+        links = links.unionByName(_meet_chunks(left, right, _forest(_confirm_pairs(percent))))
+    found = cut(connected_components(links, contracted=True).withColumnRenamed("node", "vertex").join(vertices.select("vertex", "doc_id"), "vertex"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = found.join(least, "component").select("vertex", "component_id")
     named = vertices.select("vertex", "doc_id").join(named, "vertex", "left").select(F.col("vertex").alias("key_a"), F.coalesce("component_id", "doc_id").alias("component_id"))
