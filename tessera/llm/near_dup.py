@@ -26,7 +26,7 @@ from tessera.operators.components import connected_components, contract, cut, sp
 TOKENS = 64
 #: Independent trees: a pair at the threshold stays together in one with probability above 1/2, so 14 miss
 #: fewer than one such pair in 10,000.
-TREES, DEPTH, DEEPER, ROUNDS = 14, 4, 4, 2
+TREES, DEPTH, DEEPER, ROUNDS = 14, 4, 4, 1
 #: Probability of a second token at a node.  Below a node that is still large there is one token only: a large
 #: group's rows don't multiply, and its members are connected many times over.
 SECOND = 0.25
