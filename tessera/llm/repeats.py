@@ -31,6 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.llm import blocks as B
 
 LENGTH, GRAM, HOT = 200, 50, 100_000
+#: Text bytes whose anchors are found at a time, and of a block.
+SLICE, BLOCK = 1 << 20, 6 << 20
 _TABLE2 = np.random.default_rng(77001).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,7 +57,10 @@ def anchors(body: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     if len(body) < length:
         return none, none, none, np.zeros(0, np.uint64)
     starts = np.arange(len(body) - gram + 1)
-    hashes = B.range_hashes(B.prefix_hashes(body), starts, starts + gram)
+    sums = B.prefix_hashes(body)
+    # as range_hashes, for all places at once
+    hashes = B.mix((sums[gram:] - sums[:-gram]) * B.powers(B._INVERSE, len(sums))[: len(starts)] + np.uint64(gram * B._MIX2 & (1 << 64) - 1))
+    del sums
     bits = max(23, int(len(body)).bit_length())
     keys = hashes >> np.uint64(bits) << np.uint64(bits) | starts.astype(np.uint64)
     anchor = (_sliding_least(keys, length - gram + 1) & np.uint64((1 << bits) - 1)).astype(np.int64)
@@ -75,7 +80,8 @@ def anchors(body: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
     first = np.flatnonzero(edge)
     last = np.append(first[1:], len(anchor)) - 1
     place = anchor[first]
-    return place, place - window[first], place - window[last], hashes[place]
+    # an anchor's hash is the least of many, so mix it once more before ranges are cut
+    return place, place - window[first], place - window[last], B.mix(hashes[place] + np.uint64(B._MULT))
 
 
 # --- merging ---------------------------------------------------------------------------------------
@@ -145,12 +151,14 @@ class LoserTree:
 
 def _square(body: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, back: bool = False) -> np.ndarray:
     """Strings as rows padded with zeros; ``back`` reads them from their ends."""
-    if not len(start) or not len(body):
-        return np.zeros((len(start), width), np.uint8)
-    step = np.arange(width)[None, :]
-    index = (start + size - 1)[:, None] - step if back else start[:, None] + step
-    inside = step < size[:, None]
-    return np.where(inside, body[np.where(inside, index, 0)], 0).astype(np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    step = np.arange(width, dtype=np.int32)[None, :]
+    for at in range(0, len(start) if len(body) else 0, 4096):
+        a, n = start[at : at + 4096, None].astype(np.int32), size[at : at + 4096, None].astype(np.int32)
+        inside = step < n
+        index = a + n - 1 - step if back else a + step
+        out[at : at + 4096] = np.where(inside, body[np.where(inside, index, 0)], 0)
+    return out
 
 
 def _sort(square: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -259,20 +267,20 @@ class Block:
     def removed(self, replies: list[bytes]) -> np.ndarray:
         """Which bytes go."""
         opened = [B.unpack(r) for r in replies]
-        starts = []
         width = -(-(self.length - self.gram + 1) // 8)
-        bits = np.concatenate([o[0] for o in opened]).reshape(-1, width) if opened else np.zeros((0, width), np.uint8)
-        if len(self.here):
-            row, offset = np.nonzero(np.unpackbits(bits[self.row_of], axis=1))
-            good = (offset >= self.least[self.here[row]]) & (offset <= self.most[self.here[row]])
-            starts.append((self.place[self.here[row]] - offset)[good])
+        bits = np.concatenate([o[0] for o in opened]).reshape(-1, width)
+        repeats = np.zeros(len(self.body) + self.length, bool)  # whether the window that begins here does
+        for at in range(0, len(self.here), 4096):
+            own = self.here[at : at + 4096]
+            row, offset = np.nonzero(np.unpackbits(bits[self.row_of[at : at + 4096]], axis=1))
+            own = own[row]
+            good = (offset >= self.least[own]) & (offset <= self.most[own])
+            repeats[(self.place[own] - offset)[good]] = True
         if len(self.hot_start):
-            starts.append(self.hot_start[np.concatenate([o[1] for o in opened])[self.hot_of] > 0])
-        gone = np.zeros(len(self.body) + 1, np.int32)
-        for s in starts:
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + self.length, -1)
-        return np.cumsum(gone[:-1]) > 0
+            repeats[self.hot_start[np.concatenate([o[1] for o in opened])[self.hot_of] > 0]] = True
+        before = np.cumsum(repeats, dtype=np.int32)
+        before[self.length :] -= before[: -self.length].copy()
+        return before[: len(self.body)] > 0
 
 
 def _how_often(hot: int):
@@ -349,12 +357,12 @@ def _blocks(length: int, gram: int, extra: list[str]):
             return pa.record_batch([pa.array([B.block_key(ordinal, payload)], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
         for whole in batches:
-            for batch in B.byte_slices(whole):
+            for batch in B.byte_slices(whole, limit=SLICE):
                 body, at = B.text_buffers(batch.column("text"))
                 others = batch.select(extra) if extra else None
                 held.append((batch.column("doc_id").cast(pa.int64()), body, at, *anchors(body, at, length, gram), others))
                 size += len(body) + 64 * batch.num_rows
-                if size >= B.BLOCK_BYTES // 2:
+                if size >= BLOCK:
                     yield block()
                     held, size = [], 0
         if held:
