@@ -280,7 +280,7 @@ def communities(links: DataFrame) -> DataFrame:
     part = string_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "a")
     weight = F.col("weight") if "weight" in links.columns else F.lit(1.0)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = _louvain(list(zip(pdf["a"], pdf["b"], pdf["weight"])))
         return pd.DataFrame({"n": list(found), "part": [f"{key[0]}/{c}" for c in found.values()]})
 

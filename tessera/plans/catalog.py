@@ -1,4 +1,8 @@
-"""Registered queries on the driver's tables, each with its SQL twin."""
+"""Registered queries: the package's operators on the driver's tables, each with its SQL twin where SQL has one.
+
+The tables hold no case data, so operators run on adapted inputs: suppliers and parts stand for devices
+and accounts, events for calls, parts for person records, trade between nations for transfers.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.functions import similarity as S
+from tessera.functions import text as X
+from tessera.operators import graph as G
+from tessera.operators import hashing as H
+from tessera.operators import windows as W
+from tessera.operators.components import cut, string_components
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
+def query(sql: str | None = None):
+    """Registers a function of a table reader under its own name."""
 
-def query(name: str, sql: str | None = None):
     def add(function):
-        QUERIES[name] = function
+        name = function.__name__
+        QUERIES[name] = lambda spark, sf_dir: function(lambda t: table(spark, sf_dir, t))
         if sql is not None:
             ORACLE_SQL[name] = sql
         return function
@@ -26,11 +40,607 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# --- aggregates and links --------------------------------------------------------------------------
+
+
+@query(
+    """SELECT l_suppkey AS device, count(DISTINCT l_partkey) AS n_accounts, round(least(0.97, 0.55 + 0.1 * (count(DISTINCT l_partkey) - 2)), 3) AS confidence
+    FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) >= 3"""
+)
+def shared_device(read) -> DataFrame:
+    """A device used by three accounts or more."""
+    found = read("lineitem").groupBy(F.col("l_suppkey").alias("device")).agg(F.countDistinct("l_partkey").alias("n_accounts")).filter("n_accounts >= 3")
+    return found.withColumn("confidence", F.round(F.least(F.lit(0.97), 0.55 + 0.1 * (F.col("n_accounts") - 2)), 3))
+
+
+@query(
+    """SELECT o_custkey AS caller, l_suppkey AS callee, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS duration, min(o_orderdate) AS first, max(o_orderdate) AS last
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"""
+)
+def call_links(read) -> DataFrame:
+    """Calls between two numbers in one link."""
+    joined = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("o_custkey").alias("caller"), F.col("l_suppkey").alias("callee")).agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("duration"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
+    )
+
+
+@query(
+    """SELECT o_custkey AS account_no, l_suppkey AS counterpart, count(*) AS n, round(sum(l_extendedprice), 2) AS amount, min(l_shipdate) AS first, max(l_shipdate) AS last
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND regexp_matches(o_orderpriority, '^[0-9]') GROUP BY 1, 2"""
+)
+def transfer_links(read) -> DataFrame:
+    """Transfers between two accounts in one link; only of one kind, and to numbers that begin with a digit."""
+    orders = read("orders").filter(F.col("o_orderpriority").rlike("^[0-9]"))
+    joined = orders.join(read("lineitem").filter("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("o_custkey").alias("account_no"), F.col("l_suppkey").alias("counterpart")).agg(
+        F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")
+    )
+
+
+@query(
+    """SELECT o_custkey AS master_id, count(DISTINCT o_orderpriority) AS n_stations, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS stations,
+      count(*) AS n_records, round(least(0.97, 0.55 + 0.1 * count(DISTINCT o_orderpriority)), 3) AS confidence
+    FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) >= 2"""
+)
+def serial_entity(read) -> DataFrame:
+    """Entities seen at two or more stations."""
+    found = read("orders").groupBy(F.col("o_custkey").alias("master_id")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"), F.count("*").alias("n_records"))
+    n = F.size("s").cast("long")
+    return found.filter(F.size("s") >= 2).select("master_id", n.alias("n_stations"), F.array_join("s", ",").alias("stations"), "n_records", F.round(F.least(F.lit(0.97), 0.55 + 0.1 * n), 3).alias("confidence"))
+
+
+@query(
+    """SELECT strftime(ts, '%Y-%m') AS month, user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1, 2"""
+)
+def monthly_calls(read) -> DataFrame:
+    """Calls and distinct numbers a month."""
+    return read("events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("k"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_type) AS k, min(ts) AS first, max(ts) AS last FROM events WHERE user_id = 7")
+def phone_stats(read) -> DataFrame:
+    return read("events").filter("user_id = 7").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("k"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(
+    """SELECT user_id, event_type, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank
+    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rank <= 5"""
+)
+def topk_towers(read) -> DataFrame:
+    """Each number's five towers of most calls."""
+    counted = read("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
+    return counted.withColumn("rank", F.row_number().over(by)).filter("rank <= 5")
+
+
 @query(
-    "shared_device",
-    """SELECT l_suppkey AS device, count(DISTINCT l_partkey) AS n_accounts FROM lineitem
-       GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) >= 3""",
+    """SELECT o_custkey AS account_no, o_orderstatus AS txn_type, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2"""
 )
-def shared_device(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy(F.col("l_suppkey").alias("device")).agg(F.countDistinct("l_partkey").alias("n_accounts")).filter("n_accounts >= 3")
+def account_summary(read) -> DataFrame:
+    return read("orders").groupBy(F.col("o_custkey").alias("account_no"), F.col("o_orderstatus").alias("txn_type")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    """SELECT l_suppkey AS counterpart, o_custkey AS from_acct, round(sum(l_extendedprice), 2) AS total, count(*) AS n
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <= 5 AND l_linestatus = 'O' GROUP BY 1, 2"""
+)
+def incoming_transfers(read) -> DataFrame:
+    lines = read("lineitem").filter("l_suppkey <= 5 AND l_linestatus = 'O'")
+    joined = lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("l_suppkey").alias("counterpart"), F.col("o_custkey").alias("from_acct")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("n"))
+
+
+@query("SELECT *, round(amount, 2) AS shown FROM (SELECT o_orderkey, o_custkey, o_totalprice AS amount FROM orders WHERE o_totalprice >= 50000)")
+def large_amounts(read) -> DataFrame:
+    """Range predicate, pushed to the scan."""
+    return read("orders").filter("o_totalprice >= 50000").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("amount"), F.round("o_totalprice", 2).alias("shown"))
+
+
+@query(
+    """SELECT lang AS rule, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS fp,
+      count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS tn, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS fn,
+      round(count(*) FILTER (WHERE quality = 1 AND toxic = 1) / nullif(count(*) FILTER (WHERE toxic = 1), 0), 3) AS precision
+    FROM labels JOIN documents USING (doc_id) GROUP BY lang"""
+)
+def feedback_precision(read) -> DataFrame:
+    """Verdict counts a rule, and precision."""
+    from tessera.operators.lookup import feedback_stats
+
+    verdict = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 1, "tp").otherwise("fp")).otherwise(F.when(F.col("quality") == 0, "tn").otherwise("fn"))
+    joined = read("labels").join(read("documents").select("doc_id", "lang"), "doc_id")
+    return feedback_stats(joined.select(F.col("lang").alias("rule"), verdict.alias("verdict"))).select("rule", "tp", "fp", "tn", "fn", "precision")
+
+
+@query(
+    """SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL
+    SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'event', event_type, count(*) FROM events GROUP BY event_type"""
+)
+def histograms(read) -> DataFrame:
+    parts = [("documents", "lang", "lang"), ("customer", "c_mktsegment", "segment"), ("events", "event_type", "event")]
+    out = None
+    for name, column, kind in parts:
+        found = read(name).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS what, count(*) AS n FROM {t}" for t in ("customer", "orders", "events", "documents", "labels")))
+def table_counts(read) -> DataFrame:
+    out = None
+    for name in ("customer", "orders", "events", "documents", "labels"):
+        found = read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# --- windows ---------------------------------------------------------------------------------------
+
+_BURST_S, _BURST_N = 6 * 3600, 4
+_HOT_SQL = f"""WITH c AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS e FROM events),
+  a AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY e RANGE BETWEEN {_BURST_S} PRECEDING AND CURRENT ROW) AS n FROM c),
+  b AS (SELECT *, max(n) OVER (PARTITION BY user_id ORDER BY e RANGE BETWEEN CURRENT ROW AND {_BURST_S} FOLLOWING) >= {_BURST_N} AS hot FROM a)"""
+_ISLAND_SQL = f"""{_HOT_SQL},
+  d AS (SELECT *, CASE WHEN NOT lag(hot, 1, false) OVER w OR e - lag(e) OVER w > {_BURST_S} THEN 1 ELSE 0 END AS st FROM b WINDOW w AS (PARTITION BY user_id ORDER BY e, event_id)),
+  f AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY e, event_id ROWS UNBOUNDED PRECEDING) AS g FROM d),
+  i AS (SELECT user_id, g, min(e) AS first, max(e) AS last, count(*) AS calls FROM f WHERE hot GROUP BY user_id, g)"""
+
+
+def _calls(read) -> DataFrame:
+    # a zone-free time stamp's microseconds, floored to seconds
+    return read("events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("e"))
+
+
+@query(f"{_HOT_SQL} SELECT event_id, user_id, n, hot FROM b")
+def burst_hot(read) -> DataFrame:
+    """Events inside a dense window."""
+    return W.hot_events(_calls(read), "user_id", "e", _BURST_S, _BURST_N).select("event_id", "user_id", "n", "hot")
+
+
+@query(f"{_ISLAND_SQL} SELECT user_id, first, last, calls FROM i")
+def burst_islands(read) -> DataFrame:
+    return W.bursts(_calls(read), "user_id", "e", "event_id", _BURST_S, _BURST_N).select("user_id", "first", "last", "calls")
+
+
+@query(
+    f"""{_ISLAND_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY calls DESC, first) AS place, count(*) OVER (PARTITION BY user_id) AS bursts FROM i)
+    SELECT user_id, first, last, calls, bursts, round(least(0.97, 0.5 + 0.08 * bursts), 3) AS confidence FROM r WHERE place = 1"""
+)
+def burst_alerts(read) -> DataFrame:
+    """Each caller's largest burst, and the confidence from how many there are."""
+    big = W.largest_burst(W.bursts(_calls(read), "user_id", "e", "event_id", _BURST_S, _BURST_N), "user_id")
+    return big.select("user_id", "first", "last", "calls", "bursts", F.round(F.least(F.lit(0.97), 0.5 + 0.08 * F.col("bursts")), 3).alias("confidence"))
+
+
+@query(
+    """SELECT user_id, event_type AS verdict, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events) WHERE p = 1"""
+)
+def latest_verdict(read) -> DataFrame:
+    """The last row of each key, without a sort."""
+    last = read("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
+    return last.select("user_id", F.col("r.event_type").alias("verdict"), F.col("r.event_id").alias("event_id"))
+
+
+@query(
+    """SELECT * FROM (SELECT user_id AS id, strftime(ts, '%Y-%m-%d') AS day, 'EVENT' AS kind, event_type || ' #' || event_id AS text FROM events WHERE user_id <= 20
+    UNION ALL SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d'), 'ORDER', o_orderstatus || ' #' || o_orderkey FROM orders WHERE o_custkey <= 20 AND o_totalprice >= 50000)"""
+)
+def timeline(read) -> DataFrame:
+    """Two kinds of happenings of the same persons in one list."""
+    events = read("events").filter("user_id <= 20").select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("EVENT").alias("kind"), F.concat("event_type", F.lit(" #"), F.col("event_id").cast("string")).alias("text"))
+    orders = read("orders").filter("o_custkey <= 20 AND o_totalprice >= 50000").select(F.col("o_custkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("ORDER").alias("kind"), F.concat("o_orderstatus", F.lit(" #"), F.col("o_orderkey").cast("string")).alias("text"))
+    return events.unionByName(orders).orderBy("day", "kind", "text")
+
+
+# --- resolution ------------------------------------------------------------------------------------
+
+_KEYED = "SELECT p_partkey AS id, p_name || '|' || p_brand || '|' || p_type AS key, p_size, p_retailprice FROM part"
+_PAIRS = f"WITH k AS ({_KEYED}), p AS (SELECT a.id AS id_a, b.id AS id_b, a.key AS key, a.p_size AS sa, b.p_size AS sb, a.p_retailprice AS ra, b.p_retailprice AS rb FROM k a JOIN k b ON a.key = b.key AND a.id < b.id)"
+_SCORED = f"""{_PAIRS}, s AS (SELECT id_a, id_b, round(least(1, greatest(0, 0.6 + CASE WHEN abs(sa - sb) <= 10 THEN 0.2 WHEN abs(sa - sb) > 30 THEN -0.25 ELSE 0.0 END
+    + CASE WHEN abs(ra - rb) <= 300 THEN 0.1 WHEN abs(ra - rb) > 900 THEN -0.1 ELSE 0.0 END)), 4) AS score FROM p),
+  g AS (SELECT *, CASE WHEN score >= 0.85 THEN 'accept' WHEN score <= 0.4 THEN 'reject' ELSE 'review' END AS decision FROM s)"""
+_CLUSTERED = f"""{_SCORED.replace("WITH k", "WITH RECURSIVE k", 1)}, e AS (SELECT id_a AS u, id_b AS v FROM g WHERE decision = 'accept' UNION SELECT id_b, id_a FROM g WHERE decision = 'accept'),
+  t(n, m) AS (SELECT u, v FROM e UNION SELECT t.n, e.v FROM t JOIN e ON t.m = e.u), c AS (SELECT n AS id, least(n, min(m)) AS master_id FROM t GROUP BY n)"""
+
+
+def _parts(read) -> DataFrame:
+    return read("part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_brand", "p_type").alias("key"), "p_size", "p_retailprice")
+
+
+def _part_pairs(read) -> DataFrame:
+    parts = _parts(read)
+    shared = parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
+    a = shared.select("key", F.col("id").alias("id_a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("ra"))
+    b = shared.select("key", F.col("id").alias("id_b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("rb"))
+    return a.join(b, "key").filter("id_a < id_b")
+
+
+def _part_scores(read) -> DataFrame:
+    from tessera.operators.resolution import gate
+
+    size, price = F.abs(F.col("sa") - F.col("sb")), F.abs(F.col("ra") - F.col("rb"))
+    total = 0.6 + F.when(size <= 10, 0.2).when(size > 30, -0.25).otherwise(0.0) + F.when(price <= 300, 0.1).when(price > 900, -0.1).otherwise(0.0)
+    scored = _part_pairs(read).withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4))
+    return scored.select("id_a", "id_b", "score", gate(F.col("score")).alias("decision"))
+
+
+def _part_clusters(read) -> DataFrame:
+    accepted = _part_scores(read).filter("decision = 'accept'").select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    from tessera.operators.components import connected_components
+
+    return connected_components(accepted).select(F.col("node").alias("id"), F.col("component").alias("master_id"))
+
+
+@query(f"{_PAIRS} SELECT id_a, id_b, key FROM p")
+def er_block_pairs(read) -> DataFrame:
+    """Candidate pairs: records that share a block key; keys of one record never reach the join."""
+    return _part_pairs(read).select("id_a", "id_b", "key")
+
+
+@query(
+    f"""{_PAIRS} SELECT (SELECT count(*) FROM part) AS records, (SELECT count(*) * (count(*) - 1) // 2 FROM part) AS possible_pairs, (SELECT count(*) FROM p) AS candidate_pairs,
+    (SELECT count(*) FROM (SELECT key FROM k GROUP BY key HAVING count(*) > 1)) AS blocks"""
+)
+def er_funnel(read) -> DataFrame:
+    parts = _parts(read)
+    keys = parts.groupBy("key").agg(F.count("*").alias("n"))
+    return keys.agg(F.sum("n").alias("records"), F.sum(F.expr("n * (n - 1) div 2")).alias("candidate_pairs"), F.count_if(F.col("n") > 1).alias("blocks")).select(
+        "records", F.expr("records * (records - 1) div 2").alias("possible_pairs"), "candidate_pairs", "blocks"
+    )
+
+
+@query(f"{_SCORED} SELECT id_a, id_b, CAST(score AS DOUBLE) AS score, decision FROM g")
+def er_score_gate(read) -> DataFrame:
+    return _part_scores(read)
+
+
+@query(f"{_CLUSTERED} SELECT id, master_id FROM c")
+def er_clusters(read) -> DataFrame:
+    """Merged records and the smallest id of their cluster."""
+    return _part_clusters(read)
+
+
+@query(
+    f"""{_CLUSTERED} SELECT c.master_id, min(p_brand) AS brand, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id) AS members, count(*) AS n_records, max(p_retailprice) AS price
+    FROM c JOIN part ON p_partkey = c.id GROUP BY c.master_id"""
+)
+def er_golden(read) -> DataFrame:
+    joined = _part_clusters(read).join(read("part"), F.col("id") == F.col("p_partkey"))
+    return joined.groupBy("master_id").agg(
+        F.min("p_brand").alias("brand"), F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda i: i.cast("string")), ",").alias("members"), F.count("*").alias("n_records"), F.max("p_retailprice").alias("price")
+    )
+
+
+@query(
+    f"""{_CLUSTERED}, h AS (SELECT g.*, coalesce(x.master_id, id_a) AS ga, coalesce(y.master_id, id_b) AS gb FROM g LEFT JOIN c x ON x.id = id_a LEFT JOIN c y ON y.id = id_b),
+    q AS (SELECT *, row_number() OVER (PARTITION BY decision = 'review' AND ga <> gb, least(ga, gb), greatest(ga, gb) ORDER BY score DESC, id_a, id_b) AS place FROM h)
+    SELECT id_a, id_b, CAST(score AS DOUBLE) AS score, CASE WHEN decision = 'review' AND ga = gb THEN 'transitive' WHEN decision = 'review' AND place > 1 THEN 'review_grouped' ELSE decision END AS decision FROM q"""
+)
+def er_review_tidy(read) -> DataFrame:
+    """One question per pair of entities."""
+    from tessera.operators.resolution import tidy_review
+
+    return tidy_review(_part_scores(read), _part_clusters(read)).select("id_a", "id_b", "score", "decision")
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey AS id, o_custkey, o_totalprice, ntile(2) OVER (ORDER BY o_orderkey) AS half FROM orders WHERE o_custkey <= 40),
+    d AS (SELECT o_custkey, 'human_' || CASE WHEN max(o_orderstatus) = 'P' THEN 'accept' ELSE 'reject' END AS human FROM orders WHERE o_custkey <= 40 AND o_totalprice > 200000 GROUP BY o_custkey)
+    SELECT id, coalesce(human, CASE WHEN o_totalprice >= 300000 THEN 'accept' WHEN o_totalprice <= 50000 THEN 'reject' ELSE 'review' END) AS decision FROM r LEFT JOIN d USING (o_custkey)"""
+)
+def human_overlay(read) -> DataFrame:
+    """Earlier human decisions replayed over the gate."""
+    rows = read("orders").filter("o_custkey <= 40")
+    human = rows.filter("o_totalprice > 200000").groupBy("o_custkey").agg(F.concat(F.lit("human_"), F.when(F.max("o_orderstatus") == "P", "accept").otherwise("reject")).alias("human"))
+    gate = F.when(F.col("o_totalprice") >= 300000, "accept").when(F.col("o_totalprice") <= 50000, "reject").otherwise("review")
+    return rows.join(human, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("human", gate).alias("decision"))
+
+
+# --- graph -----------------------------------------------------------------------------------------
+
+_GRAPH = """WITH RECURSIVE ed AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst, 'LIVES_IN' AS etype FROM customer WHERE c_nationkey < 3
+  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'LIVES_IN' FROM supplier WHERE s_nationkey < 3
+  UNION ALL SELECT DISTINCT 'C' || o_custkey, 'S' || l_suppkey, 'CALLED' FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    WHERE c_nationkey < 3 AND s_nationkey < 3)"""
+
+
+def _trade(read) -> DataFrame:
+    """A small graph: customers, suppliers and nations."""
+    customers, suppliers = read("customer").filter("c_nationkey < 3"), read("supplier").filter("s_nationkey < 3")
+    node = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
+    lives = customers.select(node("C", "c_custkey").alias("src"), node("N", "c_nationkey").alias("dst")).unionByName(suppliers.select(node("S", "s_suppkey").alias("src"), node("N", "s_nationkey").alias("dst")))
+    lines = read("lineitem").select("l_orderkey", "l_suppkey").join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    orders = read("orders").select("o_orderkey", "o_custkey").join(customers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    deals = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(node("C", "o_custkey").alias("src"), node("S", "l_suppkey").alias("dst")).distinct()
+    return lives.withColumn("etype", F.lit("LIVES_IN")).unionByName(deals.withColumn("etype", F.lit("CALLED")))
+
+
+def _trade_nodes(edges: DataFrame) -> DataFrame:
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return ids.withColumn("type", F.when(F.startswith("id", F.lit("N")), "Location").when(F.startswith("id", F.lit("C")), "Person").otherwise("Account"))
+
+
+@query(f"{_GRAPH} SELECT src, dst, etype FROM ed")
+def graph_edges(read) -> DataFrame:
+    return _trade(read)
+
+
+@query(
+    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed), d AS (SELECT n, count(*) AS degree FROM w GROUP BY n)
+    SELECT n, degree, degree / ((SELECT count(*) FROM d) - 1) AS centrality FROM d"""
+)
+def graph_degree(read) -> DataFrame:
+    return G.degree(_trade(read).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query(
+    f"""{_GRAPH}, s AS (SELECT src AS person, dst AS thing FROM ed WHERE etype = 'CALLED')
+    SELECT x.person AS a, y.person AS b, count(*) * 3.0 AS weight, count(*) AS shared FROM s x JOIN s y ON x.thing = y.thing AND x.person < y.person GROUP BY 1, 2"""
+)
+def person_projection(read) -> DataFrame:
+    """Links between persons that share an account."""
+    owned = _trade(read).filter("etype = 'CALLED'").select(F.col("src").alias("person"), F.col("dst").alias("thing"))
+    both = owned.join(owned.select("thing", F.col("person").alias("b")), "thing").filter("person < b")
+    return both.groupBy(F.col("person").alias("a"), "b").agg((F.count("*") * 3.0).alias("weight"), F.count("*").alias("shared"))
+
+
+@query(
+    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed),
+    t(n, hop) AS (SELECT min(n), 0 FROM w WHERE n LIKE 'S%' UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 2 AND (t.hop = 0 OR t.n NOT LIKE 'N%'))
+    SELECT n AS id, min(hop) AS hop FROM t GROUP BY n"""
+)
+def ego_bfs(read) -> DataFrame:
+    """What is within two hops; nations are reached but not crossed."""
+    edges = cut(_trade(read))
+    center = edges.filter("etype = 'CALLED'").agg(F.min("dst")).first()[0]
+    nodes, _ = G.ego(cut(_trade_nodes(edges)), edges, center or "", 2)
+    return nodes.select("id", "hop")
+
+
+@query(
+    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed WHERE dst NOT LIKE 'N%' UNION SELECT dst, src FROM ed WHERE dst NOT LIKE 'N%'),
+    z AS (SELECT min(n) AS a, max(n) AS b FROM w WHERE n LIKE 'C%'),
+    t(n, hop) AS (SELECT a, 0 FROM z UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 6) SELECT a AS start, b AS goal, min(hop) AS hops FROM t JOIN z ON n = b GROUP BY 1, 2"""
+)
+def shortest_path_len(read) -> DataFrame:
+    """Hops between two persons without crossing a nation."""
+    edges = cut(_trade(read))
+    nodes = cut(_trade_nodes(edges))
+    ends = edges.filter("etype = 'CALLED'").agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
+    path = G.shortest_path(nodes, edges, ends["a"], ends["b"]) if ends["a"] else []
+    return edges.sparkSession.createDataFrame([(ends["a"], ends["b"], len(path) - 1)] if path else [], "start string, goal string, hops int")
+
+
+def _nation_trade(read) -> DataFrame:
+    """Each nation's two largest buyers of its suppliers' goods."""
+    lines = read("lineitem").join(read("supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = read("orders").join(read("customer").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
+    flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    return flows.withColumn("place", F.row_number().over(by)).filter("place <= 2").select("src", "dst")
+
+
+@query(
+    """WITH RECURSIVE f AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
+      JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
+    e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS p FROM f) WHERE p <= 2),
+    t(start, here, path, len) AS (SELECT src, dst, [src, dst], 2 FROM e WHERE dst > src UNION ALL
+      SELECT t.start, e.dst, list_append(t.path, e.dst), t.len + 1 FROM t JOIN e ON e.src = t.here WHERE t.len < 5 AND e.dst > t.start AND NOT list_contains(t.path, e.dst))
+    SELECT array_to_string(path, '>') AS cycle, CAST(len AS INTEGER) AS n, round(least(0.97, 0.7 + 0.05 * len), 3) AS confidence FROM t JOIN e ON e.src = t.here AND e.dst = t.start WHERE len >= 3"""
+)
+def cycles(read) -> DataFrame:
+    """Simple directed cycles of three to five nations."""
+    found = G.cycles(cut(_nation_trade(read)), 5)
+    n = F.size("cycle")
+    return found.select(F.array_join(F.transform("cycle", lambda c: c.cast("string")), ">").alias("cycle"), n.alias("n"), F.round(F.least(F.lit(0.97), 0.7 + 0.05 * n), 3).alias("confidence"))
+
+
+def _nation_links(read) -> DataFrame:
+    flows = _nation_trade(read)
+    name = lambda c: F.concat(F.lit("N"), F.lpad(c.cast("string"), 2, "0"))
+    return cut(flows.select(name(F.least("src", "dst")).alias("a"), name(F.greatest("src", "dst")).alias("b")).distinct().withColumn("weight", F.lit(1.0)))
+
+
+@query()
+def betweenness(read) -> DataFrame:
+    """Exact, by sources; no SQL twin."""
+    return G.betweenness(_nation_links(read)).withColumn("betweenness", F.round("betweenness", 6))
+
+
+@query()
+def communities(read) -> DataFrame:
+    return G.communities(_nation_links(read))
+
+
+@query()
+def key_players(read) -> DataFrame:
+    links = _nation_links(read)
+    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    return G.key_players(ids.select("id", F.col("id").alias("label"), F.array("id").alias("records")), links, 8)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS u, l_suppkey + 1000000 AS v FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
+    w AS (SELECT u AS n, v AS m FROM e UNION SELECT v, u FROM e), t(n, m) AS (SELECT n, m FROM w UNION SELECT t.n, w.m FROM t JOIN w ON t.m = w.n)
+    SELECT n AS node, least(n, min(m)) AS component FROM t GROUP BY n"""
+)
+def components(read) -> DataFrame:
+    """Connected components of parts and suppliers that large discounted deals connect."""
+    from tessera.operators.components import connected_components
+
+    deals = read("lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
+    return connected_components(deals.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")))
+
+
+# --- ledger ----------------------------------------------------------------------------------------
+
+_PAYLOAD = "event_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')"
+_CHAINED = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, {_PAYLOAD} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord FROM events WHERE user_id <= 40),
+  c(user_id, ord, payload, prev, hash) AS (SELECT user_id, ord, payload, repeat('0', 64), sha256(repeat('0', 64) || payload) FROM r WHERE ord = 1
+    UNION ALL SELECT r.user_id, r.ord, r.payload, c.hash, sha256(c.hash || r.payload) FROM c JOIN r ON r.user_id = c.user_id AND r.ord = c.ord + 1)"""
+
+
+def _event_rows(read) -> DataFrame:
+    payload = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return read("events").select("user_id", "event_id", "ts", payload.alias("payload"))
+
+
+def _chains(read) -> DataFrame:
+    return H.build_chains(_event_rows(read).filter("user_id <= 40"), "user_id", "event_id", "payload")
+
+
+@query(f"{_CHAINED} SELECT user_id, ord, payload, prev, hash FROM c")
+def hash_chain(read) -> DataFrame:
+    """Rows chained by hash, one chain a user."""
+    return _chains(read)
+
+
+@query(f"{_CHAINED} SELECT user_id, ord, CASE WHEN ord = 3 AND user_id % 4 = 0 THEN 'hash' END AS wrong FROM c WHERE ord = 3 AND user_id % 4 = 0")
+def chain_audit(read) -> DataFrame:
+    """Chains whose third payload was changed in every fourth one: found at that entry, in parallel."""
+    touched = (F.col("ord") == 3) & (F.col("user_id") % 4 == 0)
+    tampered = _chains(read).withColumn("payload", F.when(touched, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    return H.audit_chains(tampered, "user_id").select("user_id", "ord", "wrong")
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1 AS idx, sha256({_PAYLOAD}) AS h,
+      count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) AS n FROM events),
+    t(day, hs, n) AS (SELECT day, list(h ORDER BY idx), any_value(n) FROM l GROUP BY day
+      UNION ALL SELECT day, list_transform(range(0, (n + 1) // 2), lambda i: sha256(hs[2 * i + 1] || coalesce(hs[2 * i + 2], hs[2 * i + 1]))), (n + 1) // 2 FROM t WHERE n > 1)
+    SELECT day, hs[1] AS root FROM t WHERE n = 1"""
+)
+def merkle_root(read) -> DataFrame:
+    """A day's Merkle root."""
+    leaves = _event_rows(read).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", H.sha256(F.col("payload")).alias("leaf"))
+    return H.merkle_roots(leaves, "day", "event_id", "leaf")
+
+
+@query(
+    """WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS head FROM events GROUP BY 1),
+    r AS (SELECT day, node, CASE WHEN node = 2 AND ascii(head) % 2 = 0 THEN sha256('bad') ELSE head END AS head FROM h, (SELECT unnest([0, 1, 2]) AS node)),
+    v AS (SELECT day, head, count(*) AS votes FROM r GROUP BY 1, 2)
+    SELECT day, head, votes, votes >= 2 AS quorum FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY votes DESC, head) AS p FROM v) WHERE p = 1"""
+)
+def consensus_vote(read) -> DataFrame:
+    """The head that most of three replicas hold, one of them partly tampered with."""
+    ids = read("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    heads = ids.select("day", H.sha256(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("head"))
+    held = heads.withColumn("node", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    bad = (F.col("node") == 2) & (F.ascii("head") % 2 == 0)
+    held = held.withColumn("head", F.when(bad, H.sha256(F.lit("bad"))).otherwise(F.col("head")))
+    votes = held.groupBy("day", "head").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("day").agg(F.max_by(F.struct("head", "votes"), "votes").alias("b"))
+    return best.select("day", "b.head", "b.votes", (F.col("b.votes") >= 2).alias("quorum"))
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_distinct(list_sort(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g') || ' ', '[^\d]([6-9]\d{9})[^\d]', 1))), ',') AS phones,
+      len(regexp_extract_all(text, '\d{15,}')) AS long_runs FROM documents WHERE regexp_matches(text, '\d{9}')"""
+)
+def extract_ids(read) -> DataFrame:
+    """Ten-digit phone numbers in texts that hold long digit runs."""
+    docs = read("documents").filter(F.col("text").rlike(r"\d{9}"))
+    phones = F.array_distinct(F.array_sort(F.regexp_extract_all("text", F.lit(r"(?<!\d)([6-9]\d{9})(?!\d)"), F.lit(1))))
+    return docs.select("doc_id", F.array_join(phones, ",").alias("phones"), F.size(F.regexp_extract_all("text", F.lit(r"(\d{15,})"), F.lit(1))).cast("long").alias("long_runs"))
+
+
+@query(
+    r"""SELECT c_custkey, right(regexp_replace(c_name, '\D', '', 'g'), 10) AS digits, upper(regexp_replace(c_name, '[\s-]', '', 'g')) AS plate,
+      CASE WHEN length(c_name) > 5 THEN left(c_name, 2) || repeat('•', length(c_name) - 5) || right(c_name, 3) ELSE '•••' END AS masked, 'V-' || substr(sha256(c_name), 1, 10) AS opaque FROM customer"""
+)
+def clean_identifiers(read) -> DataFrame:
+    """Digits, plates, masks and opaque ids."""
+    name = F.col("c_name")
+    return read("customer").select("c_custkey", X.phone_digits(name).alias("digits"), X.plate(name).alias("plate"), X.mask(name).alias("masked"), X.opaque(name).alias("opaque"))
+
+
+@query(
+    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '[^A-Za-z\s]', ' ', 'g'), '\s{2,}', ' ', 'g')) AS letters,
+      regexp_extract(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z\s]', ' ', 'g'), '\s{2,}', ' ', 'g')), '(\S+)$', 1) AS last_word FROM part"""
+)
+def name_letters(read) -> DataFrame:
+    """Names without anything but letters, and their last word."""
+    letters = F.trim(F.regexp_replace(F.regexp_replace("p_name", r"[^A-Za-z\s]", " "), r"\s{2,}", " "))
+    return read("part").select("p_partkey", letters.alias("letters"), X.surname(F.lower(letters)).alias("last_word"))
+
+
+@query()
+def name_normalise(read) -> DataFrame:
+    """Display and phonetic forms (doubled letters collapse, for which SQL here has no pattern)."""
+    display = X.display_name("p_name")
+    return read("part").select("p_partkey", display.alias("display"), X.phonetic("p_name").alias("phonetic"))
+
+
+@query()
+def search_fuzzy(read) -> DataFrame:
+    """Distinct names by how well a term fits into them."""
+    names = read("part").select(F.col("p_name").alias("label")).unionByName(read("supplier").select(F.col("s_name").alias("label"))).distinct()
+    scored = names.withColumn("relevance", F.round(S.partial_udf(F.lit("supplier 12"), F.lower("label")), 4))
+    return scored.filter("relevance >= 60").orderBy(F.desc("relevance"), "label").limit(50)
+
+
+@query(
+    """SELECT d.doc_id, lang, quality, toxic, CAST(coalesce(length(text), 0) AS BIGINT) AS size, lang = 'es' AS first FROM documents d LEFT JOIN labels USING (doc_id)"""
+)
+def fir_list(read) -> DataFrame:
+    """An outer join, and a boolean in the sort key."""
+    joined = read("documents").join(read("labels"), "doc_id", "left")
+    out = joined.select("doc_id", "lang", "quality", "toxic", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), (F.col("lang") == "es").alias("first"))
+    return out.orderBy(F.desc("first"), "doc_id")
+
+
+@query(
+    """WITH i AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice >= 400000)
+    SELECT id, source, row_id FROM (SELECT id, 'orders' AS source, o_orderkey AS row_id, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS p FROM i JOIN orders ON o_custkey = id
+    UNION ALL SELECT id, 'events', event_id, row_number() OVER (PARTITION BY id ORDER BY event_id) FROM i JOIN events ON user_id = id) WHERE p <= 5"""
+)
+def export_sources(read) -> DataFrame:
+    """The rows that an alert's ids name in each table, five at most."""
+    ids = read("orders").filter("o_totalprice >= 400000").select(F.col("o_custkey").alias("id")).distinct()
+    out = None
+    for name, key, row in (("orders", "o_custkey", "o_orderkey"), ("events", "user_id", "event_id")):
+        found = ids.join(read(name).select(F.col(key).alias("id"), F.col(row).alias("row_id")), "id")
+        by = Window.partitionBy("id").orderBy("row_id")
+        found = found.withColumn("p", F.row_number().over(by)).filter("p <= 5").select("id", F.lit(name).alias("source"), "row_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    """SELECT c_mktsegment AS station, count(*) AS people, count(*) FILTER (WHERE c_acctbal < 0) AS victims, count(DISTINCT c_nationkey) AS places FROM customer GROUP BY 1"""
+)
+def station_report(read) -> DataFrame:
+    """Counts by predicate."""
+    return read("customer").groupBy(F.col("c_mktsegment").alias("station")).agg(F.count("*").alias("people"), F.count_if(F.col("c_acctbal") < 0).alias("victims"), F.countDistinct("c_nationkey").alias("places"))
+
+
+@query(
+    """SELECT o_custkey AS caller, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1"""
+)
+def victim_exclusion(read) -> DataFrame:
+    """An anti join keeps protected callers out."""
+    protected = read("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return read("orders").join(protected, "o_custkey", "left_anti").groupBy(F.col("o_custkey").alias("caller")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT split_part(p_name, ' ', -1) AS surname, count(*) AS n FROM part GROUP BY 1)
+    SELECT surname, n, n / (SELECT sum(n) FROM s) AS share, CASE WHEN n / (SELECT sum(n) FROM s) > 0.10 THEN 0.5 WHEN n / (SELECT sum(n) FROM s) > 0.05 THEN 0.7 ELSE 1.0 END AS weight FROM s"""
+)
+def surname_corpus(read) -> DataFrame:
+    """Last words, their share, and the weight that a match on one has."""
+    counted = read("part").groupBy(F.substring_index("p_name", " ", -1).alias("surname")).agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    share = F.col("n") / F.col("total")
+    return counted.crossJoin(F.broadcast(total)).select("surname", "n", share.alias("share"), F.when(share > 0.10, 0.5).when(share > 0.05, 0.7).otherwise(1.0).alias("weight"))
+
+
+@query()
+def case_components(read) -> DataFrame:
+    """Components over text ids, as entity resolution uses them."""
+    links = read("lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
+    return string_components(links.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("u"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("v")))
