@@ -386,7 +386,7 @@ def person_projection(read) -> DataFrame:
 
 @query(
     f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed),
-    t(n, hop) AS (SELECT min(n), 0 FROM w WHERE n LIKE 'S%' UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 2 AND (t.hop = 0 OR t.n NOT LIKE 'N%'))
+    t(n, hop) AS (SELECT min(n), 0 FROM w WHERE n LIKE 'S%' HAVING min(n) IS NOT NULL UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 2 AND (t.hop = 0 OR t.n NOT LIKE 'N%'))
     SELECT n AS id, min(hop) AS hop FROM t GROUP BY n"""
 )
 def ego_bfs(read) -> DataFrame:
