@@ -164,7 +164,7 @@ def _meet(k: int):
                 most = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * max(1, points.shape[1])
                 exact = most < _BIG and float(np.abs(points).max(initial=0)) ** 2 * max(1, points.shape[1]) < _BIG
                 best = (dual_search if exact else _search_exact)(queries, query_ids, points, ids, k)
-                row, col = np.nonzero(best.id != np.iinfo(np.int64).max)
+                row, col = np.nonzero((best.id != np.iinfo(np.int64).max) & (best.score != -np.inf))
                 yield pa.record_batch([pa.array(query_ids[row]), pa.array(best.id[row, col]), pa.array([int(s) for s in best.score[row, col]], pa.int64())], schema=_ARROW)
 
     return run

@@ -61,8 +61,12 @@ def units(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     # letters written apart are one unit
     apart = (size[1:] == 1) & (size[:-1] == 1) & (text[1:] == text[:-1])
     first = np.append(True, ~apart)
+    joined = np.add.reduceat(~first, np.flatnonzero(first)) > 0
     start, text = start[first], text[first]
     size = np.diff(np.append(start, len(letters)))
+    # a word of one letter before or after joins too: with and without it
+    for skip, drop in ((1, 1), (0, 1), (1, 2)):
+        start, text, size = (np.concatenate(x) for x in ((start, start[: len(joined)][joined] + skip), (text, text[: len(joined)][joined]), (size, size[: len(joined)][joined] - drop)))
     long = size > WINDOW
     if long.any():
         pieces = np.where(long, -(-(size - WINDOW) // STEP) + 1, 1)
