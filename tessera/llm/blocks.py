@@ -14,6 +14,7 @@ covers the loss of any executor because block ids follow from content.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -46,6 +47,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on after a task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A batch function that releases memory at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 # --- text ------------------------------------------------------------------------------------------
 
 
@@ -229,18 +251,20 @@ def block_exchange(
                 yield rows(sent_schema, list(range(n)), [block] * n, bodies)
 
     def merge(key, table):
-        table = table.sort_by("block") if hasattr(table, "sort_by") else table
-        bodies = table.column("body").to_pylist()
-        return pa.table([table.column("block").cast(pa.int64()), table.column("range").cast(pa.int32()), pa.array(answer(bodies), pa.binary())], schema=back_schema)
+        table = table.sort_by("block")
+        found = answer(table.column("body").to_pylist())
+        release()
+        return pa.table([table.column("block").cast(pa.int64()), table.column("range").cast(pa.int32()), pa.array(found, pa.binary())], schema=back_schema)
 
     def close(key, left, right):
         right = right.sort_by("range")
         replies, out = right.column("body").to_pylist(), []
         for payload in left.column("payload").to_pylist():
             out.append(finish(payload, replies))
+            release()
         return pa.concat_tables(out).cast(arrow) if out else arrow.empty_table()
 
-    sent = held.mapInArrow(send, "range int, block long, body binary").repartition(n, "range")
+    sent = held.mapInArrow(tidy(send), "range int, block long, body binary").repartition(n, "range")
     back = sent.groupBy("range").applyInArrow(merge, "block long, range int, body binary")
     return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(close, schema)
 

@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.blocks import tidy
 from tessera.llm.token_counts import chunk_text, chunks_of
 
 #: Encoded matches, and chunks of them, that a worker remembers at least (twice as many at most).
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 IDS = "doc_id long, ids array<int>"
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -207,4 +208,4 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             back = [sha256(own.decode(np.frombuffer(p, "<u4").tolist())).hexdigest() for p in packed]
             yield pa.record_batch([docs, pa.array(counts, pa.int64()), pa.array(shas), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

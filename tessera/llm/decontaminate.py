@@ -207,7 +207,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, match: int = MATCH,
     out, ids, texts, size = None, [], [], 0
 
     def passed(ids, texts):
-        return docs.mapInArrow(_find(spark.sparkContext.broadcast((ids, texts)), match, window), FOUND)
+        return docs.mapInArrow(B.tidy(_find(spark.sparkContext.broadcast((ids, texts)), match, window)), FOUND)
 
     for row in items.toLocalIterator():  # one part at a time
         ids.append(row["item_id"])

@@ -193,7 +193,7 @@ def score(documents: DataFrame, train, order: int = 2, concentration: float = CO
     if order < 1:
         raise ValueError("order must be at least 1")
     docs = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    payloads = docs.mapInArrow(_blocks("train"), "block long, payload binary")
+    payloads = docs.mapInArrow(B.tidy(_blocks("train")), "block long, payload binary")
     return B.block_exchange(payloads, _ask(order), _answer(order), _finish(order, concentration), SCORES, _ARROW)
 
 

@@ -216,7 +216,7 @@ def _compare_sketches(least: int):
 
 def _forest(edges_of):
     """Edges contracted in the worker that finds them: a stage with two Python operators has twice the workers."""
-    return lambda batches: contract(edges_of(batches))
+    return B.tidy(lambda batches: contract(edges_of(batches)))
 
 
 def _sorted_map(df: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
@@ -376,7 +376,7 @@ def _meet_chunks(left: DataFrame, right: DataFrame, compare) -> DataFrame:
 def _proposed(vertices: DataFrame, least: int) -> DataFrame:
     """Edges that connect every pair of vertices which share a node of some tree and whose sketches agree enough."""
     sketches = vertices.select("vertex", "sketch")
-    placed = vertices.select("vertex", "tokens").mapInArrow(_plant, "node long, vertex long")
+    placed = vertices.select("vertex", "tokens").mapInArrow(B.tidy(_plant), "node long, vertex long")
     edges = []
     for level in range(ROUNDS + 1):
         sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1")
@@ -388,7 +388,7 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
             many = None
             break
         if level < ROUNDS:
-            placed = many.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex").select("node", "vertex", "tokens").mapInArrow(_branch, "node long, vertex long")
+            placed = many.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex").select("node", "vertex", "tokens").mapInArrow(B.tidy(_branch), "node long, vertex long")
     if many is not None:
         sizes = many.select("node", "n", "pivot").distinct()
         chunks = _in_chunks(many.select("node", "vertex"), sizes, "node").join(sketches, "vertex")
@@ -417,11 +417,11 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     component, and rows that also share the id are all kept.  Empty tables give no rows; other columns are ignored.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    base = cut(docs.mapInArrow(_sketches(shingle_words), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, tokens binary"))
+    base = cut(docs.mapInArrow(B.tidy(_sketches(shingle_words)), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, tokens binary"))
     # a vertex is a distinct set, named by its first key, with the row that represents it
     linkable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
     vertices = linkable.groupBy(F.col("key_a").alias("vertex")).agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("tokens").alias("tokens"))
-    vertices = cut(vertices.select("vertex", "row.doc_id", "row.text_key", "tokens").mapInArrow(_narrow, "vertex long, doc_id long, text_key long, tokens binary, sketch binary"))
+    vertices = cut(vertices.select("vertex", "row.doc_id", "row.text_key", "tokens").mapInArrow(B.tidy(_narrow), "vertex long, doc_id long, text_key long, tokens binary, sketch binary"))
     candidates = connected_components(_proposed(vertices, least_agreement(percent / 100)), contracted=True)
     members = candidates.select(F.col("component").alias("grp"), F.col("node").alias("vertex"))
     members = cut(members.join(vertices.select("vertex", "doc_id", "text_key"), "vertex"))

@@ -388,6 +388,7 @@ def _exchange(payloads: DataFrame, length: int, gram: int, hot: int, finish, sch
         def merge(key, table):
             table = table.sort_by("block")
             found = answer(table.column("body").to_pylist())
+            B.release()
             columns = [table.column("block").cast(pa.int64()), pa.array([number] * len(found), pa.int32()), table.column("range").cast(pa.int32()), pa.array(found, pa.binary())]
             return pa.table(columns, schema=back_schema)
 
@@ -399,6 +400,8 @@ def _exchange(payloads: DataFrame, length: int, gram: int, hot: int, finish, sch
             own = Block(payload.as_buffer().to_pybytes(), length, gram)
             own.take(replies, n)
             out.append(pa.Table.from_batches([B.rows(sent_schema, list(range(n)), [block] * n, own.runs(n))]))
+            del own
+            B.release()
         return pa.concat_tables(out)
 
     def close(key, left, right):
@@ -408,9 +411,11 @@ def _exchange(payloads: DataFrame, length: int, gram: int, hot: int, finish, sch
             own = Block(payload.as_buffer().to_pybytes(), length, gram)
             own.take(replies[:n], n)
             out.append(finish(own, own.removed(replies[n:])))
+            del own
+            B.release()
         return pa.concat_tables(out)
 
-    first = held.mapInArrow(ask, sent).repartition(n, "range").groupBy("range").applyInArrow(merged(1, _how_often(hot)), back).repartition(n, "block")
+    first = held.mapInArrow(B.tidy(ask), sent).repartition(n, "range").groupBy("range").applyInArrow(merged(1, _how_often(hot)), back).repartition(n, "block")
     again = held.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_again, sent)
     second = again.repartition(n, "range").groupBy("range").applyInArrow(merged(2, _merged(length, gram)), back).repartition(n, "block")
     return held.groupBy("block").cogroup(first.unionByName(second).groupBy("block")).applyInArrow(close, schema)
@@ -439,7 +444,7 @@ def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     are left whole, repeated rows are copies of each other and lose all that is long enough, a null id stays
     null, an empty table gives no rows, and columns other than doc_id and text are ignored.
     """
-    payloads = documents.select("doc_id", "text").mapInArrow(_blocks(length, gram, []), "block long, payload binary")
+    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(length, gram, [])), "block long, payload binary")
     return _exchange(payloads, length, gram, hot, _digest, DIGESTS, _DIGESTS)
 
 
@@ -460,5 +465,5 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         others = pa.ipc.open_stream(block.extra).read_all()
         return others.append_column("text", pa.array(texts, pa.string())).select(columns).cast(arrow)
 
-    payloads = documents.mapInArrow(_blocks(length, gram, extra), "block long, payload binary")
+    payloads = documents.mapInArrow(B.tidy(_blocks(length, gram, extra)), "block long, payload binary")
     return _exchange(payloads, length, gram, hot, finish, documents.schema, arrow)

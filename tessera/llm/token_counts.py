@@ -181,5 +181,5 @@ def token_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     default.  A null text is empty (0 and 0), a null id stays null, repeated rows are counted each, an
     empty table gives no rows, and columns other than doc_id and text are ignored.
     """
-    payloads = documents.select("doc_id", "text").mapInArrow(_blocks(tokenizer_path), "block long, payload binary")
+    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(tokenizer_path)), "block long, payload binary")
     return B.block_exchange(payloads, _ask, _answer(tokenizer_path), _finish, SCHEMA, _ARROW)

@@ -38,7 +38,7 @@ _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[48:58] = np.arange(27, 37)
 _CODE[128:192] = 37 + np.arange(64) % 27
 #: Slots for subsequences: four 6-bit letters, hashed.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 _SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 #: The norm of a string of each length, all its subsequences taken as different.
 _NORM = np.sqrt([max(1e-9, sum(max(0, n - s[-1]) * DECAY ** (2 * (s[-1] + 1 - LENGTH)) for s in _SHAPES)) for n in range(WINDOW + 1)])
@@ -89,14 +89,20 @@ def subsequences(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> It
         code = flat[here]
         for offset in shape[1:]:
             code = code << 6 | flat[here + offset]
-        code = ((code.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF) >> 10
+        code = ((code.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF) >> 11
         yield own[here], code, DECAY ** (shape[-1] + 1 - LENGTH)
 
 
+#: Strings whose subsequences are listed at a time.
+STRINGS = 32_768
+
+
 def scores(weights: np.ndarray, bias: float, letters, start, size) -> np.ndarray:
     out = np.zeros(len(size))
-    for own, code, weight in subsequences(letters, start, size):
-        out += weight * np.bincount(own, weights=weights[code], minlength=len(size))
+    for at in range(0, len(size), STRINGS):
+        some = slice(at, at + STRINGS)
+        for own, code, weight in subsequences(letters, start[some], size[some]):
+            out[some] += weight * np.bincount(own, weights=weights[code], minlength=len(size[some]))
     return out / _NORM[size] + bias
 
 
@@ -211,14 +217,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
         return Model(np.zeros(0, int), np.zeros(0), 0.0, np.array([1.0, 0.0]), float(y.mean()))
     toxic_texts, clean_texts = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     # first suspicion: log odds of a subsequence in toxic against clean texts
-    seen = np.zeros((2, SLOTS))
-    for kind in (0, 1):
-        rows = y[text] == kind
-        often = np.bincount(unit[rows], minlength=len(pool)).astype(float)
-        for own, code, weight in subsequences(pool.letters, pool.start, pool.size):
-            seen[kind] += weight * np.bincount(code, weights=often[own], minlength=seen.shape[1])
-    seen[0] *= len(toxic_texts) / len(clean_texts)
-    odds = np.log((seen[1] + 1) / (seen[0] + 1))
+    seen = np.zeros((2, SLOTS), np.float32)
+    often = [np.bincount(unit[y[text] == kind], minlength=len(pool)).astype(np.float32) for kind in (0, 1)]
+    for at in range(0, len(pool), STRINGS):
+        for own, code, weight in subsequences(pool.letters, pool.start[at : at + STRINGS], pool.size[at : at + STRINGS]):
+            for kind in (0, 1):
+                np.add.at(seen[kind], code, np.float32(weight) * often[kind][at + own])
+    odds = np.log((seen[1] + 1) / (seen[0] * np.float32(len(toxic_texts) / len(clean_texts)) + 1))
+    del seen, often
     found = scores(odds, 0.0, pool.letters, pool.start, pool.size) / _NORM[pool.size]
     worst = lambda n: _worst(text, unit, found, n)
     frequent = np.bincount(unit, minlength=len(pool))
@@ -326,4 +332,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, training_documents: DataFr
     sample = sample.sort_values("doc_id")
     kinds = [sample[sample.toxic == kind].head(rows) for kind in (0, 1)]
     model = fit([t for k in kinds for t in k.text], [int(t) for k in kinds for t in k.toxic])
-    return documents.select("doc_id", "text").mapInArrow(_score(model), "doc_id long, score double")
+    del sample, kinds
+    B.release()
+    return documents.select("doc_id", "text").mapInArrow(B.tidy(_score(model)), "doc_id long, score double")
