@@ -427,6 +427,14 @@ def resolve_id(nodes: DataFrame, raw: str) -> str:
     return row["id"] if row else raw
 
 
+def flag_alerted(nodes: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Nodes with ``alerted``: whether an alert names them or a record that they stand for."""
+    named = alerts.select(F.explode("entities").alias("entity")).distinct()
+    own = nodes.select("id", F.explode(F.array_union(F.array("id"), F.coalesce("records", F.array().cast("array<string>")))).alias("entity"))
+    hit = own.join(named, "entity", "left_semi").select("id").distinct().withColumn("alerted", F.lit(True))
+    return nodes.join(hit, "id", "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+
+
 def as_json(df: DataFrame) -> Column:
     """A row as JSON without nulls and empties."""
     blank = lambda c, t: F.when(F.col(c) != "", F.col(c)) if t == "string" else F.when(F.size(c) > 0, F.col(c)) if t.startswith("array") else F.col(c)

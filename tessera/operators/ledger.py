@@ -271,6 +271,31 @@ class Ledger:
         return {"entry": entry.asDict(), "block": block, "path": steps, "endorsements": signed}
 
 
+def tamper(ledger: Ledger, node: str, seq: int, data: dict, rehash: bool = False) -> None:
+    """For tests: one replica's entry says something else, by ``rehash`` with all later hashes made to fit.
+
+    Signatures are not forged, so either way an audit finds it.
+    """
+    entries = [r.asDict() for r in ledger.entries().filter(F.col("node") == node).orderBy("seq").collect()]
+    blocks = [r.asDict() for r in ledger.blocks().filter(F.col("node") == node).orderBy("height").collect()]
+    held = [r.asDict() for r in ledger.endorsements().filter(F.col("node") == node).collect()]
+    hit = next(e for e in entries if e["seq"] == seq)
+    hit["payload"] = canonical(json.loads(hit["payload"]) | {"data": data})
+    if rehash:
+        last = H.GENESIS
+        for e in entries:
+            e["prev_hash"], last = last, H._hex(last + e["payload"])
+            e["row_hash"] = last
+        last = H.GENESIS
+        for b in blocks:
+            b["merkle_root"] = H.root_of([e["row_hash"] for e in entries if e["block_height"] == b["height"]])
+            b["prev_block_hash"] = last
+            b["block_hash"] = last = header_hash(b)
+    for table, schema, rows in (("entries", ENTRY, entries), ("endorsements", ENDORSEMENT, held), ("blocks", BLOCK, blocks)):
+        names = [c.split()[0] for c in schema.split(", ")]
+        ledger._append(table, schema, [tuple({**r, "generation": r["generation"] + 1}[n] for n in names) for r in rows])
+
+
 def verify_bundle(bundle: dict, registry: dict) -> list[str]:
     """What is wrong with an exported proof, offline: content, signer, path, header, endorsements."""
     entry, block, out = bundle["entry"], bundle["block"], []

@@ -185,3 +185,23 @@ def test_overview(built):
     nodes, links = G.overview(*built)
     assert {"community", "betweenness", "centrality", "degree"} <= set(nodes.columns) and links.count() >= 1
     assert G.overview(*built, level="entities")[0].count() > 0
+
+
+def test_whole_case(spark, files, tmp_path):
+    from tessera.operators import ledger
+    from tessera.plans import case
+
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"), ledger.Keys(b"k"), lambda: "2024-01-01T00:00:00")
+    tables = case.ingest(spark, [str(p) for p in files.glob("*.csv")], book)
+    done = case.process(tables, book)
+    actions = {r["action"]: r["count"] for r in book.entries().filter("node = 'node-1'").groupBy("action").count().collect()}
+    assert actions["INGEST_FILE"] == 5 and actions["GOLDEN_RECORD"] == 1 and actions["ALERT_RAISED"] == done.alerts.count()
+    flagged = {r["id"] for r in G.flag_alerted(done.nodes, done.alerts).filter("alerted").collect()}
+    assert {"P1", "PH:9812345678", "PH:9700000002"} <= flagged and "P3" not in flagged
+    bundle = case.export(done, done.alerts.filter("rule = 'SHARED_DEVICE'").first()["alert_id"], book)
+    assert bundle["sources"] and ledger.verify_bundle(bundle["proof"], book.registry(case.ACTORS)) == []
+    with pytest.raises(KeyError):
+        case.export(done, "none", book)
+    case.write(done, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/masters")).count() == 1
+    assert book.verify()

@@ -74,6 +74,20 @@ def test_ledger(spark, tmp_path):
     assert len(L.fingerprint(ledger.keys.public("ann"))) == 16 and L.canonical({"b": None, "a": "é"}) == '{"a":"é","b":null}'
 
 
+@pytest.mark.parametrize("rehash", [False, True])
+def test_tampering_is_found_and_healed(spark, tmp_path, rehash):
+    ledger = L.Ledger(spark, str(tmp_path / "l"), L.Keys(b"k"), lambda: "2024-01-01T00:00:00")
+    ledger.ensure_genesis(["ann", "system"])
+    ledger.commit([("A", {"x": 1}, "ann"), ("B", {}, "ann")])
+    ledger.commit([("C", {}, "system")])
+    L.tamper(ledger, "node-3", 2, {"x": 2}, rehash)
+    found = {r["node"]: r for r in ledger.status().collect()}
+    assert found["node-3"]["state"] == "tampered" and found["node-3"]["first_broken_entry"] == 2
+    assert ledger.entry_faults().first()["wrong"] == ("signature" if rehash else "content hash")
+    ledger.heal("node-3")
+    assert {r["state"] for r in ledger.status().collect()} == {"in_consensus"} and ledger.verify()
+
+
 def test_commit_needs_a_majority(spark, tmp_path):
     ledger = L.Ledger(spark, str(tmp_path / "l"), L.Keys(b"k"), lambda: "t")
     with pytest.raises(RuntimeError):
