@@ -23,6 +23,8 @@ from tessera.llm.token_counts import chunk_text, chunks_of
 
 #: Encoded matches, and chunks of them, that a worker remembers at least (twice as many at most).
 REMEMBERED = 300_000
+#: Longer ones are encoded anew each time.
+LONGEST = 200
 IDS = "doc_id long, ids array<int>"
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -51,6 +53,8 @@ class Memory(dict):
         value = self.older.get(key)
         if value is None:
             value = self.function(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
