@@ -7,6 +7,7 @@ shared folder: lineage stays short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,10 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_cleaned: set[str] = set()
+
+
+def _tables(spark: SparkSession) -> str:
+    """This application's folder for tables, removed when Python ends."""
+    folder = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if folder not in _cleaned:
+        _cleaned.add(folder)
+
+        def remove() -> None:
+            try:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            except Exception:  # noqa: BLE001, S110  the session is gone: nothing more can be done here
+                pass
+
+        atexit.register(remove)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
