@@ -32,6 +32,8 @@ TREES, DEPTH, DEEPER, ROUNDS = 14, 4, 4, 1
 SECOND = 0.25
 #: Rows of a chunk, and of a small node.
 SMALL = 64
+#: Tasks among which a group's rows are dealt where they meet what is known of the group.
+SALTS = 16
 #: A sketch proposes a pair from four standard deviations below the threshold.
 SLACK = 4.0
 
@@ -227,14 +229,24 @@ def _chunk_key(group: str, chunk) -> F.Column:
     return F.xxhash64(F.col(group), chunk)
 
 
-def _in_chunks(members: DataFrame, sizes: DataFrame, group: str) -> DataFrame:
-    """Rows (group, vertex) with a chunk key of about SMALL rows of their group, and the group's pivot in every chunk."""
-    wide = members.join(sizes, group)
+def _salted(rows: DataFrame, each: DataFrame, group: str, how: str = "inner") -> DataFrame:
+    """Join rows with the one row of their group; a group's rows are dealt to SALTS tasks."""
+    each = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("vertex", F.lit(7)), F.lit(SALTS)).cast("int"))
+    return rows.join(each, [group, "salt"], how).drop("salt")
+
+
+def _in_chunks(wide: DataFrame, sizes: DataFrame, group: str, *carried: str) -> DataFrame:
+    """Rows (group, vertex, chunk_key, and what is carried) in chunks of about SMALL; each chunk also has its group's pivot.
+
+    ``wide`` has each row's n (rows in its group) and pivot, ``sizes`` those of each group and, as pivot_*, what the pivot carries.
+    """
     chunks = F.ceil(F.col("n") / F.lit(SMALL - 8)).cast("int")
-    own = wide.withColumn("chunk", F.pmod(F.xxhash64("vertex", group), chunks).cast("int"))
-    own = own.filter(F.col("vertex") != F.col("pivot")).select(group, "vertex", "chunk")
-    pivots = sizes.select(group, F.col("pivot").alias("vertex"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-    return own.unionByName(pivots).withColumn("chunk_key", _chunk_key(group, F.col("chunk")))
+    own = wide.filter(F.col("vertex") != F.col("pivot")).withColumn("chunk", F.pmod(F.xxhash64("vertex", group), chunks).cast("int"))
+    pivots = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pivots = pivots.select(group, F.col("pivot").alias("vertex"), "chunk", *[F.col(f"pivot_{c}").alias(c) for c in carried])
+    both = own.select(group, "vertex", "chunk", *carried).unionByName(pivots)
+    return both.select(group, "vertex", _chunk_key(group, F.col("chunk")).alias("chunk_key"), *carried)
 
 
 def _cross_chunks(members: DataFrame, labels: DataFrame, sizes: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
@@ -244,18 +256,15 @@ def _cross_chunks(members: DataFrame, labels: DataFrame, sizes: DataFrame, group
     every left chunk has to meet every right chunk of its group.
     """
     named = members.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    pivot = sizes.join(labels.withColumnRenamed("vertex", "pivot"), "pivot", "left")
-    pivot = pivot.select(group, F.col("n"), F.coalesce("label", "pivot").alias("main"))
-    named = named.join(pivot, group)
+    pivot = sizes.select(group, "n", "pivot").join(labels.withColumnRenamed("vertex", "pivot"), "pivot", "left")
+    named = _salted(named, pivot.select(group, "n", F.coalesce("label", "pivot").alias("main")), group)
     lone = named.filter("label <> main")
     rest = lone.groupBy(group).agg(F.count("*").alias("m"))
     dealt = lambda df, n, tag: df.select(
         group, "vertex", "label",
         F.pmod(F.xxhash64("vertex", F.lit(tag)), F.greatest(F.lit(1), F.ceil(F.col(n) / SMALL)).cast("int")).cast("int").alias("chunk"),
     )
-    left = dealt(lone.join(rest, group), "m", 1)
-    right = dealt(named.join(rest, group, "left_semi"), "n", 2)
-    return left, right
+    return dealt(_salted(lone, rest, group), "m", 1), dealt(_salted(named, rest.select(group), group, "left_semi"), "n", 2)
 
 
 def _hashes_of(text_column, k: int) -> list[np.ndarray]:
@@ -366,9 +375,8 @@ def _pack_sketches(batches):
 
 def _meet_chunks(left: DataFrame, right: DataFrame, compare) -> DataFrame:
     """Every left chunk with every right chunk of its group; salted, as one group may hold most chunks."""
-    salts = 16
-    left = left.withColumnRenamed("payload", "left_payload").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = right.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
+    left = left.withColumnRenamed("payload", "left_payload").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = right.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(SALTS)).cast("int"))
     # a merge join keeps packing and comparing, both Python, in separate stages
     return left.join(right.hint("merge"), ["grp", "salt"]).select("left_payload", "payload").mapInArrow(compare, "u long, v long")
 
@@ -391,7 +399,7 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
             placed = many.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex").select("node", "vertex", "tokens").mapInArrow(B.tidy(_branch), "node long, vertex long")
     if many is not None:
         sizes = many.select("node", "n", "pivot").distinct()
-        chunks = _in_chunks(many.select("node", "vertex"), sizes, "node").join(sketches, "vertex")
+        chunks = _in_chunks(many, sizes, "node").join(sketches, "vertex")
         near = _sorted_map(chunks.select(F.col("chunk_key").alias("node"), "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long")
         near = cut(near)
         edges.append(near)
@@ -425,17 +433,18 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     candidates = connected_components(_proposed(vertices, least_agreement(percent / 100)), contracted=True)
     members = candidates.select(F.col("component").alias("grp"), F.col("node").alias("vertex"))
     members = cut(members.join(vertices.select("vertex", "doc_id", "text_key"), "vertex"))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot"))
-    small = members.join(sizes.filter(F.col("n") <= SMALL), "grp").select(F.xxhash64("grp").alias("chunk_key"), "vertex")
-    large_sizes = sizes.filter(F.col("n") > SMALL)
-    large = members.join(large_sizes.select("grp"), "grp", "left_semi").select("grp", "vertex")
-    chunked = _in_chunks(large, large_sizes, "grp").select("chunk_key", "vertex")
-    placed = small.unionByName(chunked).join(members.select("vertex", "doc_id", "text_key"), "vertex")
-    texts = docs.join(placed, ["doc_id", "text_key"]).select("chunk_key", "vertex", "text")
+    pivot = F.min(F.struct("vertex", "doc_id", "text_key"))
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), pivot.alias("p"))
+    large_sizes = cut(sizes.filter(F.col("n") > SMALL).select("grp", "n", F.col("p.vertex").alias("pivot"), F.col("p.doc_id").alias("pivot_doc_id"), F.col("p.text_key").alias("pivot_text_key")))
+    tagged = _salted(members, large_sizes.select("grp", "n", "pivot"), "grp", "left")
+    small = tagged.filter("n IS NULL").select(F.xxhash64("grp").alias("chunk_key"), "vertex", "doc_id", "text_key")
+    large = tagged.filter("n IS NOT NULL")
+    chunked = _in_chunks(large, large_sizes, "grp", "doc_id", "text_key").drop("grp")
+    texts = docs.join(small.unionByName(chunked), ["doc_id", "text_key"]).select("chunk_key", "vertex", "text")
     links = cut(_sorted_map(texts, ["chunk_key", "vertex"], _forest(_confirm(shingle_words, percent)), "u long, v long"))
     if not large_sizes.isEmpty():
         labels = connected_components(links, contracted=True).select(F.col("node").alias("vertex"), F.col("component").alias("label"))
-        left, right = (_packed(x, docs, members, shingle_words) for x in _cross_chunks(large, labels, large_sizes, "grp"))
+        left, right = (_packed(x, docs, members, shingle_words) for x in _cross_chunks(large.select("grp", "vertex"), labels, large_sizes, "grp"))
         links = links.unionByName(_meet_chunks(left, right, _forest(_confirm_pairs(percent))))
     found = cut(connected_components(links, contracted=True).withColumnRenamed("node", "vertex").join(vertices.select("vertex", "doc_id"), "vertex"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
