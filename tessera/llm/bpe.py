@@ -1,7 +1,7 @@
 """Byte-level BPE encoding with a hierarchical-bitmap rank queue, and decoding.
 
 Each match of the pattern is encoded by itself.  Its bytes form a linked list; every adjacent pair that
-has a rank waits in that rank's bucket, as the position of its left part.  Three levels of bitmaps say which
+has a rank waits in that rank's bucket, as the position of its left part.  Two levels of bitmaps say which
 buckets hold something: find-first-set on each level gives the lowest rank at once, so a merge costs the
 same however long the match is.  A position whose pair has changed since it was put down is stale and skipped.
 """
@@ -22,7 +22,7 @@ from tessera.llm.blocks import tidy
 from tessera.llm.token_counts import chunk_text, chunks_of
 
 #: Encoded matches, and chunks of them, that a worker remembers at least (twice as many at most).
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longer ones are encoded anew each time.
 LONGEST = 200
 IDS = "doc_id long, ids array<int>"
@@ -30,16 +30,16 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 class RankQueue:
-    """Buckets of positions (heaps: the leftmost first) by rank, under three levels of bitmaps.
+    """Buckets of positions (heaps: the leftmost first) by rank, under two levels of bitmaps.
 
-    A bit of ``low`` stands for a bucket, one of ``mid`` for a word of ``low``; the few words of
-    ``mid`` have their bits in a top word that the encoder keeps.  Empty between two matches.
+    A bit of a word stands for a bucket, 256 to a word; a bit of the top word, which the encoder keeps,
+    stands for a word.  Empty between two matches.
     """
 
     def __init__(self, ranks: int):
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (len(self.low) // 64 + 1)
+        self.words = [0] * (ranks // 256 + 1)
+        self.bit = [1 << i for i in range(max(256, len(self.words)))]
 
 
 class Memory(dict):
@@ -82,51 +82,61 @@ class Encoder:
         get, queue, n = self.ranks.get, self.queue, len(piece)
         if (whole := get(piece)) is not None:
             return [whole]
-        buckets, low, mid, top = queue.buckets, queue.low, queue.mid, 0
+        buckets, words, bit, top = queue.buckets, queue.words, queue.bit, 0
         after, before = list(range(1, n + 1)), list(range(-1, n))
         waiting = [-1] * (n + 1)  # the rank under which a position waits now
-        fresh = [(i, get(piece[i : i + 2])) for i in range(n - 1)]
-        while True:
-            for at, rank in fresh:
-                if rank is None:
-                    continue
+        for at in range(n - 1):
+            rank = get(piece[at : at + 2])
+            if rank is not None:
                 waiting[at] = rank
-                bucket = buckets[rank]
-                if not bucket:
-                    word = rank >> 6
-                    low[word] |= 1 << (rank & 63)
-                    mid[word >> 6] |= 1 << (word & 63)
-                    top |= 1 << (word >> 6)
-                heappush(bucket, at)
+                if bucket := buckets[rank]:
+                    bucket.append(at)  # positions come in order here
+                else:
+                    bucket.append(at)
+                    words[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+        while top:
             # the leftmost position of the lowest rank
-            found = False
-            while top and not found:
-                high = (top & -top).bit_length() - 1
-                level = mid[high]
-                word = high << 6 | ((level & -level).bit_length() - 1)
-                level = low[word]
-                rank = word << 6 | ((level & -level).bit_length() - 1)
-                bucket = buckets[rank]
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            rank = high << 8 | ((word & -word).bit_length() - 1)
+            bucket = buckets[rank]
+            if len(bucket) > 1:
                 at = heappop(bucket)
-                found = waiting[at] == rank  # else it is stale
-                if not bucket:
-                    low[word] = level = level & (level - 1)
-                    if not level:
-                        mid[high] = level = mid[high] & (mid[high] - 1)
-                        if not level:
-                            top &= top - 1
-            if not found:
-                break
+            else:
+                at = bucket.pop()
+                words[high] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
+            if waiting[at] != rank:
+                continue  # stale
             gone = after[at]
-            end = after[gone]
-            after[at] = end
+            after[at] = end = after[gone]
             before[end] = at
-            waiting[gone] = waiting[at] = -1
-            fresh = [(at, get(piece[at : after[end]]))] if end < n else []
+            waiting[gone] = -1
+            if end < n and (rank := get(piece[at : after[end]])) is not None:
+                waiting[at] = rank
+                if bucket := buckets[rank]:
+                    heappush(bucket, at)
+                else:
+                    bucket.append(at)
+                    words[rank >> 8] |= bit[rank & 255]
+                    top |= bit[rank >> 8]
+            else:
+                waiting[at] = -1
             left = before[at]
             if left >= 0:
-                waiting[left] = -1
-                fresh.append((left, get(piece[left:end])))
+                rank = get(piece[left:end])
+                if rank is None:
+                    waiting[left] = -1
+                elif waiting[left] != rank:
+                    waiting[left] = rank
+                    if bucket := buckets[rank]:
+                        heappush(bucket, left)
+                    else:
+                        bucket.append(left)
+                        words[rank >> 8] |= bit[rank & 255]
+                        top |= bit[rank >> 8]
         out, at = [], 0
         while at < n:
             out.append(self.ranks[piece[at : after[at]]])

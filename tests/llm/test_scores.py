@@ -109,7 +109,7 @@ def test_bpe_queue_matches_the_library(library):
         assert list(array("I", own.encode_packed(text))) == encoding.encode_ordinary(text)
     long = "abcde" * 5000 + "".join(rnd.choice("abct") for _ in range(40_000))  # one match
     assert own.encode(long) == encoding.encode_ordinary(long)
-    assert own.queue.mid == [0] * len(own.queue.mid) and not any(own.queue.buckets)
+    assert not any(own.queue.words) and not any(own.queue.buckets)
 
 
 def test_bpe_memory_forgets(library, monkeypatch):
