@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera.operators import windows as W
 
 
@@ -24,7 +26,8 @@ def brute(times, seconds, least):
     return out
 
 
-def test_bursts_match_two_pointers(spark):
+@pytest.mark.parametrize("stretch", [1, 2, 64])
+def test_bursts_match_two_pointers(spark, stretch):
     rnd = random.Random(4)
     rows, want = [], {}
     for key in range(40):
@@ -34,8 +37,10 @@ def test_bursts_match_two_pointers(spark):
             want[key] = found
     df = spark.createDataFrame(rows, "k int, e long, id string")
     got = {}
-    for r in W.bursts(df, "k", "e", "id", 25, 4).collect():
+    for r in W.bursts(df, "k", "e", "id", 25, 4, stretch).collect():
         got.setdefault(r["k"], []).append((r["first"], r["last"], r["calls"]))
     assert {k: sorted(v) for k, v in got.items()} == want
+    hot = {r["id"] for r in W.hot_events(df, "k", "e", 25, 4, stretch).filter("hot").collect()}
+    assert hot == {r["id"] for r in W.islands(df, "k", "e", "id", 25, 4, stretch).collect()} and W.hot_events(df, "k", "e", 25, 4, stretch).count() == len(rows)
     big = {r["k"]: (r["calls"], r["bursts"]) for r in W.largest_burst(W.bursts(df, "k", "e", "id", 25, 4), "k").collect()}
     assert big == {k: (max(c for *_, c in v), len(v)) for k, v in want.items()}
