@@ -89,4 +89,29 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+        n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+        x AS (SELECT doc_id, unnest(s) AS g FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+        t(n, m) AS (SELECT u, v FROM e UNION SELECT t.n, e.v FROM t JOIN e ON t.m = e.u),
+        c AS (SELECT n AS doc_id, least(n, min(m)) AS m FROM t GROUP BY n)
+        SELECT doc_id, n.n AS n_shingles, coalesce(m, doc_id) AS component_id, coalesce(m, doc_id) = doc_id AS kept FROM n LEFT JOIN c USING (doc_id)""",
+    "op7_repeats": r"""
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        k AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(1, n - 198)) AS i FROM h)),
+        d AS (SELECT doc_id, i FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+        f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS st FROM d),
+        g AS (SELECT doc_id, i, sum(st) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS b FROM g GROUP BY doc_id, run),
+        e AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, n + 1, n + 1 FROM h),
+        c AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a) + 1, 1) AS s FROM e),
+        t AS (SELECT c.doc_id, string_agg(substr(h.h, 2 * s - 1, 2 * (a - s)), '' ORDER BY a) AS kept FROM c JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id)
+        SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce((SELECT sum(b - a + 1) FROM r WHERE r.doc_id = h.doc_id), 0) AS BIGINT) AS n_removed,
+          (SELECT count(*) FROM r WHERE r.doc_id = h.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM h JOIN t ON t.doc_id = h.doc_id""",
 }
