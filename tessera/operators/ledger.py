@@ -232,8 +232,8 @@ class Ledger:
         for table, schema, df in (("entries", ENTRY, self.entries()), ("endorsements", ENDORSEMENT, self.endorsements()), ("blocks", BLOCK, self.blocks())):
             names = [c.split()[0] for c in schema.split(", ")]
             newest = df.filter(F.col("node") == target).agg(F.coalesce(F.max("generation"), F.lit(-1))).first()[0] + 1
-            rows = [tuple(r) for r in df.filter(F.col("node") == source).withColumn("node", F.lit(target)).withColumn("generation", F.lit(newest).cast("long")).select(*names).collect()]
-            self._append(table, schema, rows)
+            copied = df.filter(F.col("node") == source).withColumn("node", F.lit(target)).withColumn("generation", F.lit(newest).cast("long"))
+            copied.select(*names).write.mode("append").parquet(f"{self.folder}/{table}")
 
     def heal(self, node: str) -> dict:
         """A copy of a replica in consensus replaces the node's, and the repair is logged."""
