@@ -387,7 +387,8 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
     placed = vertices.select("vertex", "tokens").mapInArrow(B.tidy(_plant), "node long, vertex long")
     edges = []
     for level in range(ROUNDS + 1):
-        sizes = placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1")
+        # written, so that the join below has an exchange of its own, whose large partitions Spark can split
+        sizes = cut(placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1"))
         shared = cut(placed.join(sizes, "node").select("node", "vertex", "n", "pivot"))
         few = shared.filter(F.col("n") <= SMALL).select("node", "vertex").join(sketches, "vertex")
         edges.append(_sorted_map(few.select("node", "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long"))
