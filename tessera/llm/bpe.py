@@ -22,7 +22,7 @@ from tessera.llm.blocks import tidy
 from tessera.llm.token_counts import chunk_text, chunks_of
 
 #: Encoded matches, and chunks of them, that a worker remembers at least (twice as many at most).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer ones are encoded anew each time.
 LONGEST = 200
 IDS = "doc_id long, ids array<int>"
@@ -61,6 +61,10 @@ class Memory(dict):
         self[key] = value
         return value
 
+    def shrink(self) -> None:
+        """Forget the older half: the worker lives on after its task."""
+        self.older = {}
+
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -221,5 +225,7 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
             shas = [sha256(p).hexdigest() for p in packed]
             back = [sha256(own.decode(np.frombuffer(p, "<u4").tolist())).hexdigest() for p in packed]
             yield pa.record_batch([docs, pa.array(counts, pa.int64()), pa.array(shas), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.chunks.shrink()
+        own.matches.shrink()
 
     return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
