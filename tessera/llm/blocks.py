@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.operators.components import cut, shared_dir  # noqa: F401
 
 #: Text bytes worked on at a time; NumPy temporaries are some dozens of times that.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Text bytes of a block.
 BLOCK_BYTES = 14 << 20
 U64 = np.uint64
