@@ -3,9 +3,9 @@
 A document is the set of its distinct word shingles.  Equal sets become one vertex.  Independent trees
 recursively branch the vertices: a node picks one of the minwise tokens (sometimes two, so that a pair at the
 threshold is expected to stay together at every level), and a vertex moves to the child named by its own
-token there.  Small nodes are compared exhaustively on minwise sketches; large ones branch on; what stays
-large although it branched (many near copies) is compared in chunks that all hold the node's pivot, and whatever
-those leave apart is compared with the whole node.  Sketches only propose: vertices that they connect form
+token there.  Small nodes are compared exhaustively on minwise sketches; large ones (many near copies, or a
+shared boilerplate) in chunks that all hold the node's pivot, and whatever those leave apart is compared with the
+whole node.  So a pair meets wherever it shares a node, however large that is.  Sketches only propose: vertices that they connect form
 candidate groups, and within those every pair not yet connected is confirmed, or not, on the full sets.
 Groups of unbounded size are worked in chunks throughout; connections are spanning forests, not all pairs.
 """
@@ -25,10 +25,9 @@ from tessera.operators.components import connected_components, contract, cut, sp
 #: Minwise tokens of a document.
 TOKENS = 64
 #: Independent trees: a pair at the threshold stays together in one with probability above 1/2, so 14 miss
-#: fewer than one such pair in 10,000.
-TREES, DEPTH, DEEPER, ROUNDS = 14, 4, 4, 1
-#: Probability of a second token at a node.  Below a node that is still large there is one token only: a large
-#: group's rows don't multiply, and its members are connected many times over.
+#: about one such pair in 6,700 (1.5e-4), in small nodes and in large ones.
+TREES, DEPTH = 14, 4
+#: Probability of a second token at a node.
 SECOND = 0.25
 #: Rows of a chunk, and of a small node.
 SMALL = 64
@@ -131,14 +130,6 @@ def _plant(batches):
             yield _placed(*_descend(roots, rows, tokens, DEPTH, SECOND), vertices)
 
 
-def _branch(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 16384):
-            some = batch.slice(at, 16384)
-            nodes, vertices = some.column("node").to_numpy().view(np.uint64), some.column("vertex").to_numpy()
-            yield _placed(*_descend(nodes, np.arange(len(nodes)), _tokens(some.column("tokens")), DEEPER, 0.0), vertices)
-
-
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -385,20 +376,13 @@ def _proposed(vertices: DataFrame, least: int) -> DataFrame:
     """Edges that connect every pair of vertices which share a node of some tree and whose sketches agree enough."""
     sketches = vertices.select("vertex", "sketch")
     placed = vertices.select("vertex", "tokens").mapInArrow(B.tidy(_plant), "node long, vertex long")
-    edges = []
-    for level in range(ROUNDS + 1):
-        # written, so that the join below has an exchange of its own, whose large partitions Spark can split
-        sizes = cut(placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1"))
-        shared = cut(placed.join(sizes, "node").select("node", "vertex", "n", "pivot"))
-        few = shared.filter(F.col("n") <= SMALL).select("node", "vertex").join(sketches, "vertex")
-        edges.append(_sorted_map(few.select("node", "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long"))
-        many = shared.filter(F.col("n") > SMALL)
-        if many.isEmpty():
-            many = None
-            break
-        if level < ROUNDS:
-            placed = many.select("node", "vertex").join(vertices.select("vertex", "tokens"), "vertex").select("node", "vertex", "tokens").mapInArrow(B.tidy(_branch), "node long, vertex long")
-    if many is not None:
+    # written, so that the join below has an exchange of its own, whose large partitions Spark can split
+    sizes = cut(placed.groupBy("node").agg(F.count("*").alias("n"), F.min("vertex").alias("pivot")).filter("n > 1"))
+    shared = cut(placed.join(sizes, "node").select("node", "vertex", "n", "pivot"))
+    few = shared.filter(F.col("n") <= SMALL).select("node", "vertex").join(sketches, "vertex")
+    edges = [_sorted_map(few.select("node", "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long")]
+    many = shared.filter(F.col("n") > SMALL)
+    if not many.isEmpty():
         sizes = many.select("node", "n", "pivot").distinct()
         chunks = _in_chunks(many, sizes, "node").join(sketches, "vertex")
         near = _sorted_map(chunks.select(F.col("chunk_key").alias("node"), "vertex", "sketch"), ["node"], _forest(_compare_sketches(least)), "u long, v long")

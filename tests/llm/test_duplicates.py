@@ -154,3 +154,19 @@ def test_loser_tree_never_loses_order():
     assert [s for s, *_ in out] == sorted(s for r, _ in runs for s in r)
     for (a, *_), (b, known, *_) in zip(out, out[1:]):
         assert a[:known] == b[:known] and (known == min(len(a), len(b)) or a[known] != b[known])
+
+
+def test_threshold_pairs_in_large_nodes_are_proposed(spark):
+    # every node that a pair shares also holds a crowd of more than a chunk, whose sketches are far from the pair's
+    rnd = np.random.default_rng(1)
+    pairs, crowd, agree, rows = 100, near_dup.SMALL + 6, 48, []
+    for i in range(pairs):
+        tokens = rnd.integers(0, 1 << 32, (crowd + 2, near_dup.TOKENS), dtype=np.uint32)
+        alike = rnd.permutation(near_dup.TOKENS)[:agree]
+        tokens[:, alike] = tokens[0, alike]
+        sketch = rnd.integers(0, 256, (crowd + 2, near_dup.TOKENS), dtype=np.uint8)
+        sketch[1, alike] = sketch[0, alike]
+        rows += [(1000 * i + j, bytearray(t.tobytes()), bytearray(s.tobytes())) for j, (t, s) in enumerate(zip(tokens, sketch))]
+    vertices = spark.createDataFrame(rows, "vertex long, tokens binary, sketch binary").repartition(4)
+    found = {tuple(sorted((r["u"], r["v"]))) for r in near_dup._proposed(vertices, near_dup.least_agreement(0.8)).collect()}
+    assert found == {(1000 * i, 1000 * i + 1) for i in range(pairs)}
