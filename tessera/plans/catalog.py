@@ -411,11 +411,16 @@ def shortest_path_len(read) -> DataFrame:
     return edges.sparkSession.createDataFrame([(ends["a"], ends["b"], len(path) - 1)] if path else [], "start string, goal string, hops int")
 
 
-def _nation_trade(read) -> DataFrame:
-    """Each nation's two largest buyers of its suppliers' goods."""
+def _nation_flows(read) -> DataFrame:
+    """Deals from one nation's suppliers to another's customers."""
     lines = read("lineitem").join(read("supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), F.col("l_suppkey") == F.col("s_suppkey"))
     orders = read("orders").join(read("customer").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
-    flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _nation_trade(read) -> DataFrame:
+    """Each nation's two largest buyers of its suppliers' goods."""
+    flows = _nation_flows(read)
     by = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
     return flows.withColumn("place", F.row_number().over(by)).filter("place <= 2").select("src", "dst")
 
@@ -436,7 +441,8 @@ def cycles(read) -> DataFrame:
 
 
 def _nation_links(read) -> DataFrame:
-    flows = _nation_trade(read)
+    """Every two nations that trade."""
+    flows = _nation_flows(read)
     name = lambda c: F.concat(F.lit("N"), F.lpad(c.cast("string"), 2, "0"))
     return cut(flows.select(name(F.least("src", "dst")).alias("a"), name(F.greatest("src", "dst")).alias("b")).distinct().withColumn("weight", F.lit(1.0)))
 
