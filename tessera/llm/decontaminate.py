@@ -21,9 +21,9 @@ from tessera.llm import blocks as B
 
 #: Template tokens of a window, and of a reported match (or the whole item, if shorter).
 WINDOW, MATCH = 8, 13
-#: Tokens of a match that must be words, not slots.
+#: Tokens of a template match that must be words, not slots; exact matches need none.
 LEAST_WORDS = 0.5
-#: Items of fewer tokens are too common to look for.
+#: Items of fewer tokens are too common to look for as templates: they match exactly only.
 SHORTEST = 4
 WINDOWS_A_PASS = 2_000_000
 
@@ -106,6 +106,12 @@ def window_hashes(template: np.ndarray, width: int) -> np.ndarray:
     return B.mix(out + np.uint64(width))
 
 
+def _runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Where runs of at least ``least`` true values begin and end."""
+    cuts = np.flatnonzero(~same)
+    return [(a, b) for a, b in zip((np.append(-1, cuts) + 1).tolist(), np.append(cuts, len(same)).tolist()) if b - a >= least]
+
+
 class Benchmark:
     """A bounded part of a benchmark: its items' tokens and the places of their windows, by hash."""
 
@@ -114,7 +120,7 @@ class Benchmark:
         self.template, self.literal, self.at = templates(*B.text_buffers(pa.array(texts, pa.string())))
         self.slots = np.isin(self.template, np.array([NUM, NAME, UNIT]))
         lengths = np.diff(self.at)
-        self.widths = sorted({min(window, int(n)) for n in lengths if n >= SHORTEST})
+        self.widths = sorted({min(window, int(n)) for n in lengths if n})
         #: By width, and whether windows are of literal tokens: sorted hashes, their places, and a first sieve.
         self.index: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width, plain in ((w, p) for w in self.widths for p in (False, True)):
@@ -123,7 +129,8 @@ class Benchmark:
             place = np.arange(len(hashes))
             words = np.append(0, np.cumsum(~self.slots))
             good = (place + width <= self.at[item + 1]) & (np.minimum(window, lengths[item]) == width)
-            good &= words[place + width] - words[place] >= LEAST_WORDS * width
+            if not plain:
+                good &= (words[place + width] - words[place] >= LEAST_WORDS * width) & (lengths[item] >= SHORTEST)
             hashes, place = hashes[good], place[good]
             order = np.argsort(hashes, kind="stable")
             table = np.zeros(1 << 22, bool)
@@ -155,12 +162,16 @@ class Benchmark:
         for t, i, shift in runs.T.tolist():
             low = max(self.at[i], text_at[t] - shift)
             high = min(self.at[i + 1], text_at[t + 1] - shift)
-            same = (self.template[low:high] == template[low + shift : high + shift]) | (self.literal[low:high] == literal[low + shift : high + shift])
-            want = min(match, int(self.at[i + 1] - self.at[i]))
-            cuts = np.flatnonzero(~same)
-            for a, b in zip(np.append(-1, cuts) + 1, np.append(cuts, high - low)):
-                if b - a >= want:
-                    yield from self._consistent(t, i, int(low + a), int(low + b), shift, text_at[t], literal, want)
+            equal = self.literal[low:high] == literal[low + shift : high + shift]
+            want, rows = min(match, int(self.at[i + 1] - self.at[i])), []
+            if self.at[i + 1] - self.at[i] >= SHORTEST:
+                for a, b in _runs(equal | (self.template[low:high] == template[low + shift : high + shift]), want):
+                    rows += self._consistent(t, i, int(low + a), int(low + b), shift, text_at[t], literal, want)
+            yield from rows
+            for a, b in _runs(equal, want):  # what is equal counts by itself, unless it is part of a row
+                first, end = int(low + a + shift - text_at[t]), int(low + b + shift - text_at[t])
+                if not any(r[2] <= first and end <= r[3] for r in rows):
+                    yield t, i, first, end, True
 
     def _consistent(self, t, i, low, high, shift, base, literal, want):
         ours, theirs, slots = self.literal[low:high].tolist(), literal[low + shift : high + shift].tolist(), self.slots[low:high]
@@ -196,9 +207,9 @@ def _find(parts, match: int, window: int):
 def contaminated(documents: DataFrame, benchmark: DataFrame, match: int = MATCH, window: int = WINDOW, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
     """Where documents hold benchmark items: doc_id, item_id, first_word, end_word (words counted from 0), n_words, exact.
 
-    A match is at least ``match`` aligned template tokens, or the whole item if it is shorter, at least half of
-    them words.  Clean documents have no row.  Null and empty texts on either side match nothing, items of
-    fewer than SHORTEST tokens are left out, a null item or document id is reported as null, repeated items and
+    A match is at least ``match`` aligned tokens, or the whole item if it is shorter: equal ones of any kind, or
+    template tokens of which at least half are words.  Items of fewer than SHORTEST tokens have to be equal.
+    Clean documents have no row.  Null and empty texts on either side match nothing, a null item or document id is reported as null, repeated items and
     rows are reported each, an empty table on either side gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession

@@ -42,6 +42,20 @@ def test_short_items_parts_and_columns(spark):
     assert decontaminate.clean_documents(docs, bench).count() == docs.count()
 
 
+def test_exact_copies_need_no_words(spark):
+    table = "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54 57"
+    names = "Ada Berg, Carl Dorn, Eva Falk, Gert Holm, Ida Jung, Kurt Lind, Mona Nord, Olaf Prag"
+    short, one = "SUM 7 9 16", "漢字漢字"
+    other = table.replace("12", "13").replace("30", "31")  # fewer than 13 equal numbers in a row
+    texts = [f"see {table} there", f"list {names} end", f"so {short} is", f"a {one} b", other, "Ada Berg, Carl Dorn", "SUM 8 9 16", f"x {table[6:]} y", "漢字"]
+    got = found(spark, texts, [table, names, short, one])
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 0)} and all(r["exact"] for r in got.values())
+    assert (got[0, 0]["first_word"], got[0, 0]["n_words"], got[7, 0]["n_words"], got[3, 3]["n_words"]) == (1, 16, 14, 1)
+    # equal words count by themselves where a slot that stands for two values cuts the template match
+    item = "5 cats 1 2 3 4 6 7 8 5 9 10 11 12 13 14 15 16"
+    assert found(spark, [item.replace("5 cats", "4 cats")], [item])[0, 0]["n_words"] >= 13
+
+
 def test_matches_agree_with_substrings(spark):
     rnd = random.Random(2)
     vocabulary = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
