@@ -43,7 +43,7 @@ def sha1(body: bytes) -> str:
 def plain_text(page: str) -> str:
     """The text a reader sees, one line a block; entities resolved, white space squeezed."""
     body = _DROP.sub(" ", page)
-    body = _HEAD.sub("\n", body) if "<head" in body[:4096].lower() else body
+    body = _HEAD.sub("\n", body)
     body = _TAG.sub("", _BREAK.sub("\n", body.replace("\n", " ")))
     body = html.unescape(body).replace("\x00", "")
     return _LINES.sub("\n", _BLANK.sub(" ", body)).strip(" \n")

@@ -146,6 +146,10 @@ def test_derivatives(spark, tmp_path):
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+def test_late_head_is_no_text():
+    assert warc.plain_text(" " * 5000 + "<html><head><title>T</title></head><body>" + "<p>x") == "x"
+
+
 def test_own_headers_are_kept(spark):
     pages = spark.createDataFrame([(1, "u", "x", "2024-01-01T00:00:00Z", "<urn:uuid:1>", "HTTP/1.1 200 OK\r\nX: y", "sha1:ABC")], "page_id long, url string, html string, d string, rid string, h string, g string")
     row = warc.derivatives(pages, {"date": "d", "record_id": "rid", "headers": "h", "digest": "g"}).first()
