@@ -1,17 +1,20 @@
-"""Exact top-k inner-product search with two cover trees.
+"""Exact top-k inner-product search with two cover trees, of queries and of all rows.
 
-Vectors are packed into blocks; every block of candidates meets every block of queries.  For a pair of
-blocks both sides are indexed by a cover tree (each node has a centre, a covering radius, and children whose
-centres are separated), and the trees are walked together: a pair of nodes is pruned when
+The top level is shared: centres picked farthest-first from a bounded sample, of which any first few are a coarser
+cover.  Every row goes to the cell of its nearest centre, a cell's rows to blocks, and each block
+gets a cover tree, once (a node has a centre, a covering radius, and children whose centres are separated).
+Nodes, be they blocks or parts of them, meet in pairs, and a pair is pruned when
 
     q . x  <=  cq . cr + |cq| Rr + |cr| Rq + Rq Rr
 
-is below the worst k-th best score of the query node's group.  Blocks' best k are merged by a window.
+is below the worst k-th best score of the query node's group.  Those scores start from the block of rows whose centre
+fits a query block best; then only block pairs that the bound leaves are fetched and their trees walked.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,11 @@ from pyspark.sql.window import Window
 
 from tessera.llm import blocks as B
 
-ROWS_A_BLOCK, QUERIES_A_BLOCK, LEAF, MOST_CHILDREN = 2048, 1024, 48, 24
-_FOUND = "query_id long, vec_id long, score long"
-_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+ROWS_A_BLOCK, QUERIES_A_BLOCK, LEAF, MOST_CHILDREN = 2048, 256, 48, 24
+#: Rows that centres are picked from (those of the smallest hashes), and centres at most.
+SAMPLE, CENTERS = 4096, 1024
+#: Blocks whose centres and radii one row holds when blocks are paired.
+SUMMARIES = 512
 _BIG = float(1 << 52)
 
 
@@ -34,44 +39,99 @@ class Node:
         self.center, self.norm, self.radius, self.rows, self.children = center, norm, radius, rows, children
 
 
+def _gaps(points: np.ndarray, center: np.ndarray) -> np.ndarray:
+    away = points - center
+    return np.sqrt(np.einsum("ij,ij->i", away, away))
+
+
+def farthest_first(points: np.ndarray, first: int, most: int, reach: float) -> tuple[list[int], list[np.ndarray]]:
+    """Up to ``most`` rows, each the farthest from those before, until all are within ``reach``; and all distances to each."""
+    centers, gaps = [first], [_gaps(points, points[first])]
+    near = gaps[0]
+    while len(centers) < most and near.max() > reach:
+        centers.append(int(near.argmax()))
+        gaps.append(_gaps(points, points[centers[-1]]))
+        near = np.minimum(near, gaps[-1])
+    return centers, gaps
+
+
 def cover_tree(points: np.ndarray) -> Node:
     """A cover tree over the rows of ``points``; a level's separation shrinks with its covering radius."""
-    norms = np.einsum("ij,ij->i", points, points)
-    gaps = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2.0 * (points @ points.T), 0.0))
-
-    def net(rows: np.ndarray, center: int, reach: float) -> list[int] | None:
-        """Centres more than ``reach`` apart that cover ``rows``; None if there are too many."""
-        centers, near = [center], gaps[center, rows]
-        while (far := int(near.argmax())) is not None and near[far] > reach:
-            if len(centers) == MOST_CHILDREN:
-                return None
-            centers.append(int(rows[far]))
-            near = np.minimum(near, gaps[centers[-1], rows])
-        return centers
 
     def build(rows: np.ndarray, center: int) -> Node:
-        radius = float(gaps[center, rows].max())
+        own = points[rows]
+        radius = float(_gaps(own, points[center]).max())
         children: list[Node] = []
-        if len(rows) > LEAF and radius > 0:
-            centers = next((c for f in (0.5, 0.6, 0.7, 0.8, 0.9) if (c := net(rows, center, f * radius))), None)
-            if centers is not None and len(centers) > 1:
-                own = gaps[np.ix_(centers, rows)].argmin(axis=0)
-                children = [build(rows[own == k], c) for k, c in enumerate(centers) if (own == k).any()]
-        if len(children) < 2:
-            children = []
-        return Node(points[center], math.sqrt(norms[center]), radius * (1 + 1e-9) + 1e-6, rows, children)
+        if len(rows) > LEAF // 4 and radius > 0:
+            # few rows are worth children only if those are tight
+            reach, enough = (radius / 2, 0.95 * radius) if len(rows) > LEAF else (radius / 8, radius / 4)
+            centers, gaps = farthest_first(own, int(np.flatnonzero(rows == center)[0]), min(MOST_CHILDREN, len(rows) // 4), reach)
+            to = np.argmin(gaps, axis=0)
+            if np.min(gaps, axis=0).max() < enough:
+                children = [build(rows[to == k], int(rows[c])) for k, c in enumerate(centers) if (to == k).any()]
+        norm = float(np.sqrt(points[center] @ points[center]))
+        return Node(points[center], norm, radius * (1 + 1e-9) + 1e-6, rows, children if len(children) > 1 else [])
+
+    return build(np.arange(len(points)), int(_gaps(points, points.mean(axis=0)).argmin()))
+
+
+def flatten(tree: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in the order of the leaves; and each node's number of rows, radius, and number of children, parents first."""
+    order, size, radius, fan = [], [], [], []
+
+    def visit(node: Node) -> None:
+        size.append(len(node.rows))
+        radius.append(node.radius)
+        fan.append(len(node.children))
+        for child in node.children:
+            visit(child)
+        if not node.children:
+            order.append(node.rows)
+
+    visit(tree)
+    return np.concatenate(order), np.array(size), np.array(radius), np.array(fan)
+
+
+def _restore(points: np.ndarray, centers: np.ndarray, size, radius, fan) -> Node:
+    at = 0
+
+    def visit(start: int) -> Node:
+        nonlocal at
+        k, at = at, at + 1
+        children, begin = [], start
+        for _ in range(int(fan[k])):
+            children.append(visit(begin))
+            begin += len(children[-1].rows)
+        center = points[centers[k]]
+        return Node(center, float(np.sqrt(center @ center)), float(radius[k]), np.arange(start, start + int(size[k])), children)
+
+    return visit(0)
+
 
-    everything = np.arange(len(points))
-    return build(everything, int(np.argmin(gaps.max(axis=1))))
+def _centers_of(tree: Node, points: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The place, in leaf order, of each node's centre, parents first."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = []
+
+    def visit(node: Node) -> None:
+        equal = (points[node.rows] == node.center).all(axis=1)
+        out.append(int(place[node.rows[equal.argmax()]]))
+        for child in node.children:
+            visit(child)
+
+    visit(tree)
+    return np.array(out, np.int64)
 
 
 class Best:
-    """The k best of each query so far: score descending, then id ascending."""
+    """The k best of each query so far: score descending, then id ascending; ``floor`` is what they are known to reach."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None):
         self.k = k
         self.score = np.full((queries, k), -np.inf)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
+        self.floor = np.full(queries, -np.inf) if floor is None else floor
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores = np.concatenate([self.score[rows], scores], axis=1)
@@ -80,16 +140,19 @@ class Best:
         self.score[rows] = np.take_along_axis(scores, order, 1)
         self.id[rows] = np.take_along_axis(ids, order, 1)
 
+    def worst(self, rows: np.ndarray) -> float:
+        return float(np.maximum(self.score[rows, -1], self.floor[rows]).min())
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Best:
+
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, trees=None, floor=None) -> Best:
     """For each query its k best points of another id; exact for integer values whose products float64 holds."""
-    best = Best(len(queries), k)
+    best = Best(len(queries), k, floor)
 
     def bound(q: Node, x: Node) -> float:
         return float(q.center @ x.center) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius + 1e-3
 
     def walk(q: Node, x: Node, most: float) -> None:
-        if most < best.score[q.rows, -1].min():
+        if most < best.worst(q.rows):
             return
         if not q.children and not x.children:
             scores = queries[q.rows] @ points[x.rows].T
@@ -101,7 +164,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray,
         for most, a, b in sorted(((bound(a, b), a, b) for a, b in pairs), key=lambda p: -p[0]):
             walk(a, b, most)
 
-    tree_q, tree_x = cover_tree(queries), cover_tree(points)
+    tree_q, tree_x = trees or (cover_tree(queries), cover_tree(points))
     walk(tree_q, tree_x, math.inf)
     return best
 
@@ -122,75 +185,199 @@ def _search_exact(queries, query_ids, points, ids, k) -> Best:
     return best
 
 
-def _unique(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each id; of rows that share it, the first in the order of their values."""
-    order = np.lexsort((*values.T[::-1], ids)) if values.shape[1] else np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    keep = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
-    return ids[keep], values[keep]
+# --- cells and blocks ------------------------------------------------------------------------------
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), np.float64).reshape(len(column), dim)
+
 
+def centers_of(sample: list[list[float]]) -> dict[int, np.ndarray]:
+    """By number of components, centres in farthest-first order."""
+    out = {}
+    for dim, rows in groupby(sorted((r for r in sample if r), key=len), key=len):
+        points = np.unique(np.array(list(rows), np.float64), axis=0)
+        out[dim] = points[farthest_first(points, 0, min(CENTERS, len(points)), 0.0)[0]]
+    return out
+
+
+def _cells(centers: dict[int, np.ndarray], many: int):
+    """Adds each vector's cell: the nearest of the first ``many`` centres."""
 
-def _packed(size: int):
     def run(batches):
-        held: dict[int, list] = {}
+        for batch in batches:
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            cell = np.zeros(len(dims), np.int32)
+            for dim in np.unique(dims):
+                some, at = centers.get(int(dim)), np.flatnonzero(dims == dim)
+                if some is not None:
+                    some = some[:many]
+                    points = _matrix(batch.column("v").take(pa.array(at)), int(dim))
+                    cell[at] = ((some * some).sum(axis=1)[None, :] - 2.0 * (points @ some.T)).argmin(axis=1)
+            yield pa.record_batch([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+BLOCK = "block long, dim int, n int, exact boolean, center binary, radius double, payload binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("exact", pa.bool_()), ("center", pa.binary()), ("radius", pa.float64()), ("payload", pa.binary())])
 
-        def block(dim):
-            ids, values = zip(*held.pop(dim))
-            whole = np.array(values, np.float64).reshape(len(ids), dim)
-            payload = B.pack(np.array(ids, np.int64), whole.ravel())
-            return pa.record_batch([pa.array([dim], pa.int32()), pa.array([payload], pa.binary())], names=["dim", "payload"])
 
+def _build(key, table):
+    """One block's tree, centre and radius."""
+    table = table.sort_by("vec_id")
+    dim = key[1].as_py()
+    ids, points = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
+    most = float(np.abs(points).max(initial=0))
+    exact = most * most * max(1, dim) < _BIG
+    tree = cover_tree(points) if exact else Node(points[0], 0.0, 0.0, np.arange(len(points)), [])
+    order, size, radius, fan = flatten(tree)
+    payload = B.pack(ids[order], points[order].ravel(), _centers_of(tree, points, order), size, radius, fan)
+    columns = [[key[0].as_py()], [dim], [len(ids)], [exact], [tree.center.tobytes()], [tree.radius], [payload]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _BLOCK)], schema=_BLOCK)
+
+
+def _open(payload, dim: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    ids, flat, *tree = B.unpack(payload.as_buffer().to_pybytes())
+    return ids, flat.reshape(len(ids), dim), tuple(tree)
+
+
+def _in_blocks(rows: DataFrame, centers: dict[int, np.ndarray], size: int) -> DataFrame:
+    """Blocks of about ``size`` neighbouring rows (vec_id, dim, v)."""
+    many = max(1, min(CENTERS, -(-rows.count() // size)))
+    placed = rows.mapInArrow(_cells(centers, many), "vec_id long, dim int, v array<double>, cell int")
+    placed = B.cut(placed)
+    lots = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("lots"))
+    dealt = placed.join(lots, ["dim", "cell"]).withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.col("lots")))
+    dealt = dealt.select(F.xxhash64("dim", "cell", "lot").alias("block"), "dim", "vec_id", "v")
+    return B.cut(dealt.groupBy("block", "dim").applyInArrow(_build, BLOCK))
+
+
+# --- pairs of blocks -------------------------------------------------------------------------------
+
+
+def _summaries(blocks: DataFrame, *more: str) -> DataFrame:
+    """Centres and radii of up to some hundred blocks in a row: dim, payload."""
+    lots = max(1, -(-blocks.count() // SUMMARIES))
+
+    def run(key, table):
+        columns = [table.column(c).to_numpy() for c in ("block", "n", "radius", "exact", *more)]
+        payload = B.pack(b"".join(table.column("center").to_pylist()), *columns)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([payload], pa.binary())], names=["dim", "payload"])
+
+    some = blocks.select("dim", "block", "n", "radius", "exact", "center", *more)
+    return some.groupBy("dim", F.pmod("block", F.lit(lots)).alias("lot")).applyInArrow(run, "dim int, payload binary")
+
+
+def _meet(queries: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """Every row of summaries of query blocks with every one of blocks of rows."""
+    salts = B.partitions(rows.sparkSession)
+    queries = queries.withColumnRenamed("payload", "query_payload").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
+    return rows.join(queries, ["dim", "salt"]).select("dim", "query_payload", "payload").mapInArrow(run, schema)
+
+
+def _bounds(dim: int, mine: bytes, theirs: bytes):
+    """Both sides' columns, the products of centres, and the bounds; whatever is too large for them is never pruned."""
+    (c, q, _, r, fine, *more), (d, x, n, s, well, *_) = B.unpack(mine), B.unpack(theirs)
+    c, d = (np.frombuffer(bytearray(side)).reshape(n, dim) for side, n in ((c, len(q)), (d, len(x))))
+    products = c @ d.T
+    bound = products + np.sqrt((c * c).sum(1))[:, None] * s[None, :] + np.sqrt((d * d).sum(1))[None, :] * r[:, None] + r[:, None] * s[None, :] + 1e-3
+    bound[~(fine[:, None].astype(bool) & well[None, :].astype(bool))] = np.inf
+    return q, x, n, more, products, bound
+
+
+def _best_fit(k: int):
+    """Each query block's block of rows with the largest product of centres, among those with more than k rows if any."""
+
+    def run(batches):
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) == size:
-                    yield block(len(v))
-        for dim in list(held):
-            yield block(dim)
+            for dim, mine, theirs in zip(*(batch.column(c) for c in ("dim", "query_payload", "payload"))):
+                q, x, n, _, products, _ = _bounds(dim.as_py(), mine.as_buffer().to_pybytes(), theirs.as_buffer().to_pybytes())
+                at = np.lexsort((np.broadcast_to(-x, products.shape), products, np.broadcast_to(n > k, products.shape)), axis=1)[:, -1]
+                yield pa.record_batch([pa.array(q), pa.array(x[at]), pa.array(n[at] > k), pa.array(products[np.arange(len(q)), at])], names=["q", "x", "full", "fit"])
 
     return run
 
 
-def _open(payload) -> tuple[np.ndarray, np.ndarray]:
-    ids, flat = B.unpack(payload.as_buffer().to_pybytes())
-    return _unique(ids, flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0))
+def _left(batches):
+    """Pairs that the bound leaves: those that may reach the query block's worst k-th score, but for the first pair."""
+    for batch in batches:
+        for dim, mine, theirs in zip(*(batch.column(c) for c in ("dim", "query_payload", "payload"))):
+            q, x, _, (worst, first), _, bound = _bounds(dim.as_py(), mine.as_buffer().to_pybytes(), theirs.as_buffer().to_pybytes())
+            a, b = np.nonzero((bound >= worst[:, None]) & (first[:, None] != x[None, :]))
+            yield pa.record_batch([pa.array(q[a]), pa.array(x[b])], names=["q", "x"])
+
+
+_FOUND = "q long, x long, worst double, floors binary, found binary"
+
 
+def _search(k: int):
+    """Each pair's trees walked: the k best of every query, and what they reach."""
 
-def _meet(k: int):
     def run(batches):
         for batch in batches:
-            for mine, theirs in zip(batch.column("query_payload"), batch.column("payload")):
-                (query_ids, queries), (ids, points) = _open(mine), _open(theirs)
-                most = float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * max(1, points.shape[1])
-                exact = most < _BIG and float(np.abs(points).max(initial=0)) ** 2 * max(1, points.shape[1]) < _BIG
-                best = (dual_search if exact else _search_exact)(queries, query_ids, points, ids, k)
-                row, col = np.nonzero((best.id != np.iinfo(np.int64).max) & (best.score != -np.inf))
-                yield pa.record_batch([pa.array(query_ids[row]), pa.array(best.id[row, col]), pa.array([int(s) for s in best.score[row, col]], pa.int64())], schema=_ARROW)
+            columns = (batch.column(c) for c in ("q", "x", "dim", "query_payload", "payload", "floors"))
+            for q, x, dim, mine, theirs, floors in zip(*columns):
+                (query_ids, queries, one), (ids, points, two) = _open(mine, dim.as_py()), _open(theirs, dim.as_py())
+                most = float(np.abs(queries).max(initial=0)), float(np.abs(points).max(initial=0))
+                if max(most) ** 2 * max(1, dim.as_py()) < _BIG:
+                    known = B.unpack(floors.as_py())[0] if floors.is_valid else None
+                    best = dual_search(queries, query_ids, points, ids, k, (_restore(queries, *one), _restore(points, *two)), known)
+                    keep, reach = best.score >= best.floor[:, None], np.maximum(best.score[:, -1], best.floor)
+                else:
+                    best = _search_exact(queries, query_ids, points, ids, k)
+                    keep, reach = np.ones((len(queries), k), bool), np.full(len(queries), -np.inf)
+                row, col = np.nonzero((best.id != np.iinfo(np.int64).max) & (best.score != -np.inf) & keep)
+                found = B.pack(query_ids[row], best.id[row, col], np.array([int(s) for s in best.score[row, col]], np.int64))
+                yield pa.record_batch([pa.array([q.as_py()]), pa.array([x.as_py()]), pa.array([float(reach.min())]), pa.array([B.pack(reach)], pa.binary()), pa.array([found], pa.binary())], names=["q", "x", "worst", "floors", "found"])
 
     return run
 
 
+def _unpacked(batches):
+    for batch in batches:
+        for found in batch.column("found"):
+            yield pa.record_batch(B.unpack(found.as_py()), names=["query_id", "vec_id", "score"])
+
+
+def _searched(pairs: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    mine = queries.select(F.col("block").alias("q"), "dim", F.col("payload").alias("query_payload"), "floors")
+    theirs = rows.select(F.col("block").alias("x"), "payload")
+    return pairs.join(mine, "q").join(theirs, "x").select("q", "x", "dim", "query_payload", "payload", "floors").mapInArrow(B.tidy(_search(k)), _FOUND)
+
+
+def block_pairs(queries: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks in, ``_searched`` first pairs and the pairs (q, x) that are still to be searched out, with the queries' floors."""
+    summaries = B.cut(_summaries(rows))
+    fits = _meet(_summaries(queries), summaries, _best_fit(k), "q long, x long, full boolean, fit double")
+    first = fits.groupBy("q").agg(F.max(F.struct("full", "fit", F.negative("x").alias("x"))).alias("b")).select("q", F.negative("b.x").alias("x"))
+    seeds = B.cut(_searched(first, queries.withColumn("floors", F.lit(None).cast("binary")), rows, k))
+    known = B.cut(queries.join(seeds.select(F.col("q").alias("block"), F.col("x").alias("first"), "worst", "floors"), "block"))
+    left = _meet(_summaries(known, "worst", "first"), summaries, _left, "q long, x long")
+    return seeds, _searched(left, known, rows, k)
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Each query's ``k`` highest integer inner products with other rows: query_id, rank, vec_id, score.
 
     Components become floor(scale * x), x as double; ties go to the smaller id; a query with fewer
     candidates gets all.  Rows with a null id, a null vector, or a null or non-finite component take no part;
-    vectors meet only those of their own length; rows that share an id count once (the smallest vector);
-    scores beyond 64 bits are held at the limit; an empty table gives no rows; other columns are ignored.
+    vectors meet only those of their own length; of rows that share an id and a length the smallest vector counts,
+    wherever they are stored; scores beyond 64 bits are held at the limit; an empty table gives no rows; other
+    columns are ignored.  Centres come from a sample of SAMPLE rows; they decide on speed only.
     """
     good = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     floors = F.transform(vector_column, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = vectors.filter(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & good)
-    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), floors.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    salts = B.partitions(vectors.sparkSession)
-    asked = rows.filter("asked").select("vec_id", "v")
-    lots = max(1, -(-asked.count() // QUERIES_A_BLOCK))
-    queries = asked.repartition(lots, F.pmod(F.xxhash64("vec_id"), F.lit(lots)))
-    queries = queries.mapInArrow(_packed(QUERIES_A_BLOCK), "dim int, payload binary").withColumnRenamed("payload", "query_payload")
-    queries = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = rows.select("vec_id", "v").mapInArrow(_packed(ROWS_A_BLOCK), "dim int, payload binary")
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("payload"), F.lit(salts)).cast("int"))
-    found = blocks.join(queries, ["dim", "salt"]).select("query_payload", "payload").mapInArrow(_meet(k), _FOUND)
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.size(vector_column).alias("dim"), floors.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    rows = B.cut(rows.groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
+    centers = centers_of([r["v"] for r in sample])
+    points = _in_blocks(rows.select("vec_id", "dim", "v"), centers, ROWS_A_BLOCK)
+    queries = _in_blocks(rows.filter("asked").select("vec_id", "dim", "v"), centers, QUERIES_A_BLOCK)
+    seeds, rest = block_pairs(queries, points, k)
+    found = seeds.unionByName(rest).select("found").mapInArrow(_unpacked, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

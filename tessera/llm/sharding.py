@@ -1,10 +1,10 @@
 """Sharding by histogram sort: splitters from exact byte counts, then one exchange.
 
-Rows are keyed by (hash of the text, hash of the id), so equal texts are neighbours.  Rounds of probes cut
-each unresolved key interval into 4,096 parts and count, in every partition, the exact bytes in each part;
-the driver sees those counts only (at most 4,096 for each splitter) and keeps the part that
-holds the wanted boundary, until a boundary is within tolerance.  Boundaries between texts are tried
-first, so copies stay together unless a group of them is too large for that; then the id's hash splits it.
+Rows are keyed by the first 60 bits of their text's MD5, so equal texts share a key.  Rounds of probes cut each
+unresolved key interval into 4,096 parts and count, in every partition, the exact bytes in each part; the
+driver sees those counts only (at most 4,096 for each splitter) and keeps the part that holds the
+wanted boundary, until a boundary is within tolerance or lies between two neighbouring keys.  Boundaries
+stand between texts always, so a group of equal texts is never cut: the nearer of its two ends counts.
 DataFrame operations only.
 """
 
@@ -18,75 +18,53 @@ from pyspark.sql.window import Window
 
 from tessera.llm import blocks as B
 
-#: Bits of the key settled by each round, as the shift that leaves them: first of the text's hash, then of the id's.
-SHIFTS = (52, 40, 28, 16, 4, 0)
+#: Bits of the key that each round leaves open.
+SHIFTS = (48, 36, 24, 12, 0)
 #: Tolerated distance of a boundary from its target, in mean shard sizes.
 TOLERANCE = 0.001
 #: Rows numbered by one task.
 ROWS_A_TASK = 250_000
 
 
-def _probe(rows: DataFrame, level: int, open_prefixes: list[tuple[int, int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """Bytes in each part of the open intervals, in key order.  An interval is (prefix of the text's hash, prefix of the id's)."""
-    n = len(SHIFTS)
-    if level < n:
-        part = F.shiftright("text_key", SHIFTS[level])
-        whole = F.shiftright("text_key", SHIFTS[level - 1]) if level else F.lit(0).cast("long")
-        wanted, held = [p[0] for p in open_prefixes], F.lit(0).cast("long")
-    else:
-        k = level - n
-        part = F.shiftright("id_key", SHIFTS[k])
-        whole, held = F.col("text_key"), F.shiftright("id_key", SHIFTS[k - 1]) if k else F.lit(0).cast("long")
-        wanted = sorted({p[0] for p in open_prefixes})
-    counted = rows.select(whole.alias("a"), held.alias("b"), part.alias("part"), "size").filter(F.col("a").isin(wanted))
-    if level > n:
-        counted = counted.filter(F.col("b").isin(sorted({p[1] for p in open_prefixes})))
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {p: [] for p in open_prefixes}
-    for r in counted.groupBy("a", "b", "part").agg(F.sum("size").alias("bytes")).collect():
-        if (r["a"], r["b"]) in out:
-            out[r["a"], r["b"]].append((r["part"], r["bytes"]))
+def _probe(rows: DataFrame, level: int, prefixes: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """Bytes in each part of the open intervals, in key order; an interval is a prefix of the key."""
+    whole = F.shiftright("text_key", SHIFTS[level - 1]) if level else F.lit(0).cast("long")
+    inside = rows.select(whole.alias("whole"), F.shiftright("text_key", SHIFTS[level]).alias("part"), "size").filter(F.col("whole").isin(prefixes))
+    out: dict[int, list[tuple[int, int]]] = {p: [] for p in prefixes}
+    for r in inside.groupBy("whole", "part").agg(F.sum("size").alias("bytes")).collect():
+        out[r["whole"]].append((r["part"], r["bytes"]))
     return {k: sorted(v) for k, v in out.items()}
 
 
-def splitters(rows: DataFrame, shards: int, total: int, tolerance: float) -> list[tuple[int, int]]:
-    """The first key (text_key, id_key) of each shard but the first, so that shards hold nearly equal bytes."""
-    n, lowest = len(SHIFTS), -(1 << 63)
-    found: list[tuple[int, int] | None] = [None] * (shards - 1)
+def splitters(rows: DataFrame, shards: int, total: int, tolerance: float) -> list[int]:
+    """The first key of each shard but the first, so that shards hold nearly equal bytes."""
+    found = [0] * (shards - 1)
     # of each unresolved boundary: its interval and the bytes below that
-    state = {i: ((0, 0), 0) for i in range(shards - 1)}
-    for level in range(2 * n):
+    state = dict.fromkeys(range(shards - 1), (0, 0))
+    for level, shift in enumerate(SHIFTS):
         if not state:
             break
         parts = _probe(rows, level, sorted({p for p, _ in state.values()}))
         for i, (prefix, below) in list(state.items()):
             target = total * (i + 1) / shards
-            keys, sums = [k for k, _ in parts[prefix]], [below]
+            sums = [below]
             for _, size in parts[prefix]:
                 sums.append(sums[-1] + size)
-            at = max(1, min(len(keys), bisect_left(sums, target)))  # the boundary lies in the part before sums[at]
-            low, high = target - sums[at - 1], sums[at] - target
-            last = level == 2 * n - 1
-            if not keys:
-                found[i] = (lowest, lowest)
-            elif min(low, high) <= tolerance * total / shards or last:
-                key = keys[at - 1] if low <= high else keys[at - 1] + 1
-                shift = SHIFTS[level % n]
-                if key << shift >= 1 << 63:  # above every key
-                    key, shift = (1 << 63) - 1, 0
-                found[i] = (key << shift, lowest) if level < n else (prefix[0], key << shift)
+            at = max(1, bisect_left(sums, target))  # the boundary lies in the part before sums[at]
+            key, low, high = parts[prefix][at - 1][0], target - sums[at - 1], sums[at] - target
+            if min(low, high) <= tolerance * total / shards or not shift:
+                found[i] = (key if low <= high else key + 1) << shift
+                del state[i]
             else:
-                inner = keys[at - 1]
-                state[i] = ((inner, 0) if level < n else (prefix[0], inner), sums[at - 1])
-                continue
-            del state[i]
-    return [f if f is not None else (lowest, lowest) for f in found]
+                state[i] = key, sums[at - 1]
+    return found
 
 
-def _shard(bounds: list[tuple[int, int]]) -> Column:
+def _shard(bounds: list[int]) -> Column:
     """How many splitters lie at or below a row's key."""
     out = F.lit(0)
-    for a, b in bounds:
-        out = out + ((F.col("text_key") > a) | ((F.col("text_key") == a) & (F.col("id_key") >= b))).cast("int")
+    for bound in bounds:
+        out = out + (F.col("text_key") >= bound).cast("int")
     return out
 
 
@@ -94,9 +72,10 @@ def shard(documents: DataFrame, shards: int = 40, tolerance: float = TOLERANCE,
     """Put rows into shards of nearly equal bytes (text bytes plus 16 a row) and number each shard's rows.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in a shard) and
-    grown_shard (null: this law has none).  A null text has no bytes and the crc of the empty text, a null id is
-    a value like any other, repeated rows are separate rows in any order, an empty table gives no rows,
-    and other columns are ignored.  A row larger than a shard's share leaves neighbours small or empty.
+    grown_shard (null: this law has none).  Equal texts share a shard, whatever their number: a group larger than a
+    shard's share leaves neighbours small or empty, as a large row does.  A null text has no bytes and goes
+    with the empty ones, a null id is a value like any other, repeated rows are separate rows in any order, an
+    empty table gives no rows, and other columns are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -106,16 +85,15 @@ def shard(documents: DataFrame, shards: int = 40, tolerance: float = TOLERANCE,
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("text_key"),
-            F.xxhash64("doc_id").alias("id_key"),
+            F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("text_key"),
         )
     )
     n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bounds = splitters(rows, shards, total, tolerance) if n_rows else []
     dealt = rows.withColumn("shard", _shard(bounds).cast("int"))
     lots = max(1, -(-n_rows // (shards * rows_a_task)))
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("id_key", F.lit(1)), F.lit(lots)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("shard", "lot").orderBy("text_key", "id_key")).cast("long") - 1
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(lots)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("shard", "lot").orderBy("text_key", "doc_id")).cast("long") - 1
     numbered = dealt.withColumn("place", place)
     if lots > 1:
         before = Window.partitionBy("shard").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
