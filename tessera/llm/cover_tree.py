@@ -28,7 +28,7 @@ ROWS_A_BLOCK, QUERIES_A_BLOCK, LEAF, MOST_CHILDREN = 2048, 256, 48, 24
 #: Rows that centres are picked from (those of the smallest hashes), and centres at most.
 SAMPLE, CENTERS = 4096, 1024
 #: Blocks whose centres and radii one row holds when blocks are paired.
-SUMMARIES = 512
+SUMMARIES = 1024
 _BIG = float(1 << 52)
 
 
@@ -202,39 +202,66 @@ def centers_of(sample: list[list[float]]) -> dict[int, np.ndarray]:
     return out
 
 
-def _cells(centers: dict[int, np.ndarray], many: int):
-    """Adds each vector's cell: the nearest of the first ``many`` centres."""
+class Cells:
+    """The first ``many`` centres of each number of components, and how many blocks a cell is dealt to.
+
+    The sample tells about how many of all ``rows`` rows a cell holds; blocks are to have ``size`` of them.
+    """
+
+    def __init__(self, centers: dict[int, np.ndarray], sample: list[list[float]], rows: int, size: int):
+        many = max(1, min(CENTERS, -(-rows // size)))
+        self.centers, self.lots = {d: c[:many] for d, c in centers.items()}, {}
+        by_dim = {d: np.array([v for v in sample if len(v) == d], np.float64) for d in centers}
+        for dim, points in by_dim.items():
+            held = np.bincount(self.nearest(points, dim), minlength=len(self.centers[dim]))
+            self.lots[dim] = np.maximum(1, np.ceil(held * rows / (len(sample) * size))).astype(np.int64)
+
+    def nearest(self, points: np.ndarray, dim: int) -> np.ndarray:
+        some = self.centers[dim]
+        return ((some * some).sum(axis=1)[None, :] - 2.0 * (points @ some.T)).argmin(axis=1)
+
+    def blocks(self, ids: np.ndarray, points: np.ndarray, dim: int) -> np.ndarray:
+        """Each vector's block: its cell, and its lot there by the hash of its id."""
+        mixed = B.mix(ids.astype(np.uint64) + np.uint64(dim))
+        if dim not in self.centers:
+            return np.zeros(len(ids), np.int64)
+        cell = self.nearest(points, dim)
+        return cell << 32 | (mixed % self.lots[dim][cell].astype(np.uint64)).astype(np.int64)
+
+
+def _placed(points: Cells, queries: Cells):
+    """Each row with its block of rows, and once more with its block of queries if it is one."""
+    schema = pa.schema([("asked", pa.bool_()), ("block", pa.int64()), ("dim", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            cell = np.zeros(len(dims), np.int32)
+            dims, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "vec_id"))
+            asks = np.asarray(batch.column("asked").to_numpy(zero_copy_only=False), bool)
             for dim in np.unique(dims):
-                some, at = centers.get(int(dim)), np.flatnonzero(dims == dim)
-                if some is not None:
-                    some = some[:many]
-                    points = _matrix(batch.column("v").take(pa.array(at)), int(dim))
-                    cell[at] = ((some * some).sum(axis=1)[None, :] - 2.0 * (points @ some.T)).argmin(axis=1)
-            yield pa.record_batch([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+                for asked, cells in ((False, points), (True, queries)):
+                    at = np.flatnonzero((dims == dim) & asks) if asked else np.flatnonzero(dims == dim)
+                    some = batch.take(pa.array(at))
+                    block = cells.blocks(ids[at], _matrix(some.column("v"), int(dim)), int(dim))
+                    yield pa.record_batch([pa.array([asked] * len(at), pa.bool_()), pa.array(block), some.column("dim"), some.column("vec_id"), some.column("v").cast(schema.field("v").type)], schema=schema)
 
     return run
 
 
-BLOCK = "block long, dim int, n int, exact boolean, center binary, radius double, payload binary"
-_BLOCK = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("exact", pa.bool_()), ("center", pa.binary()), ("radius", pa.float64()), ("payload", pa.binary())])
+BLOCK = "asked boolean, block long, dim int, n int, exact boolean, center binary, radius double, payload binary"
+_BLOCK = pa.schema([("asked", pa.bool_()), ("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("exact", pa.bool_()), ("center", pa.binary()), ("radius", pa.float64()), ("payload", pa.binary())])
 
 
 def _build(key, table):
     """One block's tree, centre and radius."""
     table = table.sort_by("vec_id")
-    dim = key[1].as_py()
+    dim = key[2].as_py()
     ids, points = table.column("vec_id").to_numpy(), _matrix(table.column("v"), dim)
     most = float(np.abs(points).max(initial=0))
     exact = most * most * max(1, dim) < _BIG
     tree = cover_tree(points) if exact else Node(points[0], 0.0, 0.0, np.arange(len(points)), [])
     order, size, radius, fan = flatten(tree)
     payload = B.pack(ids[order], points[order].ravel(), _centers_of(tree, points, order), size, radius, fan)
-    columns = [[key[0].as_py()], [dim], [len(ids)], [exact], [tree.center.tobytes()], [tree.radius], [payload]]
+    columns = [[key[0].as_py()], [key[1].as_py()], [dim], [len(ids)], [exact], [tree.center.tobytes()], [tree.radius], [payload]]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _BLOCK)], schema=_BLOCK)
 
 
@@ -243,23 +270,11 @@ def _open(payload, dim: int) -> tuple[np.ndarray, np.ndarray, tuple]:
     return ids, flat.reshape(len(ids), dim), tuple(tree)
 
 
-def _in_blocks(rows: DataFrame, centers: dict[int, np.ndarray], size: int) -> DataFrame:
-    """Blocks of about ``size`` neighbouring rows (vec_id, dim, v)."""
-    many = max(1, min(CENTERS, -(-rows.count() // size)))
-    placed = rows.mapInArrow(_cells(centers, many), "vec_id long, dim int, v array<double>, cell int")
-    placed = B.cut(placed)
-    lots = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("lots"))
-    dealt = placed.join(lots, ["dim", "cell"]).withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.col("lots")))
-    dealt = dealt.select(F.xxhash64("dim", "cell", "lot").alias("block"), "dim", "vec_id", "v")
-    return B.cut(dealt.groupBy("block", "dim").applyInArrow(_build, BLOCK))
-
-
 # --- pairs of blocks -------------------------------------------------------------------------------
 
 
-def _summaries(blocks: DataFrame, *more: str) -> DataFrame:
-    """Centres and radii of up to some hundred blocks in a row: dim, payload."""
-    lots = max(1, -(-blocks.count() // SUMMARIES))
+def _summaries(blocks: DataFrame, lots: int, *more: str) -> DataFrame:
+    """Centres and radii of some hundred blocks in a row: dim, payload."""
 
     def run(key, table):
         columns = [table.column(c).to_numpy() for c in ("block", "n", "radius", "exact", *more)]
@@ -267,7 +282,7 @@ def _summaries(blocks: DataFrame, *more: str) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([payload], pa.binary())], names=["dim", "payload"])
 
     some = blocks.select("dim", "block", "n", "radius", "exact", "center", *more)
-    return some.groupBy("dim", F.pmod("block", F.lit(lots)).alias("lot")).applyInArrow(run, "dim int, payload binary")
+    return some.groupBy("dim", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot")).applyInArrow(run, "dim int, payload binary")
 
 
 def _meet(queries: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
@@ -296,7 +311,7 @@ def _best_fit(k: int):
             for dim, mine, theirs in zip(*(batch.column(c) for c in ("dim", "query_payload", "payload"))):
                 q, x, n, _, products, _ = _bounds(dim.as_py(), mine.as_buffer().to_pybytes(), theirs.as_buffer().to_pybytes())
                 at = np.lexsort((np.broadcast_to(-x, products.shape), products, np.broadcast_to(n > k, products.shape)), axis=1)[:, -1]
-                yield pa.record_batch([pa.array(q), pa.array(x[at]), pa.array(n[at] > k), pa.array(products[np.arange(len(q)), at])], names=["q", "x", "full", "fit"])
+                yield pa.record_batch([pa.array(q), pa.array(x[at]), pa.array(n[at] > k), pa.array(products[np.arange(len(q)), at])], names=["q", "x", "full", "fit"]).add_column(0, "dim", pa.array([dim.as_py()] * len(q), pa.int32()))
 
     return run
 
@@ -307,10 +322,10 @@ def _left(batches):
         for dim, mine, theirs in zip(*(batch.column(c) for c in ("dim", "query_payload", "payload"))):
             q, x, _, (worst, first), _, bound = _bounds(dim.as_py(), mine.as_buffer().to_pybytes(), theirs.as_buffer().to_pybytes())
             a, b = np.nonzero((bound >= worst[:, None]) & (first[:, None] != x[None, :]))
-            yield pa.record_batch([pa.array(q[a]), pa.array(x[b])], names=["q", "x"])
+            yield pa.record_batch([pa.array([dim.as_py()] * len(a), pa.int32()), pa.array(q[a]), pa.array(x[b])], names=["dim", "q", "x"])
 
 
-_FOUND = "q long, x long, worst double, floors binary, found binary"
+_FOUND = "dim int, q long, x long, worst double, floors binary, found binary"
 
 
 def _search(k: int):
@@ -331,7 +346,7 @@ def _search(k: int):
                     keep, reach = np.ones((len(queries), k), bool), np.full(len(queries), -np.inf)
                 row, col = np.nonzero((best.id != np.iinfo(np.int64).max) & (best.score != -np.inf) & keep)
                 found = B.pack(query_ids[row], best.id[row, col], np.array([int(s) for s in best.score[row, col]], np.int64))
-                yield pa.record_batch([pa.array([q.as_py()]), pa.array([x.as_py()]), pa.array([float(reach.min())]), pa.array([B.pack(reach)], pa.binary()), pa.array([found], pa.binary())], names=["q", "x", "worst", "floors", "found"])
+                yield pa.record_batch([pa.array([dim.as_py()], pa.int32()), pa.array([q.as_py()]), pa.array([x.as_py()]), pa.array([float(reach.min())]), pa.array([B.pack(reach)], pa.binary()), pa.array([found], pa.binary())], names=["dim", "q", "x", "worst", "floors", "found"])
 
     return run
 
@@ -344,18 +359,17 @@ def _unpacked(batches):
 
 def _searched(pairs: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     mine = queries.select(F.col("block").alias("q"), "dim", F.col("payload").alias("query_payload"), "floors")
-    theirs = rows.select(F.col("block").alias("x"), "payload")
-    return pairs.join(mine, "q").join(theirs, "x").select("q", "x", "dim", "query_payload", "payload", "floors").mapInArrow(B.tidy(_search(k)), _FOUND)
+    theirs = rows.select(F.col("block").alias("x"), "dim", "payload")
+    return pairs.join(mine, ["dim", "q"]).join(theirs, ["dim", "x"]).select("q", "x", "dim", "query_payload", "payload", "floors").mapInArrow(B.tidy(_search(k)), _FOUND)
 
 
-def block_pairs(queries: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks in, ``_searched`` first pairs and the pairs (q, x) that are still to be searched out, with the queries' floors."""
-    summaries = B.cut(_summaries(rows))
-    fits = _meet(_summaries(queries), summaries, _best_fit(k), "q long, x long, full boolean, fit double")
-    first = fits.groupBy("q").agg(F.max(F.struct("full", "fit", F.negative("x").alias("x"))).alias("b")).select("q", F.negative("b.x").alias("x"))
+def block_pairs(queries: DataFrame, rows: DataFrame, k: int, lots: tuple[int, int] = (1, 1)) -> tuple[DataFrame, DataFrame]:
+    """The searched first pair of each block of queries, and the searched pairs that are left by what those reach."""
+    fits = _meet(_summaries(queries, lots[0]), _summaries(rows, lots[1]), _best_fit(k), "dim int, q long, x long, full boolean, fit double")
+    first = fits.groupBy("dim", "q").agg(F.max(F.struct("full", "fit", F.negative("x").alias("x"))).alias("b")).select("dim", "q", F.negative("b.x").alias("x"))
     seeds = B.cut(_searched(first, queries.withColumn("floors", F.lit(None).cast("binary")), rows, k))
-    known = B.cut(queries.join(seeds.select(F.col("q").alias("block"), F.col("x").alias("first"), "worst", "floors"), "block"))
-    left = _meet(_summaries(known, "worst", "first"), summaries, _left, "q long, x long")
+    known = queries.join(seeds.select("dim", F.col("q").alias("block"), F.col("x").alias("first"), "worst", "floors"), ["dim", "block"])
+    left = _meet(_summaries(known, lots[0], "worst", "first"), _summaries(rows, lots[1]), _left, "dim int, q long, x long")
     return seeds, _searched(left, known, rows, k)
 
 
@@ -372,12 +386,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0, id_col
     floors = F.transform(vector_column, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = vectors.filter(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & good)
     rows = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.size(vector_column).alias("dim"), floors.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
-    rows = B.cut(rows.groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("asked").alias("asked")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    centers = centers_of([r["v"] for r in sample])
-    points = _in_blocks(rows.select("vec_id", "dim", "v"), centers, ROWS_A_BLOCK)
-    queries = _in_blocks(rows.filter("asked").select("vec_id", "dim", "v"), centers, QUERIES_A_BLOCK)
-    seeds, rest = block_pairs(queries, points, k)
+    n, asked = rows.agg(F.count("*"), F.count_if("asked")).first()
+    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    centers = centers_of(sample)
+    cells = Cells(centers, sample, n, ROWS_A_BLOCK), Cells(centers, sample, asked, QUERIES_A_BLOCK)
+    once = rows.groupBy("vec_id", "dim").agg(F.min("v").alias("v"), F.max("asked").alias("asked"))
+    placed = once.mapInArrow(_placed(*cells), "asked boolean, block long, dim int, vec_id long, v array<double>")
+    blocks = B.cut(placed.groupBy("asked", "block", "dim").applyInArrow(_build, BLOCK))
+    lots = tuple(-(-(m // size + CENTERS) // SUMMARIES) for m, size in ((asked, QUERIES_A_BLOCK), (n, ROWS_A_BLOCK)))
+    seeds, rest = block_pairs(blocks.filter("asked"), blocks.filter("NOT asked"), k, lots)
     found = seeds.unionByName(rest).select("found").mapInArrow(_unpacked, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -89,6 +89,20 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_shards": """
+        WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS crc),
+        d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        u AS (SELECT text, md5(text) AS m, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS size,
+            xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+              lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1]))) AS text_crc32 FROM (SELECT DISTINCT text FROM d), t),
+        r AS (SELECT doc_id, size, text_crc32, CAST('0x' || substr(m, 1, 15) AS BIGINT) AS k FROM d JOIN u USING (text)),
+        a AS (SELECT i, (SELECT sum(size) FROM r) * i / 40.0 AS target, (SELECT sum(size) FROM r) / 40.0 AS share FROM range(1, 40) x(i)),
+        p AS (SELECT s, k >> s AS part, sum(size) AS bytes FROM r, (SELECT unnest([48, 36, 24, 12, 0]) AS s) GROUP BY 1, 2),
+        c AS (SELECT *, sum(bytes) OVER (PARTITION BY s ORDER BY part) AS upto FROM p),
+        b AS (SELECT i, s, target, share, arg_min(part, part) AS part, arg_min(target - (upto - bytes), part) AS low, arg_min(upto - target, part) AS high FROM a JOIN c ON upto >= target GROUP BY ALL),
+        f AS (SELECT i, arg_max((CASE WHEN low <= high THEN part ELSE part + 1 END) << s, s) AS bound FROM b WHERE least(low, high) <= 0.001 * share OR s = 0 GROUP BY i),
+        g AS (SELECT *, (SELECT count(*) FROM f WHERE f.bound <= r.k) AS shard FROM r)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM g""",
     "op5_near_duplicates": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

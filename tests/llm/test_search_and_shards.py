@@ -68,9 +68,9 @@ def test_blocks_are_pruned(spark, monkeypatch):
     asked = {}
     pairs = cover_tree.block_pairs
 
-    def spy(queries, points, k):
+    def spy(queries, points, k, lots):
         asked["all"] = queries.crossJoin(points.select(F.col("n").alias("m"))).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
-        seeds, rest = pairs(queries, points, k)
+        seeds, rest = pairs(queries, points, k, lots)
         both = seeds.select("q", "x").unionByName(rest.select("q", "x"))
         of = lambda df, c, n: df.select(F.col("block").alias(c), F.col("n").alias(n))
         asked["met"] = both.join(of(queries, "q", "a"), "q").join(of(points, "x", "b"), "x").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
