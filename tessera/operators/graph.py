@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -351,8 +353,8 @@ def collapse(nodes: DataFrame, edges: DataFrame, center: str, over: int = COLLAP
     return kept, left.unionByName(added, allowMissingColumns=True)
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most: int = 30) -> list[str]:
-    """Node ids along a shortest undirected path without hubs (smallest ids first on ties); [] if there is none."""
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> list[str]:
+    """Node ids along a shortest undirected path without hubs (smallest ids first on ties); [] if there is none, at any length."""
     plain = nodes.filter(~F.col("type").isin(HUBS)).select(F.col("id").alias("n"))
     if plain.filter(F.col("n").isin(start, end)).count() < len({start, end}):
         return []
@@ -361,20 +363,17 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, most
     ways = edges.select(F.col("src").alias("n"), F.col("dst").alias("m")).unionByName(edges.select(F.col("dst").alias("n"), F.col("src").alias("m"))).distinct()
     ways = cut(ways.join(plain, "n", "left_semi").join(plain.withColumnRenamed("n", "m"), "m", "left_semi"))
     seen = plain.filter(F.col("n") == start).select("n", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via"))
-    for hop in range(1, most + 1):
+    for hop in itertools.count(1):
         reached = seen.filter(F.col("hop") == hop - 1).select("n").join(ways, "n").groupBy("m").agg(F.min("n").alias("via"))
-        reached = reached.withColumnRenamed("m", "n").join(seen, "n", "left_anti").select("n", F.lit(hop).alias("hop"), "via")
-        before, seen = seen, cut(seen.unionByName(reached))
-        if not seen.filter(F.col("n") == end).isEmpty():
-            break
-        if seen.count() == before.count():
+        reached = cut(reached.withColumnRenamed("m", "n").join(seen, "n", "left_anti").select("n", F.lit(hop).alias("hop"), "via"))
+        if reached.isEmpty():
             return []
+        seen = cut(seen.unionByName(reached))
+        if not reached.filter(F.col("n") == end).isEmpty():
+            break
     path, at = [end], end
     while at != start:  # one row a hop
-        row = seen.filter(F.col("n") == at).first()
-        if row is None:
-            return []
-        at = row["via"]
+        at = seen.filter(F.col("n") == at).first()["via"]
         path.append(at)
     return path[::-1]
 

@@ -179,6 +179,41 @@ def resolve(persons: DataFrame, reports: DataFrame, decisions: DataFrame | None
     return {"prepared": prepared, "pairs": pairs, "members": members, "masters": golden_records(members, prepared, reports), "review": review}
 
 
+def golden_list(resolved: dict[str, DataFrame]) -> DataFrame:
+    """Merged persons, those of most records first, with ``place``, their ``records``, and whether a human confirmed a merge."""
+    record = F.struct("id", "fir_id", "name", "alias", "role", "phone", "address")
+    records = resolved["members"].join(resolved["prepared"], "id").groupBy("master_id").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    confirmed = resolved["pairs"].filter("decision = 'human_accept'").select(F.col("id_a").alias("id")).join(resolved["members"], "id").select("master_id").distinct()
+    out = resolved["masters"].join(records, "master_id").join(confirmed.withColumn("human_confirmed", F.lit(True)), "master_id", "left")
+    order = [F.desc("n_records"), F.col("canonical"), F.col("master_id")]
+    # a listing's places need one order over all merged persons
+    return out.withColumn("human_confirmed", F.coalesce("human_confirmed", F.lit(False))).withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")
+
+
+def with_sides(pairs: DataFrame, resolved: dict[str, DataFrame]) -> DataFrame:
+    """Pairs with both records' names and reports, and the merged persons on both sides (master, canonical name, records)."""
+    out = pairs
+    masters = resolved["masters"].select("master_id", "canonical", "n_records")
+    golden = resolved["members"].join(masters, "master_id")
+    for side in "ab":
+        records = resolved["prepared"].select(F.col("id").alias(f"id_{side}"), F.col("name").alias(f"name_{side}"), F.col("fir_id").alias(f"fir_{side}"))
+        about = golden.select(F.col("id").alias(f"id_{side}"), F.col("master_id").alias(f"master_{side}"), F.col("canonical").alias(f"canonical_{side}"), F.col("n_records").alias(f"records_{side}"))
+        out = out.join(records, f"id_{side}").join(about, f"id_{side}", "left")
+        out = out.withColumn(f"master_{side}", F.coalesce(f"master_{side}", f"id_{side}")).withColumn(f"records_{side}", F.coalesce(f"records_{side}", F.lit(1)))
+    return out
+
+
+def pair_list(resolved: dict[str, DataFrame], decision: str | None = None) -> DataFrame:
+    """All pairs, or those of one decision, the highest scores first, with both sides."""
+    pairs = resolved["pairs"] if decision is None else resolved["pairs"].filter(F.col("decision") == decision)
+    return with_sides(pairs, resolved).orderBy(F.desc("score"), "id_a", "id_b")
+
+
+def review_list(resolved: dict[str, DataFrame]) -> DataFrame:
+    """Open questions, the highest scores first, with both sides."""
+    return pair_list(resolved, "review")
+
+
 def group_of(pairs: DataFrame, members: DataFrame, id_a: str, id_b: str) -> DataFrame:
     """All undecided pairs that link the entity of one id with that of the other."""
     named = pairs.filter(F.col("decision").isin("review", "review_grouped"))

@@ -1,23 +1,27 @@
 """Registered queries: the package's operators on the driver's tables, each with its SQL twin where SQL has one.
 
-The tables hold no case data, so operators run on adapted inputs: suppliers and parts stand for devices
-and accounts, events for calls, parts for person records, trade between nations for transfers.
+Tables of a case are views of the driver's tables (:mod:`tessera.plans.views`), whole.  Queries rename and
+flatten what operators return; answers that SQL cannot work out are in :mod:`tessera.plans.known`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.functions import similarity as S
+from tessera.functions import spans as N
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import hashing as H
+from tessera.operators import lookup as L
+from tessera.operators import resolution as R
+from tessera.operators import rules
 from tessera.operators import windows as W
-from tessera.operators.components import cut, string_components
+from tessera.operators.components import connected_components, cut, string_components
+from tessera.plans import views as V
+from tessera.sources import case_files as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,95 +44,106 @@ def query(sql: str | None = None):
     return add
 
 
-# --- aggregates and links --------------------------------------------------------------------------
+def _joined(c: Column | str, by: str = "|") -> Column:
+    return F.array_join(c, by)
+
+
+def _flat(alerts: DataFrame) -> DataFrame:
+    """Alerts with their lists as text."""
+    return alerts.select("alert_id", "title", "detail", _joined("entities").alias("entities"), "confidence", _joined("source_ids").alias("sources"), _joined("evidence").alias("evidence"))
+
+
+def _alert_sql(rule: str, title: str, detail: str, entities: str, confidence: str, sources: str, evidence: str) -> str:
+    return f"""SELECT substr(sha256('{rule}|' || {entities}), 1, 16) AS alert_id, {title} AS title, {detail} AS detail, {entities} AS entities,
+      round(least(0.97, CAST({confidence} AS DOUBLE)), 3) AS confidence, {sources} AS sources, {evidence} AS evidence"""
+
+
+# --- links, details and alerts ---------------------------------------------------------------------
 
 
 @query(
-    """SELECT l_suppkey AS device, count(DISTINCT l_partkey) AS n_accounts, round(least(0.97, 0.55 + 0.1 * (count(DISTINCT l_partkey) - 2)), 3) AS confidence
-    FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_partkey) >= 3"""
-)
+    V.ctes("bank_txn") + """, g AS (SELECT linked_phone AS p, count(DISTINCT account_no) AS n, string_agg(DISTINCT account_no, '|' ORDER BY account_no) AS a,
+      'PH:' || linked_phone || '|' || string_agg(DISTINCT 'ACCT:' || account_no, '|' ORDER BY 'ACCT:' || account_no) AS e, string_agg(DISTINCT holder_name, ', ' ORDER BY holder_name) AS h
+      FROM bank_txn WHERE linked_phone IS NOT NULL GROUP BY 1 HAVING count(DISTINCT account_no) >= 3) """
+    + _alert_sql("SHARED_DEVICE", "'One phone controls ' || n || ' bank accounts'", "'KYC phone ' || p || ' is registered on accounts of different holders'", "e", "0.55 + 0.1 * (n - 2)", "a", "'Holders: ' || h || '|Classic mule-account pattern'")
+    + " FROM g"
+)
 def shared_device(read) -> DataFrame:
-    """A device used by three accounts or more."""
-    found = read("lineitem").groupBy(F.col("l_suppkey").alias("device")).agg(F.countDistinct("l_partkey").alias("n_accounts")).filter("n_accounts >= 3")
-    return found.withColumn("confidence", F.round(F.least(F.lit(0.97), 0.55 + 0.1 * (F.col("n_accounts") - 2)), 3))
+    """Phones registered on three accounts or more."""
+    return _flat(rules.shared_device(rules.Context({"bank_txn": V.bank(read)}, {}, None, None)))
 
 
-@query(
-    """SELECT o_custkey AS caller, l_suppkey AS callee, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS duration, min(o_orderdate) AS first, max(o_orderdate) AS last
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"""
-)
+@query(V.ctes("cdr") + " SELECT caller, callee, count(*) AS count, CAST(sum(duration_s) AS BIGINT) AS duration_s, min(ts) AS first, max(ts) AS last FROM cdr GROUP BY 1, 2")
 def call_links(read) -> DataFrame:
     """Calls between two numbers in one link."""
-    joined = read("orders").join(read("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy(F.col("o_custkey").alias("caller"), F.col("l_suppkey").alias("callee")).agg(
-        F.count("*").alias("n"), F.sum("l_quantity").alias("duration"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
-    )
+    return G.call_links(V.calls(read))
 
 
 @query(
-    """SELECT o_custkey AS account_no, l_suppkey AS counterpart, count(*) AS n, round(sum(l_extendedprice), 2) AS amount, min(l_shipdate) AS first, max(l_shipdate) AS last
-    FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND regexp_matches(o_orderpriority, '^[0-9]') GROUP BY 1, 2"""
+    V.ctes("bank_txn") + """ SELECT account_no, counterpart, count(*) AS count, round(sum(amount), 2) AS amount, min(ts) AS first, max(ts) AS last
+      FROM bank_txn WHERE txn_type = 'TRANSFER' AND regexp_matches(counterpart, '^[0-9]') GROUP BY 1, 2"""
 )
 def transfer_links(read) -> DataFrame:
-    """Transfers between two accounts in one link; only of one kind, and to numbers that begin with a digit."""
-    orders = read("orders").filter(F.col("o_orderpriority").rlike("^[0-9]"))
-    joined = orders.join(read("lineitem").filter("l_returnflag = 'R'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy(F.col("o_custkey").alias("account_no"), F.col("l_suppkey").alias("counterpart")).agg(
-        F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")
-    )
+    """Transfers between two accounts in one link; only to numbers that begin with a digit."""
+    return G.transfer_links(V.bank(read))
 
 
-@query(
-    """SELECT o_custkey AS master_id, count(DISTINCT o_orderpriority) AS n_stations, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS stations,
-      count(*) AS n_records, round(least(0.97, 0.55 + 0.1 * count(DISTINCT o_orderpriority)), 3) AS confidence
-    FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) >= 2"""
-)
-def serial_entity(read) -> DataFrame:
-    """Entities seen at two or more stations."""
-    found = read("orders").groupBy(F.col("o_custkey").alias("master_id")).agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s"), F.count("*").alias("n_records"))
-    n = F.size("s").cast("long")
-    return found.filter(F.size("s") >= 2).select("master_id", n.alias("n_stations"), F.array_join("s", ",").alias("stations"), "n_records", F.round(F.least(F.lit(0.97), 0.55 + 0.1 * n), 3).alias("confidence"))
+_PHONE, _ACCOUNT = "9900000007", "000000007"
 
 
-@query(
-    """SELECT strftime(ts, '%Y-%m') AS month, user_id, count(*) AS n, count(DISTINCT event_type) AS k FROM events GROUP BY 1, 2"""
-)
-def monthly_calls(read) -> DataFrame:
-    """Calls and distinct numbers a month."""
-    return read("events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("k"))
+@query(V.ctes("cdr") + f" SELECT count(*) AS n, count(DISTINCT callee) AS k, min(ts) AS first, max(ts) AS last FROM cdr WHERE caller = '{_PHONE}'")
+def phone_stats(read) -> DataFrame:
+    return L.phone(V.case(read), _PHONE)["calls"]
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_type) AS k, min(ts) AS first, max(ts) AS last FROM events WHERE user_id = 7")
-def phone_stats(read) -> DataFrame:
-    return read("events").filter("user_id = 7").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("k"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+@query(V.ctes("cdr") + f" SELECT tower_loc, count(*) AS n FROM cdr WHERE caller = '{_PHONE}' GROUP BY 1 ORDER BY n DESC, tower_loc LIMIT 5")
+def phone_towers(read) -> DataFrame:
+    """A number's five towers of most calls."""
+    return L.phone(V.case(read), _PHONE)["towers"]
 
 
-@query(
-    """SELECT user_id, event_type, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank
-    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rank <= 5"""
-)
-def topk_towers(read) -> DataFrame:
-    """Each number's five towers of most calls."""
-    counted = read("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
-    return counted.withColumn("rank", F.row_number().over(by)).filter("rank <= 5")
+@query(V.ctes("person") + " SELECT id, name, role, fir_id FROM person WHERE role <> 'VICTIM' AND phone = (SELECT min(phone) FROM person WHERE role <> 'VICTIM')")
+def phone_owners(read) -> DataFrame:
+    """Who is seen with a number: victims never."""
+    first = V.persons(read).filter("role <> 'VICTIM'").agg(F.min("phone")).first()[0]
+    return L.phone(V.case(read), first)["owners"]
 
 
-@query(
-    """SELECT o_custkey AS account_no, o_orderstatus AS txn_type, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2"""
-)
+@query(V.ctes("bank_txn") + " SELECT DISTINCT account_no, holder_name FROM bank_txn WHERE linked_phone = '9700000001'")
+def phone_accounts(read) -> DataFrame:
+    return L.phone(V.case(read), "9700000001")["kyc_accounts"]
+
+
+@query(V.ctes("bank_txn") + f" SELECT txn_type, count(*) AS n, round(sum(amount), 2) AS total FROM bank_txn WHERE account_no = '{_ACCOUNT}' GROUP BY 1")
 def account_summary(read) -> DataFrame:
-    return read("orders").groupBy(F.col("o_custkey").alias("account_no"), F.col("o_orderstatus").alias("txn_type")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return L.account(V.case(read), _ACCOUNT)["summary"].withColumn("total", F.round("total", 2))
 
 
-@query(
-    """SELECT l_suppkey AS counterpart, o_custkey AS from_acct, round(sum(l_extendedprice), 2) AS total, count(*) AS n
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <= 5 AND l_linestatus = 'O' GROUP BY 1, 2"""
-)
+@query(V.ctes("bank_txn") + f" SELECT account_no AS from_acct, round(sum(amount), 2) AS total, count(*) AS n FROM bank_txn WHERE counterpart = '{_ACCOUNT}' AND txn_type = 'TRANSFER' GROUP BY 1")
 def incoming_transfers(read) -> DataFrame:
-    lines = read("lineitem").filter("l_suppkey <= 5 AND l_linestatus = 'O'")
-    joined = lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy(F.col("l_suppkey").alias("counterpart"), F.col("o_custkey").alias("from_acct")).agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("n"))
+    return L.account(V.case(read), _ACCOUNT)["incoming"].withColumn("total", F.round("total", 2))
+
+
+@query(V.ctes("bank_txn") + f" SELECT holder_name, linked_phone FROM bank_txn WHERE account_no = '{_ACCOUNT}' ORDER BY id, holder_name, linked_phone NULLS FIRST LIMIT 1")
+def account_holder(read) -> DataFrame:
+    return L.account(V.case(read), _ACCOUNT)["holder"]
+
+
+@query(V.ctes("vehicle_reg") + " SELECT id, reg_no, owner_name, make FROM vehicle_reg WHERE reg_no = (SELECT max(reg_no) FROM vehicle_reg)")
+def vehicle_details(read) -> DataFrame:
+    last = V.vehicles(read).agg(F.max("reg_no")).first()[0]
+    return L.lookup(V.case(read), {}, f"VEH:{last}")["rto"].select("id", "reg_no", "owner_name", "make")
+
+
+@query(V.ctes("person") + " SELECT count(*) FILTER (WHERE role = 'VICTIM') AS n FROM person WHERE fir_id = 'F4'")
+def victims_protected(read) -> DataFrame:
+    """A report's victims are counted, never shown."""
+    return L.lookup(V.case(read), {}, "FIR:F4")["victims_protected"]
+
+
+@query(V.ctes("person") + " SELECT id, name, role FROM person WHERE fir_id = 'F4' AND role <> 'VICTIM'")
+def report_persons(read) -> DataFrame:
+    return L.report(V.case(read), "F4")["persons"]
 
 
 @query("SELECT *, round(amount, 2) AS shown FROM (SELECT o_orderkey, o_custkey, o_totalprice AS amount FROM orders WHERE o_totalprice >= 50000)")
@@ -145,33 +160,97 @@ def large_amounts(read) -> DataFrame:
 )
 def feedback_precision(read) -> DataFrame:
     """Verdict counts a rule, and precision."""
-    from tessera.operators.lookup import feedback_stats
-
     verdict = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 1, "tp").otherwise("fp")).otherwise(F.when(F.col("quality") == 0, "tn").otherwise("fn"))
     joined = read("labels").join(read("documents").select("doc_id", "lang"), "doc_id")
-    return feedback_stats(joined.select(F.col("lang").alias("rule"), verdict.alias("verdict"))).select("rule", "tp", "fp", "tn", "fn", "precision")
+    return L.feedback_stats(joined.select(F.col("lang").alias("rule"), verdict.alias("verdict"))).select("rule", "tp", "fp", "tn", "fn", "precision")
+
+
+@query("SELECT user_id AS alert_id, user_id / 2 AS confidence, arg_max(event_type, ts) AS verdict FROM events GROUP BY user_id")
+def latest_verdict(read) -> DataFrame:
+    """Alerts with the last verdict on each."""
+    events = read("events").withColumnRenamed("user_id", "alert_id")
+    alerts = events.select("alert_id", (F.col("alert_id") / 2).alias("confidence")).distinct()
+    return L.with_verdicts(alerts, events.select("alert_id", F.col("event_type").alias("verdict"), "ts"))
+
+
+@query(
+    V.ctes("fir") + """ SELECT what, n FROM (SELECT 'fir' AS what, count(*) AS n FROM supplier UNION ALL SELECT 'person', count(*) FROM part UNION ALL SELECT 'cdr', count(*) FROM events
+      UNION ALL SELECT 'bank_txn', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey UNION ALL SELECT 'vehicle_reg', 0
+      UNION ALL SELECT 'lang:' || CASE WHEN narrative LIKE 'राम%' THEN 'hi' ELSE 'en' END, count(*) FROM fir GROUP BY 1
+      UNION ALL SELECT 'span:' || l, count(*) FROM fir, (SELECT unnest(['PHONE', 'VEHICLE', 'ACCOUNT']) AS l) GROUP BY 1)"""
+)
+def case_stats(read) -> DataFrame:
+    """Rows a table, nought for one that is missing; languages and kinds of spans."""
+    tables = {k: v for k, v in V.case(read).items() if k != "vehicle_reg"}
+    return L.case_stats(tables, N.extract_spans(tables["fir"], tables["person"]))
 
 
 @query(
-    """SELECT 'lang' AS kind, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL
-    SELECT 'segment', c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'event', event_type, count(*) FROM events GROUP BY event_type"""
+    V.ctes("fir") + r""", n AS (SELECT id, narrative AS t, CASE WHEN narrative LIKE 'राम%' THEN 4 ELSE 0 END AS k FROM fir),
+    m AS (SELECT id, t, unnest([{'l': 'ACCOUNT', 'a': k + 9, 'n': 9}, {'l': 'PHONE', 'a': k + 26, 'n': 10}, {'l': 'VEHICLE', 'a': k + 40, 'n': 10}]) AS x, k FROM n)
+    SELECT id AS fir_id, CASE WHEN k > 0 THEN 'hi' ELSE 'en' END AS lang, CASE WHEN k > 0 THEN replace(t, 'राम', 'raam') END AS transliteration, x.a AS start, x.a + x.n AS end, x.l AS label, substr(t, x.a + 1, x.n) AS text, 'regex' AS source FROM m"""
 )
-def histograms(read) -> DataFrame:
-    parts = [("documents", "lang", "lang"), ("customer", "c_mktsegment", "segment"), ("events", "event_type", "event")]
-    out = None
-    for name, column, kind in parts:
-        found = read(name).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
-        out = found if out is None else out.unionByName(found)
-    return out
+def spans(read) -> DataFrame:
+    """Identifiers in reports, with their places in code points."""
+    found = N.extract_spans(V.reports(read), V.persons(read))
+    return found.select("fir_id", "lang", "transliteration", F.explode("spans").alias("s")).select("fir_id", "lang", "transliteration", "s.start", "s.end", "s.label", "s.text", "s.source")
+
+
+@query(V.ctes("fir") + " SELECT id, station, date, section, CASE WHEN narrative LIKE 'राम%' THEN 'hi' ELSE 'en' END AS lang, CASE WHEN narrative LIKE 'राम%' THEN replace(narrative, 'राम', 'raam') END AS transliteration, 3 AS n_spans FROM fir")
+def fir_list(read) -> DataFrame:
+    """Reports with language and number of spans, Hindi ones first."""
+    tables = V.case(read)
+    return L.report_list(tables, N.extract_spans(tables["fir"], tables["person"])).drop("narrative")
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS what, count(*) AS n FROM {t}" for t in ("customer", "orders", "events", "documents", "labels")))
-def table_counts(read) -> DataFrame:
-    out = None
-    for name in ("customer", "orders", "events", "documents", "labels"):
-        found = read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-        out = found if out is None else out.unionByName(found)
-    return out
+@query(
+    V.ctes("person", "fir", "cdr", "bank_txn") + """, r AS (SELECT p.*, date, station, section FROM person p JOIN fir f ON f.id = p.fir_id WHERE role <> 'VICTIM')
+    SELECT date AS ts, 'FIR' AS kind, fir_id || ' at ' || station || ' (' || section || ') as ' || chr(39) || name || chr(39) AS text FROM r
+    UNION ALL SELECT substr(ts, 1, 7) || '-28', 'CDR', count(*) || ' outgoing calls to ' || count(DISTINCT callee) || ' numbers in ' || substr(ts, 1, 7) FROM cdr WHERE caller IN (SELECT '99' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') FROM customer) GROUP BY substr(ts, 1, 7)
+    UNION ALL SELECT substr(ts, 1, 10), 'BANK', txn_type || ' Rs ' || format('{:,}', CAST(round_even(amount, 0) AS BIGINT)) || ' -> ' || counterpart FROM bank_txn WHERE amount >= 50000 AND account_no IN (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') FROM customer)"""
+)
+def timeline(read) -> DataFrame:
+    """Reports, months of calls and large transactions of all persons, in order."""
+    tables = V.case(read)
+    records = tables["person"].filter("role <> 'VICTIM'").join(tables["fir"].select(F.col("id").alias("fir_id"), "date", "station", "section"), "fir_id").select("fir_id", "date", "station", "section", "name", "phone", "account_no")
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("fir_id", "date", "station", "section", "name")]
+    key = lambda tag, n: F.concat(F.lit(tag), F.lpad(F.col("c_custkey").cast("string"), n, "0"))
+    held = read("customer").select(*nothing, key("99", 8).alias("phone"), key("", 9).alias("account_no"))
+    return L.timeline(tables, records.unionByName(held)).filter("text IS NOT NULL")
+
+
+@query(
+    V.ctes("bank_txn", "cdr") + """, a AS (SELECT DISTINCT 'A' || o_custkey AS alert_id, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS source_id FROM orders WHERE o_totalprice >= 400000
+      UNION SELECT DISTINCT 'E' || user_id, 'C' || lpad(CAST(event_id AS VARCHAR), 9, '0') FROM events WHERE event_type = 'error')
+    SELECT alert_id, source_id, "table", row_id FROM (SELECT alert_id, source_id, 'bank_txn' AS "table", id AS row_id, row_number() OVER (PARTITION BY alert_id, source_id ORDER BY id) AS p FROM a JOIN bank_txn ON account_no = source_id
+      UNION ALL SELECT alert_id, source_id, 'cdr', id, 1 FROM a JOIN cdr ON id = source_id) WHERE p <= 5"""
+)
+def export_sources(read) -> DataFrame:
+    """The rows that an alert's source ids name in each table, five at most."""
+    accounts = read("orders").filter("o_totalprice >= 400000").select(F.concat(F.lit("A"), F.col("o_custkey").cast("string")).alias("alert_id"), F.array(F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("source_ids"))
+    events = read("events").filter("event_type = 'error'").groupBy(F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("alert_id")).agg(F.collect_list(F.concat(F.lit("C"), F.lpad(F.col("event_id").cast("string"), 9, "0"))).alias("source_ids"))
+    found = L.alert_sources(accounts.unionByName(events), {k: v for k, v in V.case(read).items() if k != "fir"})
+    return found.select("alert_id", "source_id", "table", "row_id")
+
+
+@query(
+    V.ctes("bank_txn", "person", "fir") + """ SELECT 'fir' AS "table", count(*) AS n, count(DISTINCT station) AS k FROM fir UNION ALL SELECT 'person', count(*), count(DISTINCT phone) FROM person
+      UNION ALL SELECT 'bank_txn', count(*), count(DISTINCT account_no) FROM (SELECT DISTINCT * FROM bank_txn)"""
+)
+def case_files(read) -> DataFrame:
+    """Tables written as files of a case, routed by name, read, cleaned and checked."""
+    import uuid
+
+    from tessera.operators.components import shared_dir
+
+    tables = {"fir": V.reports(read), "person": V.persons(read).withColumn("phone", F.concat(F.lit("+91 "), F.col("phone"))), "bank_txn": V.bank(read).distinct().withColumn("id", F.concat(F.monotonically_increasing_id().cast("string"), F.lit("/"), "id"))}
+    spark = tables["fir"].sparkSession
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.options(header=True, quote='"', escape='"').csv(f"{folder}/case_{name}.csv")
+    loaded = C.load(spark, [f"{folder}/case_{name}.csv" for name in tables])
+    counts = [loaded[t].agg(F.count("*").alias("n"), F.countDistinct(c).alias("k")).select(F.lit(t).alias("table"), "n", "k") for t, c in (("fir", "station"), ("person", "phone"), ("bank_txn", "account_no"))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 # --- windows ---------------------------------------------------------------------------------------
@@ -213,256 +292,309 @@ def burst_alerts(read) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, event_type AS verdict, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM events) WHERE p = 1"""
-)
-def latest_verdict(read) -> DataFrame:
-    """The last row of each key, without a sort."""
-    last = read("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("r"))
-    return last.select("user_id", F.col("r.event_type").alias("verdict"), F.col("r.event_id").alias("event_id"))
-
-
-@query(
-    """SELECT * FROM (SELECT user_id AS id, strftime(ts, '%Y-%m-%d') AS day, 'EVENT' AS kind, event_type || ' #' || event_id AS text FROM events WHERE user_id <= 20
-    UNION ALL SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d'), 'ORDER', o_orderstatus || ' #' || o_orderkey FROM orders WHERE o_custkey <= 20 AND o_totalprice >= 50000)"""
-)
-def timeline(read) -> DataFrame:
-    """Two kinds of happenings of the same persons in one list."""
-    events = read("events").filter("user_id <= 20").select(F.col("user_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("EVENT").alias("kind"), F.concat("event_type", F.lit(" #"), F.col("event_id").cast("string")).alias("text"))
-    orders = read("orders").filter("o_custkey <= 20 AND o_totalprice >= 50000").select(F.col("o_custkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lit("ORDER").alias("kind"), F.concat("o_orderstatus", F.lit(" #"), F.col("o_orderkey").cast("string")).alias("text"))
-    return events.unionByName(orders).orderBy("day", "kind", "text")
+    V.ctes("cdr") + f""", v AS (SELECT '99' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS caller FROM customer WHERE c_acctbal < 0),
+    c AS (SELECT *, CAST(floor(epoch(CAST(ts AS TIMESTAMP))) AS BIGINT) AS e FROM cdr WHERE caller NOT IN (SELECT caller FROM v)),
+    a AS (SELECT *, count(*) OVER (PARTITION BY caller ORDER BY e RANGE BETWEEN {_BURST_S} PRECEDING AND CURRENT ROW) AS n FROM c),
+    b AS (SELECT *, max(n) OVER (PARTITION BY caller ORDER BY e RANGE BETWEEN CURRENT ROW AND {_BURST_S} FOLLOWING) >= {_BURST_N} AS hot FROM a),
+    d AS (SELECT *, CASE WHEN NOT lag(hot, 1, false) OVER w OR e - lag(e) OVER w > {_BURST_S} THEN 1 ELSE 0 END AS st FROM b WINDOW w AS (PARTITION BY caller ORDER BY e, id)),
+    f AS (SELECT *, sum(st) OVER (PARTITION BY caller ORDER BY e, id ROWS UNBOUNDED PRECEDING) AS g FROM d),
+    i AS (SELECT caller, g, min(e) AS first, max(e) AS last, count(*) AS calls, count(DISTINCT callee) AS numbers, array_to_string(list(id ORDER BY e, id)[1:12], '|') AS ids FROM f WHERE hot GROUP BY caller, g),
+    l AS (SELECT caller, count(*) AS bursts, string_agg(strftime(make_timestamp(first * 1000000), '%d %b %H:%M') || '-' || strftime(make_timestamp(last * 1000000), '%H:%M') || ': ' || calls || ' calls', '|' ORDER BY first) AS lines FROM i GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY calls DESC, first) AS place FROM i JOIN l USING (caller)) """
+    + _alert_sql("CALL_BURST", "bursts || ' call burst(s) from ' || caller", "calls || ' calls to ' || numbers || ' numbers in under an hour'", "'PH:' || caller", "0.5 + 0.08 * bursts", "ids", "lines")
+    + " FROM r WHERE place = 1"
+)
+def call_burst(read) -> DataFrame:
+    """Callers of dense bursts; victims (here: customers in debt) are left out."""
+    victims = read("customer").filter("c_acctbal < 0").select(F.lit("VICTIM").alias("role"), F.concat(F.lit("99"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("phone"))
+    return _flat(rules.call_burst(rules.Context({"person": victims, "cdr": V.calls(read)}, {}, None, None), _BURST_S, _BURST_N))
 
 
 # --- resolution ------------------------------------------------------------------------------------
 
-_KEYED = "SELECT p_partkey AS id, p_name || '|' || p_brand || '|' || p_type AS key, p_size, p_retailprice FROM part"
-_PAIRS = f"WITH k AS ({_KEYED}), p AS (SELECT a.id AS id_a, b.id AS id_b, a.key AS key, a.p_size AS sa, b.p_size AS sb, a.p_retailprice AS ra, b.p_retailprice AS rb FROM k a JOIN k b ON a.key = b.key AND a.id < b.id)"
-_SCORED = f"""{_PAIRS}, s AS (SELECT id_a, id_b, round(least(1, greatest(0, 0.6 + CASE WHEN abs(sa - sb) <= 10 THEN 0.2 WHEN abs(sa - sb) > 30 THEN -0.25 ELSE 0.0 END
-    + CASE WHEN abs(ra - rb) <= 300 THEN 0.1 WHEN abs(ra - rb) > 900 THEN -0.1 ELSE 0.0 END)), 4) AS score FROM p),
+_PREPARED = V.ctes("person", "fir") + f""", people AS (SELECT *, {V.phonetic_sql(V.display_sql("name"))} AS key FROM person WHERE role <> 'VICTIM'),
+  corpus AS (SELECT regexp_extract(key, '(\\S+)$', 1) AS surname, count(*) AS n FROM people GROUP BY 1),
+  weighed AS (SELECT *, CASE WHEN share > 0.10 THEN 0.5 WHEN share > 0.05 THEN 0.7 ELSE 1.0 END AS weight FROM (SELECT *, n / (SELECT sum(n) FROM corpus) AS share FROM corpus)),
+  prep AS (SELECT people.*, surname, weight FROM people JOIN weighed ON surname = regexp_extract(key, '(\\S+)$', 1))"""
+_BLOCKED = f"""{_PREPARED}, bk AS (SELECT id, 'phone:' || phone AS k, 0 AS ord FROM prep WHERE phone IS NOT NULL UNION ALL SELECT id, 'vehicle:' || vehicle, 2 FROM prep WHERE vehicle IS NOT NULL
+    UNION ALL SELECT id, 'account_no:' || account_no, 3 FROM prep WHERE account_no IS NOT NULL UNION ALL SELECT id, 'name:' || left(key, 3) || '|' || surname, 4 FROM prep),
+  made AS (SELECT k, min(id || ord) AS made FROM bk GROUP BY 1 HAVING count(*) > 1),
+  pair AS (SELECT x.id AS id_a, y.id AS id_b, string_agg(DISTINCT k, '|' ORDER BY k) AS blocks, arg_min(split_part(k, ':', 1), made) AS first_block FROM bk x JOIN bk y USING (k) JOIN made USING (k) WHERE x.id < y.id GROUP BY 1, 2)"""
+_SCORED = f"""{_BLOCKED}, part_ AS (SELECT id_a, id_b, blocks, first_block, CAST(coalesce(a.phone = b.phone, false) AS INT) + CAST(coalesce(a.vehicle = b.vehicle, false) AS INT) + CAST(coalesce(a.account_no = b.account_no, false) AS INT) AS strong,
+    round(least(a.weight, b.weight) * 0.25, 4) AS name, coalesce(a.place = b.place, false) AS near, abs(a.age - b.age) AS gap FROM pair JOIN prep a ON a.id = id_a JOIN prep b ON b.id = id_b),
+  s AS (SELECT *, CAST(round(least(1, greatest(0, CASE strong WHEN 0 THEN 0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.8 ELSE 0.85 END + name + CASE WHEN near THEN 0.1 ELSE 0 END + CASE WHEN gap <= 2 THEN 0.05 WHEN gap > 8 THEN -0.1 ELSE 0 END)), 4) AS DOUBLE) AS score,
+    strong + 1 + CAST(near AS INT) + CAST(gap <= 2 OR gap > 8 AS INT) AS n_factors FROM part_),
   g AS (SELECT *, CASE WHEN score >= 0.85 THEN 'accept' WHEN score <= 0.4 THEN 'reject' ELSE 'review' END AS decision FROM s)"""
-_CLUSTERED = f"""{_SCORED.replace("WITH k", "WITH RECURSIVE k", 1)}, e AS (SELECT id_a AS u, id_b AS v FROM g WHERE decision = 'accept' UNION SELECT id_b, id_a FROM g WHERE decision = 'accept'),
+_CLUSTERED = f"""{_SCORED}, e AS (SELECT id_a AS u, id_b AS v FROM g WHERE decision = 'accept' UNION SELECT id_b, id_a FROM g WHERE decision = 'accept'),
   t(n, m) AS (SELECT u, v FROM e UNION SELECT t.n, e.v FROM t JOIN e ON t.m = e.u), c AS (SELECT n AS id, least(n, min(m)) AS master_id FROM t GROUP BY n)"""
+_GOLDEN = f"""{_CLUSTERED}, member AS (SELECT c.master_id, p.*, f.station FROM c JOIN prep p USING (id) JOIN fir f ON f.id = p.fir_id),
+  golden AS (SELECT master_id, {V.display_sql("arg_max(name, length(name) * 100000000000 - CAST(substr(id, 2) AS BIGINT))")} AS canonical, CASE WHEN bool_or(role = 'ACCUSED') THEN 'ACCUSED' ELSE min(role) END AS role,
+    string_agg(DISTINCT id, '|' ORDER BY id) AS members, string_agg(DISTINCT name, '|' ORDER BY name) AS names, coalesce(string_agg(DISTINCT phone, '|' ORDER BY phone), '') AS phones,
+    coalesce(string_agg(DISTINCT vehicle, '|' ORDER BY vehicle), '') AS vehicles, coalesce(string_agg(DISTINCT account_no, '|' ORDER BY account_no), '') AS accounts, string_agg(DISTINCT fir_id, '|' ORDER BY fir_id) AS firs,
+    string_agg(DISTINCT station, '|' ORDER BY station) AS stations, count(DISTINCT id) AS n_records, count(DISTINCT station) AS n_stations FROM member GROUP BY master_id)"""
+_TIDY = f"""{_CLUSTERED}, h AS (SELECT g.*, coalesce(x.master_id, id_a) AS ga, coalesce(y.master_id, id_b) AS gb FROM g LEFT JOIN c x ON x.id = id_a LEFT JOIN c y ON y.id = id_b),
+  q AS (SELECT *, row_number() OVER (PARTITION BY decision = 'review' AND ga <> gb, least(ga, gb), greatest(ga, gb) ORDER BY score DESC, id_a, id_b) AS place FROM h),
+  z AS (SELECT id_a, id_b, score, ga, gb, CASE WHEN decision = 'review' AND ga = gb THEN 'transitive' WHEN decision = 'review' AND place > 1 THEN 'review_grouped' ELSE decision END AS decision FROM q)"""
 
 
-def _parts(read) -> DataFrame:
-    return read("part").select(F.col("p_partkey").alias("id"), F.concat_ws("|", "p_name", "p_brand", "p_type").alias("key"), "p_size", "p_retailprice")
+def _prepared(read) -> DataFrame:
+    return cut(R.prepare(V.persons(read)))
 
 
-def _part_pairs(read) -> DataFrame:
-    parts = _parts(read)
-    shared = parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-    a = shared.select("key", F.col("id").alias("id_a"), F.col("p_size").alias("sa"), F.col("p_retailprice").alias("ra"))
-    b = shared.select("key", F.col("id").alias("id_b"), F.col("p_size").alias("sb"), F.col("p_retailprice").alias("rb"))
-    return a.join(b, "key").filter("id_a < id_b")
+def _scored(read) -> DataFrame:
+    prepared = _prepared(read)
+    return R.score_pairs(R.candidate_pairs(prepared), prepared)
 
 
-def _part_scores(read) -> DataFrame:
-    from tessera.operators.resolution import gate
+def _resolved(read) -> dict[str, DataFrame]:
+    return R.resolve(V.persons(read), V.reports(read))
 
-    size, price = F.abs(F.col("sa") - F.col("sb")), F.abs(F.col("ra") - F.col("rb"))
-    total = 0.6 + F.when(size <= 10, 0.2).when(size > 30, -0.25).otherwise(0.0) + F.when(price <= 300, 0.1).when(price > 900, -0.1).otherwise(0.0)
-    scored = _part_pairs(read).withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)), 4))
-    return scored.select("id_a", "id_b", "score", gate(F.col("score")).alias("decision"))
 
+@query(f"{_PREPARED} SELECT id, {V.display_sql('name')} AS name_display, key AS name_key, surname, CAST(weight AS DOUBLE) AS weight, coalesce(place, '') AS places FROM prep")
+def er_prepared(read) -> DataFrame:
+    """Records that may be resolved, without victims, with their normal forms."""
+    return R.prepare(V.persons(read)).select("id", "name_display", "name_key", F.col("name_surname").alias("surname"), F.col("name_weight").alias("weight"), _joined("places").alias("places"))
 
-def _part_clusters(read) -> DataFrame:
-    accepted = _part_scores(read).filter("decision = 'accept'").select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
-    from tessera.operators.components import connected_components
 
-    return connected_components(accepted).select(F.col("node").alias("id"), F.col("component").alias("master_id"))
+@query(f"{_PREPARED} SELECT surname, n, share FROM weighed")
+def surname_corpus(read) -> DataFrame:
+    return X.surname_corpus(V.persons(read).filter("role <> 'VICTIM'"))
 
 
-@query(f"{_PAIRS} SELECT id_a, id_b, key FROM p")
+@query(f"{_BLOCKED} SELECT id_a, id_b, blocks, first_block FROM pair")
 def er_block_pairs(read) -> DataFrame:
-    """Candidate pairs: records that share a block key; keys of one record never reach the join."""
-    return _part_pairs(read).select("id_a", "id_b", "key")
+    """Candidate pairs: records that share a block key."""
+    return R.candidate_pairs(_prepared(read)).select("id_a", "id_b", _joined("blocks").alias("blocks"), "first_block")
 
 
-@query(
-    f"""{_PAIRS} SELECT (SELECT count(*) FROM part) AS records, (SELECT count(*) * (count(*) - 1) // 2 FROM part) AS possible_pairs, (SELECT count(*) FROM p) AS candidate_pairs,
-    (SELECT count(*) FROM (SELECT key FROM k GROUP BY key HAVING count(*) > 1)) AS blocks"""
-)
-def er_funnel(read) -> DataFrame:
-    parts = _parts(read)
-    keys = parts.groupBy("key").agg(F.count("*").alias("n"))
-    return keys.agg(F.sum("n").alias("records"), F.sum(F.expr("n * (n - 1) div 2")).alias("candidate_pairs"), F.count_if(F.col("n") > 1).alias("blocks")).select(
-        "records", F.expr("records * (records - 1) div 2").alias("possible_pairs"), "candidate_pairs", "blocks"
-    )
+@query(f"{_BLOCKED} SELECT (SELECT count(*) FROM prep) AS records, (SELECT count(*) * (count(*) - 1) // 2 FROM prep) AS possible_pairs, (SELECT count(*) FROM pair) AS candidate_pairs, (SELECT string_agg(first_block || '=' || n, '|' ORDER BY first_block) FROM (SELECT first_block, count(*) AS n FROM pair GROUP BY 1)) AS by_block")
+def er_blocking(read) -> DataFrame:
+    prepared = _prepared(read)
+    found = R.blocking_stats(prepared, R.candidate_pairs(prepared))
+    return found.withColumn("by_block", _joined(F.transform(F.map_entries("by_block"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))))
 
 
-@query(f"{_SCORED} SELECT id_a, id_b, CAST(score AS DOUBLE) AS score, decision FROM g")
+@query(f"{_SCORED} SELECT id_a, id_b, score, decision, n_factors FROM g")
 def er_score_gate(read) -> DataFrame:
-    return _part_scores(read)
+    """Pairs with score and decision, and how many factors speak."""
+    return _scored(read).select("id_a", "id_b", "score", "decision", F.size("factors").alias("n_factors"))
 
 
 @query(f"{_CLUSTERED} SELECT id, master_id FROM c")
 def er_clusters(read) -> DataFrame:
     """Merged records and the smallest id of their cluster."""
-    return _part_clusters(read)
+    return R.clusters(_scored(read))
 
 
-@query(
-    f"""{_CLUSTERED} SELECT c.master_id, min(p_brand) AS brand, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id) AS members, count(*) AS n_records, max(p_retailprice) AS price
-    FROM c JOIN part ON p_partkey = c.id GROUP BY c.master_id"""
-)
+@query(f"{_GOLDEN} SELECT * EXCLUDE (n_stations) FROM golden")
 def er_golden(read) -> DataFrame:
-    joined = _part_clusters(read).join(read("part"), F.col("id") == F.col("p_partkey"))
-    return joined.groupBy("master_id").agg(
-        F.min("p_brand").alias("brand"), F.array_join(F.transform(F.array_sort(F.collect_set("id")), lambda i: i.cast("string")), ",").alias("members"), F.count("*").alias("n_records"), F.max("p_retailprice").alias("price")
-    )
+    found = _resolved(read)["masters"]
+    return found.select("master_id", "canonical", "role", *[_joined(c).alias(c) for c in ("members", "names")], *[_joined(f"identifiers.{f}").alias(a) for f, a in (("phone", "phones"), ("vehicle", "vehicles"), ("account_no", "accounts"))], _joined("firs").alias("firs"), _joined("stations").alias("stations"), "n_records")
 
 
-@query(
-    f"""{_CLUSTERED}, h AS (SELECT g.*, coalesce(x.master_id, id_a) AS ga, coalesce(y.master_id, id_b) AS gb FROM g LEFT JOIN c x ON x.id = id_a LEFT JOIN c y ON y.id = id_b),
-    q AS (SELECT *, row_number() OVER (PARTITION BY decision = 'review' AND ga <> gb, least(ga, gb), greatest(ga, gb) ORDER BY score DESC, id_a, id_b) AS place FROM h)
-    SELECT id_a, id_b, CAST(score AS DOUBLE) AS score, CASE WHEN decision = 'review' AND ga = gb THEN 'transitive' WHEN decision = 'review' AND place > 1 THEN 'review_grouped' ELSE decision END AS decision FROM q"""
-)
+@query(f"{_GOLDEN} SELECT row_number() OVER (ORDER BY n_records DESC, canonical, master_id) AS place, master_id, n_records, false AS human_confirmed, (SELECT string_agg(id || '@' || fir_id, '|' ORDER BY id) FROM member m WHERE m.master_id = golden.master_id) AS records FROM golden")
+def er_golden_list(read) -> DataFrame:
+    """The listing of merged persons, the largest first, with their records."""
+    listed = R.golden_list(_resolved(read))
+    return listed.select(F.col("place").cast("long").alias("place"), "master_id", "n_records", "human_confirmed", _joined(F.transform("records", lambda r: F.concat(r["id"], F.lit("@"), r["fir_id"]))).alias("records"))
+
+
+@query(f"{_TIDY} SELECT id_a, id_b, score, decision FROM z")
 def er_review_tidy(read) -> DataFrame:
     """One question per pair of entities."""
-    from tessera.operators.resolution import tidy_review
+    return _resolved(read)["pairs"].select("id_a", "id_b", "score", "decision")
 
-    return tidy_review(_part_scores(read), _part_clusters(read)).select("id_a", "id_b", "score", "decision")
+
+@query(f"{_TIDY}, many AS (SELECT master_id, count(*) AS n FROM c GROUP BY 1) SELECT id_a, id_b, score, a.name AS name_a, b.name AS name_b, ga AS master_a, gb AS master_b, coalesce(x.n, 1) AS records_a, coalesce(y.n, 1) AS records_b FROM z JOIN prep a ON a.id = id_a JOIN prep b ON b.id = id_b LEFT JOIN many x ON x.master_id = ga LEFT JOIN many y ON y.master_id = gb WHERE decision = 'review'")
+def er_review_list(read) -> DataFrame:
+    """Open questions with the records and the merged persons on both sides."""
+    return R.review_list(_resolved(read)).select("id_a", "id_b", "score", "name_a", "name_b", "master_a", "master_b", "records_a", "records_b")
 
 
 @query(
-    """WITH r AS (SELECT o_orderkey AS id, o_custkey, o_totalprice, ntile(2) OVER (ORDER BY o_orderkey) AS half FROM orders WHERE o_custkey <= 40),
-    d AS (SELECT o_custkey, 'human_' || CASE WHEN max(o_orderstatus) = 'P' THEN 'accept' ELSE 'reject' END AS human FROM orders WHERE o_custkey <= 40 AND o_totalprice > 200000 GROUP BY o_custkey)
-    SELECT id, coalesce(human, CASE WHEN o_totalprice >= 300000 THEN 'accept' WHEN o_totalprice <= 50000 THEN 'reject' ELSE 'review' END) AS decision FROM r LEFT JOIN d USING (o_custkey)"""
+    f"""{_TIDY} SELECT count(*) AS candidates, count(*) FILTER (WHERE decision = 'accept') AS accept, count(*) FILTER (WHERE decision = 'reject') AS reject, count(*) FILTER (WHERE decision = 'review') AS review,
+    count(*) FILTER (WHERE decision IN ('transitive', 'review_grouped')) AS transitive, CAST(0 AS BIGINT) AS human, (SELECT count(DISTINCT master_id) FROM c) AS entities, (SELECT count(*) FROM c JOIN prep p USING (id) JOIN fir f ON f.id = p.fir_id) AS merged_records FROM z"""
 )
+def er_funnel(read) -> DataFrame:
+    return R.funnel(_resolved(read))
+
+
+@query(f"{_SCORED} SELECT id_a, id_b, CASE WHEN first_block <> 'phone' THEN decision WHEN blocks LIKE '%vehicle:%' THEN 'human_accept' ELSE 'human_reject' END AS decision FROM g")
 def human_overlay(read) -> DataFrame:
-    """Earlier human decisions replayed over the gate."""
-    rows = read("orders").filter("o_custkey <= 40")
-    human = rows.filter("o_totalprice > 200000").groupBy("o_custkey").agg(F.concat(F.lit("human_"), F.when(F.max("o_orderstatus") == "P", "accept").otherwise("reject")).alias("human"))
-    gate = F.when(F.col("o_totalprice") >= 300000, "accept").when(F.col("o_totalprice") <= 50000, "reject").otherwise("review")
-    return rows.join(human, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("human", gate).alias("decision"))
+    """Human decisions replayed over the gate: of two on a pair the later one counts."""
+    scored = cut(_scored(read))
+    first = scored.filter("first_block = 'phone'").select("id_a", "id_b", F.lit("reject").alias("decision"), F.lit("2024-01-01").alias("ts"))
+    later = scored.filter("first_block = 'phone'").filter(F.exists("blocks", lambda b: F.startswith(b, F.lit("vehicle:")))).select("id_a", "id_b", F.lit("accept").alias("decision"), F.lit("2024-01-02").alias("ts"))
+    return R.with_decisions(scored, first.unionByName(later)).select("id_a", "id_b", "decision")
 
 
-# --- graph -----------------------------------------------------------------------------------------
+@query(
+    _GOLDEN + """, w AS (SELECT *, 'Linked by: ' || array_to_string(list_filter([CASE WHEN phones <> '' THEN 'phone ' || replace(phones, '|', ', ') END, CASE WHEN vehicles <> '' THEN 'vehicle ' || replace(vehicles, '|', ', ') END,
+      CASE WHEN accounts <> '' THEN 'account ' || replace(accounts, '|', ', ') END], lambda x: x IS NOT NULL), '; ') AS linked,
+      master_id || CASE WHEN phones <> '' THEN '|PH:' || replace(phones, '|', '|PH:') ELSE '' END AS e FROM golden WHERE role = 'ACCUSED' AND n_stations >= 2) """
+    + _alert_sql("SERIAL_OFFENDER", "canonical || ' active across ' || n_stations || ' police stations'", "n_records || ' FIR records resolve to one person'", "e", "0.55 + 0.1 * n_stations", "firs",
+                 "'Names used: ' || replace(names, '|', ', ') || '|Stations: ' || replace(stations, '|', ', ') || '|' || linked") + " FROM w"
+)
+def serial_offender(read) -> DataFrame:
+    """Merged accused persons on reports of two or more stations."""
+    return _flat(rules.serial(rules.Context({}, _resolved(read), None, None)))
 
-_GRAPH = """WITH RECURSIVE ed AS (SELECT 'C' || c_custkey AS src, 'N' || c_nationkey AS dst, 'LIVES_IN' AS etype FROM customer WHERE c_nationkey < 3
-  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 'LIVES_IN' FROM supplier WHERE s_nationkey < 3
-  UNION ALL SELECT DISTINCT 'C' || o_custkey, 'S' || l_suppkey, 'CALLED' FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
-    WHERE c_nationkey < 3 AND s_nationkey < 3)"""
 
+# --- graph -----------------------------------------------------------------------------------------
 
-def _trade(read) -> DataFrame:
-    """A small graph: customers, suppliers and nations."""
-    customers, suppliers = read("customer").filter("c_nationkey < 3"), read("supplier").filter("s_nationkey < 3")
-    node = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
-    lives = customers.select(node("C", "c_custkey").alias("src"), node("N", "c_nationkey").alias("dst")).unionByName(suppliers.select(node("S", "s_suppkey").alias("src"), node("N", "s_nationkey").alias("dst")))
-    lines = read("lineitem").select("l_orderkey", "l_suppkey").join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    orders = read("orders").select("o_orderkey", "o_custkey").join(customers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    deals = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(node("C", "o_custkey").alias("src"), node("S", "l_suppkey").alias("dst")).distinct()
-    return lives.withColumn("etype", F.lit("LIVES_IN")).unionByName(deals.withColumn("etype", F.lit("CALLED")))
+_OPAQUE = "'V-' || substr(sha256({0}), 1, 10)"
+_BUILT = V.ctes("person", "fir", "cdr", "bank_txn", "vehicle_reg") + f""", named AS (SELECT p.*, station, date FROM person p JOIN fir f ON f.id = p.fir_id),
+  sp AS (SELECT DISTINCT phone AS v FROM named WHERE role = 'VICTIM' AND phone IS NOT NULL), sa AS (SELECT DISTINCT account_no AS v FROM named WHERE role = 'VICTIM' AND account_no IS NOT NULL),
+  people AS (SELECT *, 'PH:' || CASE WHEN phone IN (SELECT v FROM sp) THEN {_OPAQUE.format("phone")} ELSE phone END AS ph, 'ACCT:' || CASE WHEN account_no IN (SELECT v FROM sa) THEN {_OPAQUE.format("account_no")} ELSE account_no END AS ac FROM named WHERE role <> 'VICTIM'),
+  own AS (SELECT name, min(id) AS who FROM people GROUP BY name HAVING count(*) = 1), kyc AS (SELECT DISTINCT account_no, holder_name, linked_phone FROM bank_txn),
+  edge AS (SELECT id AS src, 'FIR:' || fir_id AS dst, 'NAMED_IN' AS etype, 'FIR' AS source, id AS record, NULL::BIGINT AS count, NULL::DOUBLE AS amount, NULL::BIGINT AS duration_s, NULL::VARCHAR AS first, NULL::VARCHAR AS last FROM people
+    UNION ALL SELECT id, ph, 'OWNS', 'FIR', id, NULL, NULL, NULL, NULL, NULL FROM people WHERE phone IS NOT NULL UNION ALL SELECT id, ac, 'OWNS', 'FIR', id, NULL, NULL, NULL, NULL, NULL FROM people WHERE account_no IS NOT NULL
+    UNION ALL SELECT id, 'VEH:' || vehicle, 'SEEN_WITH', 'FIR', id, NULL, NULL, NULL, NULL, NULL FROM people WHERE vehicle IS NOT NULL UNION ALL SELECT id, 'LOC:' || place, 'LIVES_IN', 'FIR', id, NULL, NULL, NULL, NULL, NULL FROM people WHERE place IS NOT NULL
+    UNION ALL SELECT 'VEH:' || reg_no, who, 'REGISTERED_TO', 'RTO', NULL, NULL, NULL, NULL, NULL, NULL FROM vehicle_reg JOIN own ON owner_name = name
+    UNION ALL SELECT 'PH:' || caller, 'PH:' || callee, 'CALLED', 'CDR', NULL, count(*), NULL, CAST(sum(duration_s) AS BIGINT), min(ts), max(ts) FROM cdr GROUP BY caller, callee
+    UNION ALL SELECT 'ACCT:' || account_no, 'PH:' || linked_phone, 'KYC_PHONE', 'BANK', NULL, NULL, NULL, NULL, NULL, NULL FROM kyc WHERE linked_phone IS NOT NULL
+    UNION ALL SELECT 'ACCT:' || account_no, 'ACCT:' || counterpart, 'TRANSFERRED_TO', 'BANK', NULL, count(*), round(sum(amount), 2), NULL, min(ts), max(ts) FROM bank_txn WHERE txn_type = 'TRANSFER' AND regexp_matches(counterpart, '^[0-9]') GROUP BY account_no, counterpart)"""
+_MASKED = "CASE WHEN length({0}) > 5 THEN left({0}, 2) || repeat('•', length({0}) - 5) || right({0}, 3) ELSE '•••' END"
 
 
-def _trade_nodes(edges: DataFrame) -> DataFrame:
-    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    return ids.withColumn("type", F.when(F.startswith("id", F.lit("N")), "Location").when(F.startswith("id", F.lit("C")), "Person").otherwise("Account"))
+def _built(read) -> tuple[DataFrame, DataFrame]:
+    return G.build(V.case(read))
 
 
-@query(f"{_GRAPH} SELECT src, dst, etype FROM ed")
+@query(f"{_BUILT} SELECT * FROM edge")
 def graph_edges(read) -> DataFrame:
-    return _trade(read)
+    """All edges of the five sources."""
+    return _built(read)[1]
 
 
 @query(
-    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed), d AS (SELECT n, count(*) AS degree FROM w GROUP BY n)
-    SELECT n, degree, degree / ((SELECT count(*) FROM d) - 1) AS centrality FROM d"""
+    f"""{_BUILT}, phones AS (SELECT phone AS v, ph AS id FROM people WHERE phone IS NOT NULL UNION SELECT linked_phone, 'PH:' || linked_phone FROM kyc WHERE linked_phone IS NOT NULL UNION SELECT caller, 'PH:' || caller FROM cdr UNION SELECT callee, 'PH:' || callee FROM cdr),
+    accounts AS (SELECT v, id, min(holder) AS holder FROM (SELECT account_no AS v, ac AS id, NULL AS holder FROM people WHERE account_no IS NOT NULL UNION ALL SELECT account_no, 'ACCT:' || account_no, holder_name FROM kyc
+      UNION ALL SELECT account_no, 'ACCT:' || account_no, NULL FROM bank_txn WHERE txn_type = 'TRANSFER' AND regexp_matches(counterpart, '^[0-9]') UNION ALL SELECT counterpart, 'ACCT:' || counterpart, NULL FROM bank_txn WHERE txn_type = 'TRANSFER' AND regexp_matches(counterpart, '^[0-9]')) GROUP BY 1, 2)
+    SELECT id, 'Person' AS type, {V.display_sql("name")} AS label, role, NULL AS protected, NULL AS holder, station AS stations, NULL AS owner FROM people
+    UNION ALL SELECT DISTINCT 'FIR:' || fir_id, 'FIR', fir_id, NULL, NULL, NULL, NULL, NULL FROM people UNION ALL SELECT DISTINCT 'LOC:' || place, 'Location', place, NULL, NULL, NULL, NULL, NULL FROM people WHERE place IS NOT NULL
+    UNION ALL SELECT 'VEH:' || reg_no, 'Vehicle', reg_no, NULL, NULL, NULL, NULL, owner_name FROM vehicle_reg WHERE reg_no IN (SELECT vehicle FROM people) OR owner_name IN (SELECT name FROM own)
+    UNION ALL SELECT id, 'Phone', CASE WHEN id LIKE 'PH:V-%' THEN {_MASKED.format("v")} ELSE v END, NULL, id LIKE 'PH:V-%', NULL, NULL, NULL FROM phones
+    UNION ALL SELECT id, 'Account', CASE WHEN id LIKE 'ACCT:V-%' THEN {_MASKED.format("v")} ELSE v END, NULL, id LIKE 'ACCT:V-%', CASE WHEN id LIKE 'ACCT:V-%' THEN 'Protected (victim)' ELSE holder END, NULL, NULL FROM accounts"""
 )
-def graph_degree(read) -> DataFrame:
-    return G.degree(_trade(read).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+def graph_nodes(read) -> DataFrame:
+    """All nodes; victims' numbers are opaque and masked, victims themselves absent."""
+    return _built(read)[0].select("id", "type", "label", "role", "protected", "holder", _joined("stations").alias("stations"), "owner")
+
+
+_TRADE = V.ctes("line", "deal", "owned")
+_OWNS = "SELECT DISTINCT 'C' || c AS src, 'S' || s AS dst FROM line WHERE q >= 49 AND f = 'R'"
+_ENDS = f"{_TRADE}, ed AS ({_OWNS} UNION SELECT 'S' || a, 'S' || b FROM deal), w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed)"
+
+
+@query(f"{_TRADE} SELECT thing, person FROM owned")
+def graph_owners(read) -> DataFrame:
+    return G.owners(*V.trade(read))
 
 
 @query(
-    f"""{_GRAPH}, s AS (SELECT src AS person, dst AS thing FROM ed WHERE etype = 'CALLED')
-    SELECT x.person AS a, y.person AS b, count(*) * 3.0 AS weight, count(*) AS shared FROM s x JOIN s y ON x.thing = y.thing AND x.person < y.person GROUP BY 1, 2"""
+    f"""{_TRADE}, who AS (SELECT 'C' || c_custkey AS person, c_mktsegment = 'BUILDING' AS accused FROM customer), own AS (SELECT owned.* FROM owned JOIN who USING (person)),
+    named AS (SELECT DISTINCT 'C' || c AS person, p FROM line JOIN who ON person = 'C' || c WHERE q >= 50 AND accused),
+    l AS (SELECT u.person AS a, v.person AS b, 'calls' AS kind, least(n, 20) / 4.0 AS weight, n AS calls, NULL::DOUBLE AS amount, NULL::VARCHAR AS shared FROM deal JOIN own u ON u.thing = 'S' || deal.a JOIN own v ON v.thing = 'S' || deal.b
+      UNION ALL SELECT u.person, v.person, 'money', 3.0, NULL, amount, NULL FROM deal JOIN own u ON u.thing = 'S' || deal.a JOIN own v ON v.thing = 'S' || deal.b WHERE moved > 0
+      UNION ALL SELECT x.person, y.person, 'co-accused', 4.0, NULL, NULL, NULL FROM named x JOIN named y ON x.p = y.p AND x.person < y.person
+      UNION ALL SELECT x.person, y.person, 'shared account', 3.0, NULL, NULL, s_name FROM own x JOIN own y ON x.thing = y.thing AND x.person < y.person JOIN supplier ON 'S' || s_suppkey = x.thing)
+    SELECT least(a, b) AS a, greatest(a, b) AS b, CAST(sum(weight) AS DOUBLE) AS weight, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds, CAST(coalesce(sum(calls), 0) AS BIGINT) AS calls, round(coalesce(sum(amount), 0), 2) AS amount,
+      coalesce(string_agg(shared, '|' ORDER BY shared), '') AS shared FROM l WHERE a <> b GROUP BY 1, 2"""
 )
 def person_projection(read) -> DataFrame:
-    """Links between persons that share an account."""
-    owned = _trade(read).filter("etype = 'CALLED'").select(F.col("src").alias("person"), F.col("dst").alias("thing"))
-    both = owned.join(owned.select("thing", F.col("person").alias("b")), "thing").filter("person < b")
-    return both.groupBy(F.col("person").alias("a"), "b").agg((F.count("*") * 3.0).alias("weight"), F.count("*").alias("shared"))
+    """Links between persons: calls, money, reports in common and what they share."""
+    found = G.persons_graph(*V.trade(read))
+    return found.select("a", "b", "weight", _joined("kinds").alias("kinds"), "calls", F.round("amount", 2).alias("amount"), _joined("shared").alias("shared"))
+
+
+@query(f"{_ENDS}, d AS (SELECT n, count(*) AS degree FROM w GROUP BY n) SELECT n, degree, degree / ((SELECT count(*) FROM d) - 1) AS centrality FROM d")
+def graph_degree(read) -> DataFrame:
+    edges = V.trade(read)[1].filter("etype <> 'NAMED_IN'")
+    return G.degree(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+_CROSSED = f"{_ENDS}, x AS (SELECT * FROM w UNION SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer)"
+
+
+def _with_places(read) -> tuple[DataFrame, DataFrame]:
+    """The trade with nations as places that connect everything."""
+    nodes, edges = V.trade(read)
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    lives = read("customer").select(tag("C", "c_custkey").alias("src"), tag("N", "c_nationkey").alias("dst"), F.lit("LIVES_IN").alias("etype"))
+    places = read("nation").select(tag("N", "n_nationkey").alias("id"), F.lit("Location").alias("type"), F.col("n_name").alias("label"))
+    return cut(nodes.unionByName(G._fit(places, G.NODE))), cut(edges.filter("etype <> 'NAMED_IN'").unionByName(G._fit(lives, G.EDGE)))
 
 
 @query(
-    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed UNION SELECT dst, src FROM ed),
-    t(n, hop) AS (SELECT min(n), 0 FROM w WHERE n LIKE 'S%' HAVING min(n) IS NOT NULL UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 2 AND (t.hop = 0 OR t.n NOT LIKE 'N%'))
+    f"""{_CROSSED}, t(n, hop) AS (SELECT min(dst), 0 FROM ed UNION SELECT x.m, t.hop + 1 FROM t JOIN x ON x.n = t.n WHERE t.hop < 3 AND (t.hop = 0 OR t.n NOT LIKE 'N%'))
     SELECT n AS id, min(hop) AS hop FROM t GROUP BY n"""
 )
 def ego_bfs(read) -> DataFrame:
-    """What is within two hops; nations are reached but not crossed."""
-    edges = cut(_trade(read))
-    center = edges.filter("etype = 'CALLED'").agg(F.min("dst")).first()[0]
-    nodes, _ = G.ego(cut(_trade_nodes(edges)), edges, center or "", 2)
-    return nodes.select("id", "hop")
+    """What is within three hops; nations are reached but not crossed."""
+    nodes, edges = _with_places(read)
+    center = edges.filter("etype <> 'LIVES_IN'").agg(F.min("dst")).first()[0]
+    return G.ego(nodes, edges, center or "", 3)[0].select("id", "hop")
 
 
 @query(
-    f"""{_GRAPH}, w AS (SELECT src AS n, dst AS m FROM ed WHERE dst NOT LIKE 'N%' UNION SELECT dst, src FROM ed WHERE dst NOT LIKE 'N%'),
-    z AS (SELECT min(n) AS a, max(n) AS b FROM w WHERE n LIKE 'C%'),
-    t(n, hop) AS (SELECT a, 0 FROM z UNION SELECT w.m, t.hop + 1 FROM t JOIN w ON w.n = t.n WHERE t.hop < 6) SELECT a AS start, b AS goal, min(hop) AS hops FROM t JOIN z ON n = b GROUP BY 1, 2"""
+    f"""{_ENDS}, z AS (SELECT min(n) AS a, max(n) AS b FROM w WHERE n LIKE 'C%'), size AS (SELECT count(DISTINCT n) AS k FROM w),
+    t(n, hop) USING KEY (n) AS (SELECT a, 0 FROM z UNION SELECT w.m, min(t.hop) + 1 FROM t JOIN w ON w.n = t.n WHERE w.m NOT IN (SELECT n FROM recurring.t) GROUP BY w.m)
+    SELECT a AS start, b AS goal, hop AS hops FROM t JOIN z ON n = b"""
 )
 def shortest_path_len(read) -> DataFrame:
-    """Hops between two persons without crossing a nation."""
-    edges = cut(_trade(read))
-    nodes = cut(_trade_nodes(edges))
-    ends = edges.filter("etype = 'CALLED'").agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
+    """Hops between two persons without crossing a nation, however many."""
+    nodes, edges = _with_places(read)
+    ends = edges.filter("etype = 'OWNS'").agg(F.min("src").alias("a"), F.max("src").alias("b")).first()
     path = G.shortest_path(nodes, edges, ends["a"], ends["b"]) if ends["a"] else []
     return edges.sparkSession.createDataFrame([(ends["a"], ends["b"], len(path) - 1)] if path else [], "start string, goal string, hops int")
 
 
-def _nation_flows(read) -> DataFrame:
-    """Deals from one nation's suppliers to another's customers."""
-    lines = read("lineitem").join(read("supplier").select("s_suppkey", F.col("s_nationkey").alias("src")), F.col("l_suppkey") == F.col("s_suppkey"))
-    orders = read("orders").join(read("customer").select("c_custkey", F.col("c_nationkey").alias("dst")), F.col("o_custkey") == F.col("c_custkey"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-
-
-def _nation_trade(read) -> DataFrame:
-    """Each nation's two largest buyers of its suppliers' goods."""
-    flows = _nation_flows(read)
-    by = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
-    return flows.withColumn("place", F.row_number().over(by)).filter("place <= 2").select("src", "dst")
-
-
 @query(
-    """WITH RECURSIVE f AS (SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey
-      JOIN customer ON c_custkey = o_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
-    e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS p FROM f) WHERE p <= 2),
-    t(start, here, path, len) AS (SELECT src, dst, [src, dst], 2 FROM e WHERE dst > src UNION ALL
-      SELECT t.start, e.dst, list_append(t.path, e.dst), t.len + 1 FROM t JOIN e ON e.src = t.here WHERE t.len < 5 AND e.dst > t.start AND NOT list_contains(t.path, e.dst))
-    SELECT array_to_string(path, '>') AS cycle, CAST(len AS INTEGER) AS n, round(least(0.97, 0.7 + 0.05 * len), 3) AS confidence FROM t JOIN e ON e.src = t.here AND e.dst = t.start WHERE len >= 3"""
-)
+    f"""{_TRADE}, ed AS (SELECT 'S' || a AS src, 'S' || b AS dst, amount FROM deal WHERE moved > 0),
+    t(start, here, path, len) AS (SELECT src, dst, [src, dst], 2 FROM ed WHERE dst > src UNION ALL
+      SELECT t.start, e.dst, list_append(t.path, e.dst), t.len + 1 FROM t JOIN ed e ON e.src = t.here WHERE t.len < 5 AND e.dst > t.start AND NOT list_contains(t.path, e.dst)),
+    cy AS (SELECT path, len FROM t JOIN ed e ON e.src = t.here AND e.dst = t.start WHERE len >= 3),
+    st AS (SELECT path, len, unnest(range(1, len + 1)) AS i FROM cy), hp AS (SELECT path, len, i, path[i] AS u, path[CASE WHEN i = len THEN 1 ELSE i + 1 END] AS v FROM st),
+    ev AS (SELECT path, len, string_agg(x.s_name || ' -> ' || y.s_name || ': Rs ' || format('{{:,}}', CAST(round_even(amount, 0) AS BIGINT)), '|' ORDER BY i) AS steps FROM hp JOIN ed ON src = u AND dst = v JOIN supplier x ON 'S' || x.s_suppkey = u JOIN supplier y ON 'S' || y.s_suppkey = v GROUP BY 1, 2) """
+    + _alert_sql("CIRCULAR_FLOW", "'Money loops through ' || len || ' accounts back to its origin'", "'Layering pattern: funds return to the source after passing through intermediaries'", "array_to_string(path, '|')", "0.7 + 0.05 * len", "array_to_string(path, '|')", "steps")
+    + " FROM ev"
+)
 def cycles(read) -> DataFrame:
-    """Simple directed cycles of three to five nations."""
-    found = G.cycles(cut(_nation_trade(read)), 5)
-    n = F.size("cycle")
-    return found.select(F.array_join(F.transform("cycle", lambda c: c.cast("string")), ">").alias("cycle"), n.alias("n"), F.round(F.least(F.lit(0.97), 0.7 + 0.05 * n), 3).alias("confidence"))
+    """Money that comes back over three to five accounts."""
+    nodes, edges = V.trade(read)
+    return _flat(rules.circular(rules.Context({}, {}, nodes, cut(edges))))
+
 
+@query(f"{_TRADE}, n AS (SELECT 'C' || c_custkey AS id FROM customer UNION SELECT 'S' || s_suppkey FROM supplier) SELECT id, id = (SELECT 'S' || min(s_suppkey) FROM supplier) OR id IN (SELECT person FROM owned) AS alerted FROM n")
+def alerted_nodes(read) -> DataFrame:
+    """Nodes that an alert names."""
+    nodes, edges = V.trade(read)
+    owners = edges.filter("etype = 'OWNS'").select(F.array("src").alias("entities"))
+    first = read("supplier").agg(F.array(F.concat(F.lit("S"), F.min("s_suppkey").cast("string"))).alias("entities"))
+    return G.flag_alerted(nodes, owners.unionByName(first)).select("id", "alerted")
 
-def _nation_links(read) -> DataFrame:
-    """Every two nations that trade."""
-    flows = _nation_flows(read)
-    name = lambda c: F.concat(F.lit("N"), F.lpad(c.cast("string"), 2, "0"))
-    return cut(flows.select(name(F.least("src", "dst")).alias("a"), name(F.greatest("src", "dst")).alias("b")).distinct().withColumn("weight", F.lit(1.0)))
+
+def _links(read) -> DataFrame:
+    """Every two suppliers whose large lots share an order."""
+    edges = V.trade(read)[1].filter("etype = 'TRANSFERRED_TO'")
+    return cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("weight", F.lit(1.0)))
 
 
 @query()
 def betweenness(read) -> DataFrame:
-    """Exact, by sources; no SQL twin."""
-    return G.betweenness(_nation_links(read)).withColumn("betweenness", F.round("betweenness", 6))
+    """Exact; see known_betweenness for its check."""
+    return G.betweenness(_links(read)).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @query()
 def communities(read) -> DataFrame:
-    return G.communities(_nation_links(read))
+    return G.communities(_links(read))
 
 
 @query()
 def key_players(read) -> DataFrame:
-    links = _nation_links(read)
-    ids = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
-    return G.key_players(ids.select("id", F.col("id").alias("label"), F.array("id").alias("records")), links, 8)
+    return G.key_players(V.trade(read)[0].filter("type = 'Account'").withColumn("records", F.array("id")), _links(read), 8)
 
 
 @query(
@@ -472,8 +604,6 @@ def key_players(read) -> DataFrame:
 )
 def components(read) -> DataFrame:
     """Connected components of parts and suppliers that large discounted deals connect."""
-    from tessera.operators.components import connected_components
-
     deals = read("lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
     return connected_components(deals.select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")))
 
@@ -481,7 +611,7 @@ def components(read) -> DataFrame:
 # --- ledger ----------------------------------------------------------------------------------------
 
 _PAYLOAD = "event_id || '|' || event_type || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')"
-_CHAINED = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, {_PAYLOAD} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord FROM events WHERE user_id <= 40),
+_CHAINED = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, {_PAYLOAD} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ord FROM events),
   c(user_id, ord, payload, prev, hash) AS (SELECT user_id, ord, payload, repeat('0', 64), sha256(repeat('0', 64) || payload) FROM r WHERE ord = 1
     UNION ALL SELECT r.user_id, r.ord, r.payload, c.hash, sha256(c.hash || r.payload) FROM c JOIN r ON r.user_id = c.user_id AND r.ord = c.ord + 1)"""
 
@@ -492,7 +622,7 @@ def _event_rows(read) -> DataFrame:
 
 
 def _chains(read) -> DataFrame:
-    return H.build_chains(_event_rows(read).filter("user_id <= 40"), "user_id", "event_id", "payload")
+    return H.build_chains(_event_rows(read), "user_id", "event_id", "payload")
 
 
 @query(f"{_CHAINED} SELECT user_id, ord, payload, prev, hash FROM c")
@@ -544,14 +674,13 @@ def consensus_vote(read) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, array_to_string(list_distinct(list_sort(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g') || ' ', '[^\d]([6-9]\d{9})[^\d]', 1))), ',') AS phones,
-      len(regexp_extract_all(text, '\d{15,}')) AS long_runs FROM documents WHERE regexp_matches(text, '\d{9}')"""
+    r"""SELECT doc_id, array_to_string(list_distinct(list_sort(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g') || ' ', '[^\d]0?([6-9]\d{9})[^\d]', 1))), ',') AS phones,
+      array_to_string(list_distinct(list_sort(regexp_extract_all(' ' || regexp_replace(text, '(\d+)', ' \1 ', 'g') || ' ', '[^\d](\d{15})[^\d]', 1))), ',') AS imeis FROM documents"""
 )
 def extract_ids(read) -> DataFrame:
-    """Ten-digit phone numbers in texts that hold long digit runs."""
-    docs = read("documents").filter(F.col("text").rlike(r"\d{9}"))
-    phones = F.array_distinct(F.array_sort(F.regexp_extract_all("text", F.lit(r"(?<!\d)([6-9]\d{9})(?!\d)"), F.lit(1))))
-    return docs.select("doc_id", F.array_join(phones, ",").alias("phones"), F.size(F.regexp_extract_all("text", F.lit(r"(\d{15,})"), F.lit(1))).cast("long").alias("long_runs"))
+    """Phone numbers and IMEIs in all texts."""
+    found = read("documents").select("doc_id", X.identifiers("text").alias("i"))
+    return found.select("doc_id", _joined(F.array_sort("i.phones"), ",").alias("phones"), _joined(F.array_sort("i.imeis"), ",").alias("imeis"))
 
 
 @query(
@@ -565,87 +694,35 @@ def clean_identifiers(read) -> DataFrame:
 
 
 @query(
-    r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name, '[^A-Za-z\s]', ' ', 'g'), '\s{2,}', ' ', 'g')) AS letters,
-      regexp_extract(trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z\s]', ' ', 'g'), '\s{2,}', ' ', 'g')), '(\S+)$', 1) AS last_word FROM part"""
+    r"""SELECT c_name AS id, nullif(trim(c_mktsegment), '') AS alias, CASE WHEN c_nationkey > 9 THEN right('9198' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 10) END AS phone, 'UP14AB' || c_nationkey AS vehicle FROM customer"""
 )
-def name_letters(read) -> DataFrame:
-    """Names without anything but letters, and their last word."""
-    letters = F.trim(F.regexp_replace(F.regexp_replace("p_name", r"[^A-Za-z\s]", " "), r"\s{2,}", " "))
-    return read("part").select("p_partkey", letters.alias("letters"), X.surname(F.lower(letters)).alias("last_word"))
+def clean_table(read) -> DataFrame:
+    """A table of a case, trimmed, blanks as null, phones and plates in one form."""
+    number = F.concat(F.lit(" +91-98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit(" "))
+    raw = read("customer").select(
+        F.concat(F.lit("  "), "c_name").alias("id"), F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")).alias("alias"), F.when(F.col("c_nationkey") > 9, number).otherwise("  ").alias("phone"),
+        F.concat(F.lit("up 14-ab "), F.col("c_nationkey").cast("string")).alias("vehicle"), *[F.lit("").alias(c) for c in C.columns("person") if c not in ("id", "alias", "phone", "vehicle")],
+    )
+    return C.clean(raw, "person").select("id", "alias", "phone", "vehicle")
 
 
-@query()
+@query(f"SELECT p_partkey, {V.display_sql('p_name')} AS display, {V.phonetic_sql(V.display_sql('p_name'))} AS phonetic FROM part")
 def name_normalise(read) -> DataFrame:
-    """Display and phonetic forms (doubled letters collapse, for which SQL here has no pattern)."""
-    display = X.display_name("p_name")
-    return read("part").select("p_partkey", display.alias("display"), X.phonetic("p_name").alias("phonetic"))
+    """Display and phonetic forms of names."""
+    return read("part").select("p_partkey", X.display_name("p_name").alias("display"), X.phonetic("p_name").alias("phonetic"))
 
 
 @query()
 def search_fuzzy(read) -> DataFrame:
-    """Distinct names by how well a term fits into them."""
-    names = read("part").select(F.col("p_name").alias("label")).unionByName(read("supplier").select(F.col("s_name").alias("label"))).distinct()
-    scored = names.withColumn("relevance", F.round(S.partial_udf(F.lit("supplier 12"), F.lower("label")), 4))
-    return scored.filter("relevance >= 60").orderBy(F.desc("relevance"), "label").limit(50)
-
-
-@query(
-    """SELECT d.doc_id, lang, quality, toxic, CAST(coalesce(length(text), 0) AS BIGINT) AS size, lang = 'es' AS first FROM documents d LEFT JOIN labels USING (doc_id)"""
-)
-def fir_list(read) -> DataFrame:
-    """An outer join, and a boolean in the sort key."""
-    joined = read("documents").join(read("labels"), "doc_id", "left")
-    out = joined.select("doc_id", "lang", "quality", "toxic", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"), (F.col("lang") == "es").alias("first"))
-    return out.orderBy(F.desc("first"), "doc_id")
+    """The 50 most relevant of all that a case holds; see known_search for its check."""
+    return L.search(V.case(read), "supplier 12")[0]
 
 
 @query(
-    """WITH i AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice >= 400000)
-    SELECT id, source, row_id FROM (SELECT id, 'orders' AS source, o_orderkey AS row_id, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS p FROM i JOIN orders ON o_custkey = id
-    UNION ALL SELECT id, 'events', event_id, row_number() OVER (PARTITION BY id ORDER BY event_id) FROM i JOIN events ON user_id = id) WHERE p <= 5"""
-)
-def export_sources(read) -> DataFrame:
-    """The rows that an alert's ids name in each table, five at most."""
-    ids = read("orders").filter("o_totalprice >= 400000").select(F.col("o_custkey").alias("id")).distinct()
-    out = None
-    for name, key, row in (("orders", "o_custkey", "o_orderkey"), ("events", "user_id", "event_id")):
-        found = ids.join(read(name).select(F.col(key).alias("id"), F.col(row).alias("row_id")), "id")
-        by = Window.partitionBy("id").orderBy("row_id")
-        found = found.withColumn("p", F.row_number().over(by)).filter("p <= 5").select("id", F.lit(name).alias("source"), "row_id")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-@query(
-    """SELECT c_mktsegment AS station, count(*) AS people, count(*) FILTER (WHERE c_acctbal < 0) AS victims, count(DISTINCT c_nationkey) AS places FROM customer GROUP BY 1"""
-)
-def station_report(read) -> DataFrame:
-    """Counts by predicate."""
-    return read("customer").groupBy(F.col("c_mktsegment").alias("station")).agg(F.count("*").alias("people"), F.count_if(F.col("c_acctbal") < 0).alias("victims"), F.countDistinct("c_nationkey").alias("places"))
-
-
-@query(
-    """SELECT o_custkey AS caller, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1"""
-)
-def victim_exclusion(read) -> DataFrame:
-    """An anti join keeps protected callers out."""
-    protected = read("customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    return read("orders").join(protected, "o_custkey", "left_anti").groupBy(F.col("o_custkey").alias("caller")).agg(F.count("*").alias("n"))
-
-
-@query(
-    """WITH s AS (SELECT split_part(p_name, ' ', -1) AS surname, count(*) AS n FROM part GROUP BY 1)
-    SELECT surname, n, n / (SELECT sum(n) FROM s) AS share, CASE WHEN n / (SELECT sum(n) FROM s) > 0.10 THEN 0.5 WHEN n / (SELECT sum(n) FROM s) > 0.05 THEN 0.7 ELSE 1.0 END AS weight FROM s"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT 'P' || l_partkey AS u, 'S' || l_suppkey AS v FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1),
+    w AS (SELECT u AS n, v AS m FROM e UNION SELECT v, u FROM e), t(n, m) AS (SELECT n, m FROM w UNION SELECT t.n, w.m FROM t JOIN w ON t.m = w.n)
+    SELECT n AS node, least(n, min(m)) AS component FROM t GROUP BY n"""
 )
-def surname_corpus(read) -> DataFrame:
-    """Last words, their share, and the weight that a match on one has."""
-    counted = read("part").groupBy(F.substring_index("p_name", " ", -1).alias("surname")).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    share = F.col("n") / F.col("total")
-    return counted.crossJoin(F.broadcast(total)).select("surname", "n", share.alias("share"), F.when(share > 0.10, 0.5).when(share > 0.05, 0.7).otherwise(1.0).alias("weight"))
-
-
-@query()
 def case_components(read) -> DataFrame:
     """Components over text ids, as entity resolution uses them."""
     links = read("lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1")
