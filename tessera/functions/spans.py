@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
-from tessera.functions.text import DEVANAGARI, transliterate
+from tessera.functions.text import DEVANAGARI, identifiers, transliterate
 
 SPAN = "array<struct<start:int,end:int,label:string,text:string,source:string>>"
 _PATTERNS = [(re.compile(p), label) for p, label in ((V.PHONE, "PHONE"), (V.IMEI, "IMEI"), (V.VEHICLE, "VEHICLE"), (V.ACCOUNT, "ACCOUNT"))]
@@ -46,6 +46,41 @@ def spans_of(text: str, names: list[str], recognise: Recogniser | None = None) -
     return sorted(found, key=lambda f: f["start"])
 
 
+#: The lists that a recogniser's labels feed.
+NAMED = {"PERSON": "persons", "ORG": "orgs", "GPE": "locations", "LOC": "locations"}
+
+
+def named_of(text: str, recognise: Recogniser | None) -> dict[str, list[str]]:
+    """What a recogniser finds beside identifiers: persons, orgs and locations, each once, in order."""
+    out: dict[str, list[str]] = {"persons": [], "orgs": [], "locations": []}
+    taken = [{"start": m.start(), "end": m.end()} for p, _ in _PATTERNS for m in p.finditer(text)]
+    for start, end, label in recognise(text) if recognise else []:
+        value = text[start:end].strip()
+        if label == "PERSON":
+            value = re.sub(r"^[ ,.\-]+|[ ,.\-]+$", "", re.sub(r"\s{2,}", " ", re.sub(V.NOISE, " ", value)))
+        held = out.get(NAMED.get(label, ""))
+        if held is not None and value and value not in held and not _taken(taken, start, end):
+            held.append(value)
+    return out
+
+
+def extract_entities(texts: DataFrame, column: str = "text", recognise: Recogniser | None = None) -> DataFrame:
+    """``texts`` with ``entities``: seven lists, each value once.  Identifiers in the JVM, names by the recogniser."""
+
+    @F.pandas_udf("struct<persons:array<string>,orgs:array<string>,locations:array<string>>")
+    def named(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([named_of(t or "", recognise) for t in column], columns=["persons", "orgs", "locations"])
+
+    empty = F.array().cast("array<string>")
+    found = texts.withColumn("_i", identifiers(column))
+    if recognise is None:
+        found = found.withColumn("_n", F.struct(empty.alias("persons"), empty.alias("orgs"), empty.alias("locations")))
+    else:
+        found = found.withColumn("_n", named(column))
+    entities = F.struct("_n.persons", "_i.phones", "_i.accounts", "_i.vehicles", "_i.imeis", "_n.orgs", "_n.locations")
+    return found.withColumn("entities", entities).drop("_i", "_n")
+
+
 def extract_spans(reports: DataFrame, persons: DataFrame, recognise: Recogniser | None = None) -> DataFrame:
     """fir_id, lang ('hi' or 'en'), spans and transliteration of every report's narrative."""
 

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (a test) gets a temporary folder."""
+    """The folder all executors share; on one machine, a session without one (a test) gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -131,7 +133,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, contracted: bool = False, finish: int = FINISH, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, contracted: bool = False, finish: int = FINISH) -> DataFrame:
     """Columns ``u`` and ``v`` (long) in; ``node`` and ``component`` (its smallest node) out.
 
     Loops and edges with a null end are left out, repeated edges count once, and nodes without an edge to
@@ -141,7 +143,7 @@ def connected_components(edges: DataFrame, contracted: bool = False, finish: int
     now = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     now = now.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     now, before = cut((now if contracted else now.mapInArrow(contract, "u long, v long")).distinct()), None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] <= finish:
             return cut(now.coalesce(1).mapInArrow(_finish, "node long, component long"))
@@ -156,15 +158,15 @@ def connected_components(edges: DataFrame, contracted: bool = False, finish: int
 def string_components(edges: DataFrame) -> DataFrame:
     """:func:`connected_components` for string nodes; a component is its smallest node.
 
-    Nodes are numbered in their own order, so the smallest number is the smallest string.
+    Nodes are numbered in their own order (sorted over all partitions), so the smallest number is the smallest string.
     """
     names = edges.select(F.col("u").alias("name")).unionByName(edges.select(F.col("v").alias("name"))).filter("name IS NOT NULL").distinct()
-    names = cut(names.select("name", F.xxhash64("name").alias("n")))
+    names = cut(names.orderBy("name").select("name", F.monotonically_increasing_id().alias("n")))
     of = lambda c: names.select(F.col("name").alias(c), F.col("n").alias(f"n_{c}"))
     coded = edges.join(of("u"), "u").join(of("v"), "v").select(F.col("n_u").alias("u"), F.col("n_v").alias("v"))
-    found = connected_components(coded).join(names.withColumnRenamed("n", "node"), "node")
-    least = found.groupBy("component").agg(F.min("name").alias("least"))
-    return found.join(least, "component").select(F.col("name").alias("node"), F.col("least").alias("component"))
+    found = connected_components(coded)
+    named = lambda c, n: names.select(F.col("name").alias(c), F.col("n").alias(n))
+    return found.join(named("node_name", "node"), "node").join(named("component_name", "component"), "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
 
 
 def spanning(n: int, linked: np.ndarray) -> list[tuple[int, int]]:

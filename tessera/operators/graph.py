@@ -137,6 +137,19 @@ def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return direct.unionByName(kyc.join(direct, "thing").select(F.col("account").alias("thing"), "person")).distinct()
 
 
+#: Persons of one thing whose pairs one task makes with all others of it.
+TOGETHER = 1000
+
+
+def _together(owned: DataFrame) -> DataFrame:
+    """Pairs a < b of the persons of each thing; a thing of many persons is dealt to several tasks."""
+    lots = owned.groupBy("thing").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("lots"))
+    dealt = owned.join(lots, "thing")
+    left = dealt.select("thing", F.col("person").alias("a"), F.pmod(F.xxhash64("person"), F.col("lots")).cast("int").alias("lot"))
+    right = dealt.select("thing", F.col("person").alias("b"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    return left.join(right, ["thing", "lot"]).filter("a < b").drop("lot")
+
+
 def persons_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Undirected links a < b with weight, kinds, calls, amount and what they share."""
     own = owners(nodes, edges)
@@ -146,10 +159,9 @@ def persons_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     money = both.filter("etype = 'TRANSFERRED_TO'").select("a", "b", F.lit("money").alias("kind"), F.lit(3.0).alias("weight"), "amount")
     accused = nodes.filter("type = 'Person' AND role = 'ACCUSED'").select(F.col("id").alias("person"))
     named = edges.filter("etype = 'NAMED_IN'").select(F.col("src").alias("person"), F.col("dst").alias("thing")).distinct().join(accused, "person")
-    together = lambda df: df.alias("x").join(df.select("thing", F.col("person").alias("b")).alias("y"), "thing").filter("person < b").withColumnRenamed("person", "a")
-    co = together(named).select("a", "b", F.lit("co-accused").alias("kind"), F.lit(4.0).alias("weight"))
+    co = _together(named).select("a", "b", F.lit("co-accused").alias("kind"), F.lit(4.0).alias("weight"))
     things = nodes.filter(F.col("type").isin("Phone", "Vehicle", "Account")).select(F.col("id").alias("thing"), "type", "label")
-    shared = together(own).join(things, "thing").select("a", "b", F.concat(F.lit("shared "), F.lower("type")).alias("kind"), F.lit(3.0).alias("weight"), F.col("label").alias("shared"))
+    shared = _together(own).join(things, "thing").select("a", "b", F.concat(F.lit("shared "), F.lower("type")).alias("kind"), F.lit(3.0).alias("weight"), F.col("label").alias("shared"))
     links = calls.unionByName(money, True).unionByName(co, True).unionByName(shared, True).filter("a <> b")
     return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.sum("weight").alias("weight"),
@@ -187,12 +199,13 @@ def _adjacency(pairs: list[tuple]) -> dict:
 def betweenness(links: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
     """Exact normalised betweenness (unweighted): each task counts shortest paths from its share of sources.
 
-    Every worker holds the links, whose number is checked first; a larger graph raises.
+    Every worker holds the links, whose number is checked first; of a larger graph the paths are counted by
+    joins, level by level, for blocks of sources.
     """
     spark = links.sparkSession
-    pairs = links.select("a", "b").distinct()
-    if (n := pairs.count()) > most_links:
-        raise ValueError(f"{n} links are more than a worker may hold ({most_links})")
+    pairs = links.select("a", "b").filter("a <> b").distinct()
+    if pairs.count() > most_links:
+        return _betweenness_joined(pairs)
     held = spark.sparkContext.broadcast(_adjacency([tuple(r) for r in pairs.collect()]))
     sources = _both_ways(pairs).select("n").distinct()
     total = sources.count()
@@ -230,6 +243,40 @@ def betweenness(links: DataFrame, most_links: int = MOST_LINKS) -> DataFrame:
     return sources.join(summed, "n", "left").select("n", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+#: Sources whose paths are counted at a time when no worker can hold the links.
+SOURCES = 1000
+
+
+def _betweenness_joined(pairs: DataFrame, block: int = SOURCES) -> DataFrame:
+    """:func:`betweenness` by joins: (source, node, depth, ways) forwards, then each node's share backwards."""
+    ways_of = cut(_both_ways(pairs).distinct())
+    nodes = cut(ways_of.select("n").distinct())
+    total = nodes.count()
+    lots = -(-total // block)
+    scale, score = 1.0 / ((total - 1) * (total - 2)) if total > 2 else 1.0, None
+    for lot in range(lots):
+        seen = cut(nodes.filter(F.pmod(F.xxhash64("n"), F.lit(lots)) == lot).select(F.col("n").alias("source"), "n", F.lit(0).alias("depth"), F.lit(1.0).alias("ways")))
+        depth, level = 0, seen
+        while not level.isEmpty():
+            ahead = level.join(ways_of, "n").groupBy("source", F.col("m").alias("n")).agg(F.sum("ways").alias("ways"))
+            level = cut(ahead.join(seen, ["source", "n"], "left_anti").select("source", "n", F.lit(depth + 1).alias("depth"), "ways"))
+            seen, depth = cut(seen.unionByName(level)), depth + 1
+        shares = None  # of the level below: source, m, ways, share
+        for at in range(depth - 1, 0, -1):
+            here = seen.filter(F.col("depth") == at).select("source", "n", "ways")
+            if shares is None:
+                here = here.withColumn("share", F.lit(0.0))
+            else:
+                given = shares.select("source", F.col("n").alias("m"), ((1.0 + F.col("share")) / F.col("ways")).alias("each")).join(ways_of, "m").groupBy("source", "n").agg(F.sum("each").alias("each"))
+                here = here.join(given, ["source", "n"], "left").select("source", "n", "ways", F.coalesce(F.col("ways") * F.col("each"), F.lit(0.0)).alias("share"))
+            shares = cut(here)
+            part = shares.groupBy("n").agg(F.sum("share").alias("part"))
+            score = part if score is None else cut(score.unionByName(part).groupBy("n").agg(F.sum("part").alias("part")))
+    if score is None:
+        return nodes.select("n", F.lit(0.0).alias("betweenness"))
+    return nodes.join(score, "n", "left").select("n", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def _louvain(links: list[tuple[str, str, float]]) -> dict[str, int]:
     """Communities by local moves and contraction; nodes in order of name, so the result is repeatable."""
     names = sorted({x for a, b, _ in links for x in (a, b)})
@@ -278,7 +325,10 @@ def _louvain(links: list[tuple[str, str, float]]) -> dict[str, int]:
 
 
 def communities(links: DataFrame) -> DataFrame:
-    """n and community, numbered from the largest; weighted Louvain, one connected component a task."""
+    """n and community, numbered from the largest; weighted Louvain, one connected component a task.
+
+    A component has to fit a worker: one of more than MOST_LINKS links raises.
+    """
     part = string_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "a")
     weight = F.col("weight") if "weight" in links.columns else F.lit(1.0)
 
@@ -286,7 +336,11 @@ def communities(links: DataFrame) -> DataFrame:
         found = _louvain(list(zip(pdf["a"], pdf["b"], pdf["weight"])))
         return pd.DataFrame({"n": list(found), "part": [f"{key[0]}/{c}" for c in found.values()]})
 
-    found = links.select("a", "b", weight.cast("double").alias("weight")).join(part, "a").groupBy("component").applyInPandas(run, "n string, part string")
+    placed = links.select("a", "b", weight.cast("double").alias("weight")).join(part, "a")
+    most = placed.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if most > MOST_LINKS:
+        raise ValueError(f"a component of {most} links is more than a worker may hold ({MOST_LINKS})")
+    found = placed.groupBy("component").applyInPandas(run, "n string, part string")
     found = cut(found)
     sizes = found.groupBy("part").agg(F.count("*").alias("size"), F.min("n").alias("least"))
     numbered = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "least")) - 1)
@@ -379,11 +433,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> l
 
 
 def path_subgraph(nodes: DataFrame, edges: DataFrame, path: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The path's nodes with their place as ``hop``, and all edges between neighbours on it."""
+    """The path's nodes with their place as ``hop`` and whose they are (``owned_by``), and all edges between neighbours on it."""
     spark = nodes.sparkSession
     places = spark.createDataFrame([(n, i) for i, n in enumerate(path)], "id string, hop int")
     steps = spark.createDataFrame([(a, b) for x, y in zip(path, path[1:]) for a, b in ((x, y), (y, x))], "src string, dst string").distinct()
-    return nodes.join(F.broadcast(places), "id"), edges.join(F.broadcast(steps), ["src", "dst"])
+    own = owners(nodes, edges).withColumnRenamed("thing", "id").join(places.select("id"), "id", "left_semi")
+    label = nodes.select(F.col("id").alias("person"), F.col("label").alias("owner_label"))
+    named = own.join(label, "person").groupBy("id").agg(F.array_sort(F.collect_set("owner_label")).alias("owned_by"))
+    return nodes.join(F.broadcast(places), "id").join(named, "id", "left"), edges.join(F.broadcast(steps), ["src", "dst"])
 
 
 def cycles(links: DataFrame, most: int = 5) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
-_CHAIN = "array<struct<ord:bigint,payload:string,prev:string,hash:string>>"
 
 
 def sha256(c: Column) -> Column:
@@ -17,18 +19,30 @@ def sha256(c: Column) -> Column:
 def build_chains(rows: DataFrame, key: str, order: str, payload: str, start: str = GENESIS) -> DataFrame:
     """key, ord (from 1), payload, prev and hash: hash = sha256(prev + payload), a fold along each key's rows.
 
-    The fold is sequential within a chain by nature, and one aggregate over its sorted array in the JVM.
+    The fold is sequential within a chain by nature: rows are dealt by key and sorted, and one pass over each
+    partition carries a head from batch to batch, so memory is that of a batch however long a chain is.
     """
-    lined = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("payload")))).alias("rows"))
-    first = F.struct(F.lit(start).alias("last"), F.array().cast(_CHAIN).alias("out"))
-
-    def step(state, row):
-        hashed = sha256(F.concat(state["last"], row["payload"]))
-        entry = F.struct((F.size(state["out"]) + 1).cast("bigint").alias("ord"), row["payload"].alias("payload"), state["last"].alias("prev"), hashed.alias("hash"))
-        return F.struct(hashed.alias("last"), F.concat(state["out"], F.array(entry)).alias("out"))
-
-    folded = lined.select(key, F.explode(F.aggregate("rows", first, step)["out"]).alias("e"))
-    return folded.select(key, "e.ord", "e.payload", "e.prev", "e.hash")
+    spark = rows.sparkSession
+    lined = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    kind = lined.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        last, head, place = None, start, 0
+        for batch in batches:
+            keys, payloads = batch.column("key").to_pylist(), batch.column("payload").to_pylist()
+            ords, prevs, hashes = [], [], []
+            for at, text in zip(keys, payloads):
+                if place == 0 or at != last:
+                    last, head, place = at, start, 0
+                place += 1
+                ords.append(place)
+                prevs.append(head)
+                head = hashlib.sha256((head + text).encode()).hexdigest()
+                hashes.append(head)
+            yield pa.record_batch([batch.column("key"), pa.array(ords, pa.int64()), batch.column("payload"), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=["key", "ord", "payload", "prev", "hash"])
+
+    dealt = lined.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "order", "payload")
+    return dealt.mapInArrow(run, f"key {kind}, ord long, payload string, prev string, hash string").withColumnRenamed("key", key)
 
 
 def audit_chains(chains: DataFrame, key: str, start: str = GENESIS) -> DataFrame:

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import ed25519
 from tessera.operators import hashing as H
+from tessera.operators.components import cut
 
 NODES, QUORUM = ["node-1", "node-2", "node-3"], 2
 BLOCK = "node string, generation long, height long, ts string, prev_block_hash string, merkle_root string, first_seq long, n_entries long, proposer string, block_hash string, proposer_sig string"
@@ -36,13 +37,31 @@ def fingerprint(public: str) -> str:
 
 
 class Keys:
-    """Signing seeds by name; by default derived from a secret, or any mapping of 32-byte seeds."""
+    """Signing seeds by name: any mapping of 32-byte seeds, or derived from a secret that the caller keeps."""
 
-    def __init__(self, secret: bytes, seeds: dict[str, bytes] | None = None):
+    def __init__(self, secret: bytes | None = None, seeds: dict[str, bytes] | None = None):
         self.secret, self.seeds = secret, seeds or {}
 
+    @classmethod
+    def stored(cls, spark: SparkSession, folder: str, names: list[str]) -> Keys:
+        """Random seeds, made once and kept as a table in ``folder``; names without one get theirs now."""
+        try:
+            seeds = {r["name"]: bytes.fromhex(r["seed"]) for r in spark.read.schema("name string, seed string").parquet(folder).collect()}
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            seeds = {}
+        new = {n: os.urandom(32) for n in names if n not in seeds}
+        if new:
+            spark.createDataFrame([(n, s.hex()) for n, s in new.items()], "name string, seed string").coalesce(1).write.mode("append").parquet(folder)
+        return cls(None, seeds | new)
+
     def seed(self, name: str) -> bytes:
-        return self.seeds.get(name) or hashlib.sha256(self.secret + name.encode()).digest()
+        if name in self.seeds:
+            return self.seeds[name]
+        if self.secret is None:
+            raise KeyError(f"no key for {name}")
+        return hashlib.sha256(self.secret + name.encode()).digest()
 
     def public(self, name: str) -> str:
         return ed25519.public_key(self.seed(name)).hex()
@@ -70,6 +89,40 @@ def header_hash(block: dict) -> str:
     return H._hex(canonical({k: block[k] for k in _HEADER}))
 
 
+def majority(heads: DataFrame, key: str) -> DataFrame:
+    """key, head and votes of what most replicas hold (columns ``key``, head), the smaller head on ties, and whether that is a quorum."""
+    votes = heads.groupBy(key, "head").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(key).agg(F.min(F.struct(F.negative("votes").alias("votes"), "head")).alias("b"))
+    return best.select(key, "b.head", F.negative("b.votes").alias("votes"), (F.negative("b.votes") >= QUORUM).alias("quorum"))
+
+
+def proposal_faults(block: dict, entries: list[dict], tip: dict, registry: dict[str, str]) -> list[str]:
+    """What a replica with this tip and registry of keys finds wrong with a proposed block."""
+    out = []
+    signed = lambda name, text, signature: name in registry and ed25519.verify(bytes.fromhex(registry[name]), text.encode(), bytes.fromhex(signature))
+    if (block["prev_block_hash"], block["height"]) != (tip["block_hash"], tip["height"] + 1):
+        out.append("link")
+    if block["proposer"] != NODES[block["height"] % len(NODES)]:
+        out.append("proposer turn")
+    if block["n_entries"] != len(entries) or block["first_seq"] != tip["seq"] + 1:
+        out.append("entry count")
+    before = tip["row_hash"]
+    for seq, entry in enumerate(entries, tip["seq"] + 1):
+        stated = json.loads(entry["payload"])
+        if entry["seq"] != seq or entry["prev_hash"] != before or H._hex(before + entry["payload"]) != entry["row_hash"]:
+            out.append(f"entry {seq}: hash")
+        elif any(stated.get(c) != entry[c] for c in ("seq", "ts", "actor", "action")):
+            out.append(f"entry {seq}: columns")
+        elif registry.get(entry["actor"]) != entry["signer_pub"] or not signed(entry["actor"], entry["row_hash"], entry["signature"]):
+            out.append(f"entry {seq}: signature")
+        before = entry["row_hash"]
+    if H.root_of([e["row_hash"] for e in entries]) != block["merkle_root"]:
+        out.append("merkle root")
+    if header_hash(block) != block["block_hash"] or not signed(block["proposer"], block["block_hash"], block["proposer_sig"]):
+        out.append("header")
+    return out
+
+
 class Ledger:
     """The replicas below ``folder``; ``clock`` gives time stamps."""
 
@@ -141,15 +194,31 @@ class Ledger:
         self._store(block, entries, dict.fromkeys(NODES, 0))
 
     def commit(self, items: list[tuple[str, dict, str]]) -> dict:
-        """One block of (action, data, actor) items on the majority's tip; replicas with another tip reject it."""
+        """One block of (action, data, actor) items on the majority's tip.
+
+        Each replica checks the proposal against its own tip and registry; those that find a fault don't endorse it.
+        """
         tips = self._tips()
         votes = Counter(t["block_hash"] for t in tips.values())
         best, count = votes.most_common(1)[0] if votes else (None, 0)
         if count < QUORUM:
             raise RuntimeError("no majority tip: heal the replicas first")
-        nodes = {n: t["generation"] for n, t in tips.items() if t["block_hash"] == best}
-        tip = tips[next(iter(nodes))]
+        tip = next(t for t in tips.values() if t["block_hash"] == best)
         block, entries = self._build(tip["height"] + 1, best, tip["row_hash"], tip["seq"] + 1, items)
+        known: dict[str, dict[str, str]] = {}
+        for r in self._known(self.entries()).collect():
+            known.setdefault(r["node"], {})[r["name"]] = r["key"]
+        found, nodes, faults = {}, {}, {}
+        for node, own in sorted(tips.items()):
+            view = canonical([own["block_hash"], own["height"], own["seq"], own["row_hash"], known.get(node, {})])
+            if view not in found:  # replicas that see the same find the same
+                found[view] = proposal_faults(block, entries, own, known.get(node, {}))
+            if found[view]:
+                faults[node] = found[view]
+            else:
+                nodes[node] = own["generation"]
+        if len(nodes) < QUORUM:
+            raise RuntimeError(f"no quorum endorses the block: {faults}")
         return self._store(block, entries, nodes)
 
     # -- audits
@@ -162,33 +231,37 @@ class Ledger:
     def entry_faults(self) -> DataFrame:
         """node, seq, block_height and the first thing wrong with each bad entry."""
         entries = self.entries()
-        by = Window.partitionBy("node").orderBy("seq")
-        before, place = F.coalesce(F.lag("row_hash").over(by), F.lit(H.GENESIS)), F.row_number().over(by)
+        # the entry before by a join on its number, so a chain is dealt to all tasks
+        held = entries.groupBy("node", "seq").agg(F.count("*").alias("copies"), F.min("row_hash").alias("own"))
+        last = held.select("node", (F.col("seq") + 1).alias("seq"), F.col("own").alias("before"))
         parsed = F.from_json("payload", "seq bigint, ts string, actor string, action string")
-        checked = entries.withColumn("place", place).withColumn("before", before).withColumn("p", parsed)
+        checked = entries.join(held.drop("own"), ["node", "seq"]).join(last, ["node", "seq"], "left").withColumn("p", parsed)
+        first = F.col("seq") == 1
+        gap = (F.col("copies") > 1) | (F.col("seq") < 1) | (~first & F.col("before").isNull())
+        checked = checked.withColumn("gap", gap).withColumn("before", F.when(first, F.lit(H.GENESIS)).otherwise(F.col("before")))
         keys = self._known(entries).withColumnRenamed("name", "actor")
         checked = checked.join(keys, ["node", "actor"], "left").withColumn("signed", verify_udf("signer_pub", "row_hash", "signature"))
         same = (F.col("p.seq") == F.col("seq")) & (F.col("p.ts") == F.col("ts")) & (F.col("p.actor") == F.col("actor")) & (F.col("p.action") == F.col("action"))
         system = (F.col("actor") == "system") & F.col("key").isNull()
         wrong = (
-            F.when(F.col("seq") != F.col("place"), "sequence").when(F.col("prev_hash") != F.col("before"), "link")
+            F.when(F.col("gap"), "sequence").when(F.col("prev_hash") != F.col("before"), "link")
             .when(F.col("row_hash") != H.sha256(F.concat("prev_hash", "payload")), "content hash").when(F.col("p.seq").isNull(), "payload")
             .when(~F.coalesce(same, F.lit(False)), "columns").when(~system & ~F.coalesce(F.col("key") == F.col("signer_pub"), F.lit(False)), "signer")
             .when(~F.col("signed"), "signature")
         )
         return checked.withColumn("wrong", wrong).filter("wrong IS NOT NULL").select("node", "seq", "block_height", "wrong")
 
-    def block_faults(self) -> DataFrame:
-        """node, height and everything wrong with each bad block."""
+    def block_faults(self, found: DataFrame | None = None) -> DataFrame:
+        """node, height and everything wrong with each bad block; ``found`` may hold the entries' faults."""
         blocks, entries = self.blocks(), self.entries()
         keys = self._known(entries).withColumnRenamed("name", "proposer")
-        by = Window.partitionBy("node").orderBy("height")
+        last = blocks.groupBy("node", (F.col("height") + 1).alias("height")).agg(F.min("block_hash").alias("before"))
         held = entries.groupBy("node", F.col("block_height").alias("height")).agg(F.count("*").alias("held"))
         keyed = entries.withColumn("k", F.concat_ws("/", "node", "block_height"))
         roots = H.merkle_roots(keyed, "k", "seq", "row_hash").select(F.substring_index("k", "/", 1).alias("node"), F.substring_index("k", "/", -1).cast("long").alias("height"), "root")
-        bad = self.entry_faults().groupBy("node", F.col("block_height").alias("height")).agg(F.min(F.struct("seq", "wrong")).alias("first"))
+        bad = (self.entry_faults() if found is None else found).groupBy("node", F.col("block_height").alias("height")).agg(F.min(F.struct("seq", "wrong")).alias("first"))
         header = F.to_json(F.struct(*[F.col(c) for c in sorted(_HEADER)]), {"ignoreNullFields": "false"})
-        checked = blocks.withColumn("before", F.coalesce(F.lag("block_hash").over(by), F.lit(H.GENESIS)))
+        checked = blocks.join(last, ["node", "height"], "left").withColumn("before", F.when(F.col("height") == 0, F.lit(H.GENESIS)).otherwise(F.coalesce("before", F.lit(""))))
         checked = checked.join(held, ["node", "height"], "left").join(roots, ["node", "height"], "left").join(bad, ["node", "height"], "left").join(keys, ["node", "proposer"], "left")
         checked = checked.withColumn("signed", verify_udf("key", "block_hash", "proposer_sig"))
         turn = F.element_at(F.array(*map(F.lit, NODES)), (F.col("height") % len(NODES) + 1).cast("int"))
@@ -210,10 +283,11 @@ class Ledger:
     def status(self) -> DataFrame:
         """node, ok, errors (8 at most), bad_blocks, first_broken_entry, height, head_hash, state."""
         heads = self.blocks().groupBy("node").agg(F.max("height").alias("height"), F.max_by("block_hash", "height").alias("head_hash"))
-        faults = self.block_faults()
+        broken = cut(self.entry_faults())
+        faults = self.block_faults(broken)
         text = F.concat(F.lit("block "), F.col("height"), F.lit(": "), F.array_join("errors", ", "))
         blocks = faults.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(text)), 1, 8).alias("errors"), F.array_sort(F.collect_list("height")).alias("bad_blocks"))
-        entries = self.entry_faults().groupBy("node").agg(F.min("seq").alias("first_broken_entry"))
+        entries = broken.groupBy("node").agg(F.min("seq").alias("first_broken_entry"))
         signed = self.endorsement_faults().groupBy("node").agg(F.count("*").alias("bad_endorsements"))
         out = heads.join(blocks, "node", "left").join(entries, "node", "left").join(signed, "node", "left")
         out = out.withColumn("ok", F.col("errors").isNull() & F.col("bad_endorsements").isNull())
@@ -303,12 +377,37 @@ def verify_bundle(bundle: dict, registry: dict) -> list[str]:
     checked = lambda name, text, signature: name in known and ed25519.verify(bytes.fromhex(known[name]), text.encode(), bytes.fromhex(signature))
     if H._hex(entry["prev_hash"] + entry["payload"]) != entry["row_hash"]:
         out.append("content hash")
-    if entry["actor"] in known and not checked(entry["actor"], entry["row_hash"], entry["signature"]):
-        out.append("signature")
+    if known.get(entry["actor"]) != entry["signer_pub"] or not checked(entry["actor"], entry["row_hash"], entry["signature"]):
+        out.append("signature")  # an unknown actor is a fault as well
     if not H.check_proof(entry["row_hash"], bundle["path"], block["merkle_root"]):
         out.append("merkle path")
-    if header_hash(block) != block["block_hash"]:
+    if header_hash(block) != block["block_hash"] or entry["block_height"] != block["height"]:
         out.append("header")
+    if block["proposer"] != NODES[block["height"] % len(NODES)] or not checked(block["proposer"], block["block_hash"], block["proposer_sig"]):
+        out.append("proposer")
     if sum(checked(n, block["block_hash"], s) for n, s in bundle["endorsements"].items()) < QUORUM:
         out.append("endorsements")
     return out
+
+
+def verify_export(bundle: dict, registry: dict, stored: list[dict] | None = None) -> list[str]:
+    """What is wrong with an exported alert, offline: its digest, the entry that records it, and both proofs.
+
+    ``stored`` may hold replicas' blocks (node, height, block_hash, merkle_root): a quorum has to hold the anchor's.
+    """
+    core, out = {k: v for k, v in bundle.items() if k not in ("bundle_hash", "anchor")}, []
+    digest = H._hex(canonical(core))
+    if digest != bundle["bundle_hash"]:
+        out.append("bundle hash")
+    anchor = bundle["anchor"]
+    if json.loads(anchor["entry"]["payload"]).get("data", {}).get("bundle_hash") != digest:
+        out.append("recorded hash")
+    out += [f"anchor: {w}" for w in verify_bundle(anchor, registry)]
+    if bundle.get("proof"):
+        out += [f"alert: {w}" for w in verify_bundle(bundle["proof"], registry)]
+    if stored is not None:
+        block = anchor["block"]
+        same = {b["node"] for b in stored if all(b[c] == block[c] for c in ("height", "block_hash", "merkle_root"))}
+        if len(same) < QUORUM:
+            out.append("replicas")
+    return out

@@ -17,6 +17,8 @@ from tessera.operators.components import cut, string_components
 #: Strong identifiers in order, with the words that name them.
 STRONG = [("phone", "phone"), ("imei", "IMEI"), ("vehicle", "vehicle"), ("account_no", "bank account")]
 ACCEPT, REJECT = 0.85, 0.40
+#: Records of a block whose pairs one task makes with all others of it.
+BLOCK_LOT = 1000
 _FACTOR = "struct<kind:string,field:string,points:double,label:string>"
 
 
@@ -51,9 +53,12 @@ def candidate_pairs(prepared: DataFrame) -> DataFrame:
     exploded = prepared.select("id", F.explode(_keys()).alias("k")).select("id", F.col("k.key").alias("key"), F.col("k.ord").alias("ord"))
     once = exploded.groupBy("key", "id").agg(F.min("ord").alias("ord"))
     made = once.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "ord")).alias("made")).filter("n > 1")
-    # keys of a single record are gone before the join
-    shared = once.join(made.select("key", "made"), "key").select("key", "id", "made")
-    pairs = shared.alias("x").join(shared.select(F.col("key"), F.col("id").alias("id_b")).alias("y"), "key").filter("id < id_b")
+    # keys of a single record are gone before the join; records of a large block are dealt to several tasks
+    lots = F.ceil(F.col("n") / BLOCK_LOT).cast("int")
+    shared = once.join(made.select("key", "made", lots.alias("lots")), "key").select("key", "id", "made", "lots")
+    left = shared.withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).drop("lots")
+    right = shared.select("key", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    pairs = left.join(right, ["key", "lot"]).filter("id < id_b")
     kind = F.substring_index("key", ":", 1)
     return pairs.groupBy(F.col("id").alias("id_a"), "id_b").agg(F.array_sort(F.collect_set("key")).alias("blocks"), F.min_by(kind, "made").alias("first_block"))
 
@@ -233,6 +238,15 @@ def decide(pairs: DataFrame, members: DataFrame, id_a: str, id_b: str, decision:
     return asked.select("id_a", "id_b", F.lit(decision).alias("decision"), F.lit(actor).alias("actor"), F.lit(ts).alias("ts"))
 
 
+def check_truth(members: DataFrame, together: dict[str, list[str]], apart: list[tuple[str, str]]) -> DataFrame:
+    """expected ('merged' or 'apart'), name, ids and ok of every known group and pair."""
+    rows = [("merged", name, ids) for name, ids in together.items()] + [("apart", f"{a}/{b}", [a, b]) for a, b in apart]
+    known = members.sparkSession.createDataFrame(rows, "expected string, name string, ids array<string>")
+    each = known.withColumn("id", F.explode("ids")).join(members, "id", "left").withColumn("entity", F.coalesce("master_id", "id"))
+    met = each.groupBy("expected", "name", "ids").agg(F.countDistinct("entity").alias("entities"))
+    return met.select("expected", "name", "ids", F.when(F.col("expected") == "merged", F.col("entities") == 1).otherwise(F.col("entities") == F.size("ids")).alias("ok"))
+
+
 def funnel(resolved: dict[str, DataFrame]) -> DataFrame:
     """How many pairs each decision has, and merged entities and records."""
     counts = resolved["pairs"].agg(

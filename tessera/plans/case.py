@@ -7,6 +7,7 @@ Everything but the ledger's few rows stays in DataFrames; each result is written
 
 from __future__ import annotations
 
+import argparse
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.spans import Recogniser, extract_spans
 from tessera.operators import graph, ledger, lookup, resolution, rules
-from tessera.sources import case_files
+from tessera.sources import case_files, synthetic
 
 ACTORS = ["system", "analyst"]
 
@@ -39,10 +40,9 @@ class Case:
 def ingest(spark: SparkSession, paths: list[str], book: ledger.Ledger) -> dict[str, DataFrame]:
     """Clean tables; each file's fingerprint goes into the ledger, all in one block."""
     tables = case_files.load(spark, paths)
-    files = case_files.manifest(spark, paths).collect()
-    counts = {t: df.count() for t, df in tables.items()}
+    files = case_files.manifest(spark, paths).orderBy("file").collect()
     book.ensure_genesis(ACTORS)
-    book.commit([("INGEST_FILE", {**f.asDict(), "rows": counts.get(f["table"], 0)}, "system") for f in files])
+    book.commit([("INGEST_FILE", f.asDict(), "system") for f in files])
     return tables
 
 
@@ -79,8 +79,16 @@ def export(case: Case, alert_id: str, book: ledger.Ledger) -> dict:
     sealed = book.entries().filter((F.col("node") == ledger.NODES[0]) & (F.col("action") == "ALERT_RAISED") & (F.get_json_object("payload", "$.data.alert_id") == alert_id)).orderBy("seq").first()
     bundle = {"alert": alert.first().asDict(recursive=True), "sources": sources, "proof": book.proof(sealed["seq"]) if sealed else None}
     digest = ledger.H._hex(ledger.canonical(bundle))
-    book.commit([("EXPORT", {"alert_id": alert_id, "bundle_hash": digest}, "analyst")])
-    return bundle | {"bundle_hash": digest}
+    done = book.commit([("EXPORT", {"alert_id": alert_id, "bundle_hash": digest}, "analyst")])
+    return bundle | {"bundle_hash": digest, "anchor": book.proof(done["seqs"][0])}
+
+
+def feedback(case: Case, alert_id: str, verdict: str, analyst: str, folder: str, book: ledger.Ledger, note: str = "", clock: Callable[[], str] = _now) -> DataFrame:
+    """An analyst's verdict on an alert: stored below ``folder``, sealed, and returned with all before it."""
+    row = lookup.feedback_row(case.alerts, alert_id, verdict, analyst, clock(), note)
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/feedback")
+    book.commit([("ALERT_FEEDBACK", {"alert_id": alert_id, "verdict": verdict, "note": note}, analyst)])
+    return row.sparkSession.read.schema(row.schema).parquet(f"{folder}/feedback")
 
 
 def write(case: Case, folder: str) -> None:
@@ -90,18 +98,44 @@ def write(case: Case, folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def main(source: str, folder: str) -> None:
+DERIVED = ["tables", "extracted", "nodes", "edges", "alerts", "pairs", "masters", "members", "review", "feedback"]
+
+
+def wipe(spark: SparkSession, folder: str, chain: bool = False) -> None:
+    """Remove a case's tables and all that was derived from them; with ``chain`` its ledger and keys too."""
+    for name in DERIVED + (["ledger", "keys"] if chain else []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def main(argv: list[str]) -> None:
     from tessera.session import session
 
+    options = argparse.ArgumentParser(prog="tessera.plans.case", description="A case from files to sealed alerts.")
+    options.add_argument("source", help="folder with CSV files or archives of them, or 'synthetic'")
+    options.add_argument("folder", help="folder for tables, results and the ledger")
+    options.add_argument("--reset", action="store_true", help="remove the folder's tables and results first")
+    options.add_argument("--fresh-chain", action="store_true", help="remove its ledger and keys as well")
+    options.add_argument("--seed", type=int, default=7, help="of a synthetic case")
+    asked = options.parse_args(argv)
     spark = session()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
-    listing = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    paths = [str(f.getPath()) for f in listing if str(f.getPath()).lower().endswith(".csv")]
-    book = ledger.Ledger(spark, f"{folder}/ledger", ledger.Keys(source.encode()), _now)
-    case = process(ingest(spark, paths, book), book)
-    write(case, folder)
+    if asked.reset or asked.fresh_chain:
+        wipe(spark, asked.folder, asked.fresh_chain)
+    book = ledger.Ledger(spark, f"{asked.folder}/ledger", ledger.Keys.stored(spark, f"{asked.folder}/keys", [*ledger.NODES, *ACTORS]), _now)
+    truth = None
+    if asked.source == "synthetic":
+        tables, truth = synthetic.case(spark, asked.seed)
+        book.ensure_genesis(ACTORS)
+    else:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(asked.source)
+        listing = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+        tables = ingest(spark, [p for f in listing if (p := str(f.getPath())).lower().endswith((".csv", ".zip"))], book)
+    case = process(tables, book)
+    write(case, asked.folder)
     case.alerts.select("rule", "title", "confidence").show(50, truncate=False)
+    if truth:
+        resolution.check_truth(case.resolved["members"], truth["together"], truth["apart"]).show(50, truncate=False)
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(sys.argv[1:])

@@ -15,6 +15,7 @@ from tessera.functions import spans as N
 from tessera.functions import text as X
 from tessera.operators import graph as G
 from tessera.operators import hashing as H
+from tessera.operators import ledger as K
 from tessera.operators import lookup as L
 from tessera.operators import resolution as R
 from tessera.operators import rules
@@ -653,21 +654,17 @@ def merkle_root(read) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT strftime(ts, '%Y-%m-%d') AS day, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS head FROM events GROUP BY 1),
+    f"""{ORACLE_SQL["merkle_root"].rsplit("SELECT day, hs[1]", 1)[0]}, h AS (SELECT day, hs[1] AS head FROM t WHERE n = 1),
     r AS (SELECT day, node, CASE WHEN node = 2 AND ascii(head) % 2 = 0 THEN sha256('bad') ELSE head END AS head FROM h, (SELECT unnest([0, 1, 2]) AS node)),
     v AS (SELECT day, head, count(*) AS votes FROM r GROUP BY 1, 2)
     SELECT day, head, votes, votes >= 2 AS quorum FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY votes DESC, head) AS p FROM v) WHERE p = 1"""
 )
 def consensus_vote(read) -> DataFrame:
     """The head that most of three replicas hold, one of them partly tampered with."""
-    ids = read("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    heads = ids.select("day", H.sha256(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("head"))
-    held = heads.withColumn("node", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    leaves = _event_rows(read).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", H.sha256(F.col("payload")).alias("leaf"))
+    held = H.merkle_roots(leaves, "day", "event_id", "leaf").withColumnRenamed("root", "head").withColumn("node", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     bad = (F.col("node") == 2) & (F.ascii("head") % 2 == 0)
-    held = held.withColumn("head", F.when(bad, H.sha256(F.lit("bad"))).otherwise(F.col("head")))
-    votes = held.groupBy("day", "head").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("day").agg(F.max_by(F.struct("head", "votes"), "votes").alias("b"))
-    return best.select("day", "b.head", "b.votes", (F.col("b.votes") >= 2).alias("quorum"))
+    return K.majority(held.withColumn("head", F.when(bad, H.sha256(F.lit("bad"))).otherwise(F.col("head"))), "day")
 
 
 # --- text ------------------------------------------------------------------------------------------

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,32 +45,72 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     return raw.select(*[(F.col(f"`{plain[c]}`") if c in plain else F.lit(None)).cast("string").alias(c) for c in columns(table)])
 
 
+def _members(content: bytes):
+    """Names and bytes of an archive's CSV files."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for name in archive.namelist():
+            if name.lower().endswith(".csv"):
+                yield name, archive.read(name)
+
+
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
     """Members of archives as rows: file, content.  An archive is opened by the task that reads it."""
 
     def run(batches):
-        import io
-        import zipfile
+        for pdf in batches:
+            for content in pdf["content"]:
+                yield pd.DataFrame(list(_members(content)), columns=["file", "content"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "file string, content binary")
+
 
-        import pandas as pd
+def read_member(spark: SparkSession, path: str, member: str, table: str) -> DataFrame:
+    """One file of an archive, like :func:`read_csv`; parsed by the task that opens the archive."""
+    names = columns(table)
 
+    def run(batches):
         for pdf in batches:
-            rows = []
             for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows += [(n, archive.read(n)) for n in archive.namelist() if n.lower().endswith(".csv")]
-            yield pd.DataFrame(rows, columns=["file", "content"])
+                for name, body in _members(content):
+                    if name == member:
+                        lines = csv.DictReader(io.StringIO(body.decode("utf-8-sig"), newline=""))
+                        lines.fieldnames = [(f or "").strip() for f in lines.fieldnames or []]
+                        while rows := list(itertools.islice(lines, 10_000)):
+                            yield pd.DataFrame([[r.get(c) for c in names] for r in rows], columns=names, dtype=object)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "file string, content binary")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in names))
+
+
+def sources(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str | None, str]]:
+    """(file name, path, member or None, table) of all that feeds a table, archives opened, in order of name."""
+    out = []
+    for path in paths:
+        if path.lower().endswith(".zip"):
+            out += [(m["file"].rsplit("/", 1)[-1], path, m["file"], t) for m in read_zip(spark, path).select("file").collect() if (t := route(m["file"]))]
+        elif table := route(path):
+            out.append((path.rstrip("/").rsplit("/", 1)[-1], path, None, table))
+    return sorted(out, key=lambda s: (s[0], s[1]))
+
+
+def _read(spark: SparkSession, path: str, member: str | None, table: str) -> DataFrame:
+    return read_csv(spark, path, table) if member is None else read_member(spark, path, member, table)
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, table, bytes and sha256 of every file that feeds a table."""
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
+    """file, table, bytes, sha256 and rows of every file, in an archive or by itself, that feeds a table."""
+    name = F.element_at(F.split("file", "/"), -1)
+    plain, archives = [p for p in paths if not p.lower().endswith(".zip")], [p for p in paths if p.lower().endswith(".zip")]
+    parts = [spark.read.format("binaryFile").load(plain).select(F.col("path").alias("file"), "content")] if plain else []
+    parts += [read_zip(spark, p) for p in archives]
+    files = parts[0]
+    for p in parts[1:]:
+        files = files.unionByName(p)
     table = F.coalesce(*[F.when(F.contains(F.lower(name), F.lit(part)), table) for part, table in ROUTES])
-    out = files.select(name.alias("file"), table.alias("table"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return out.filter("table IS NOT NULL")
+    listed = files.select(name.alias("file"), table.alias("table"), F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    counts = [(f, t, _read(spark, p, m, t).count()) for f, p, m, t in sources(spark, paths)]
+    rows = spark.createDataFrame(counts, "file string, table string, rows long").groupBy("file", "table").agg(F.max("rows").alias("rows"))
+    return listed.filter("table IS NOT NULL").join(rows, ["file", "table"])
 
 
 def clean(df: DataFrame, table: str) -> DataFrame:
@@ -113,11 +159,11 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def load(spark: SparkSession, paths: list[str], check: bool = True) -> dict[str, DataFrame]:
-    """Clean tables from files; of two files for a table the last counts.  Breaches raise."""
-    chosen = {table: path for path in sorted(paths) if (table := route(path))}
+    """Clean tables from files and archives; of two files for a table the last by name counts.  Breaches raise."""
+    chosen = {table: (path, member) for _, path, member, table in sources(spark, paths)}
     if not chosen:
         raise ValueError("no file feeds a table")
-    out = {table: clean(read_csv(spark, path, table), table) for table, path in chosen.items()}
+    out = {table: clean(_read(spark, path, member, table), table) for table, (path, member) in chosen.items()}
     if check and (broken := violations(out).collect()):
         raise ValueError("; ".join(f"{r['constraint']}: {r['n']}" for r in broken))
     return out

@@ -69,7 +69,13 @@ def test_sources(spark, files, tables, tmp_path):
     assert len(listed) == 5 and len(listed["fir"]["sha256"]) == 64
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as archive:
         archive.write(files / "fir.csv", "fir.csv")
-    assert [r["file"] for r in C.read_zip(spark, str(tmp_path / "x.zip")).collect()] == ["fir.csv"]
+        archive.writestr("deep/person.csv", "\ufeff" + PERSONS)
+        archive.writestr("readme.txt", "no table")
+    assert sorted(r["file"] for r in C.read_zip(spark, str(tmp_path / "x.zip")).collect()) == ["deep/person.csv", "fir.csv"]
+    zipped = C.load(spark, [str(tmp_path / "x.zip"), str(files / "bank_txn.csv")])
+    assert {t: sorted(map(str, df.collect())) for t, df in zipped.items()} == {t: sorted(map(str, tables[t].collect())) for t in ("fir", "person", "bank_txn")}
+    both = C.manifest(spark, [str(tmp_path / "x.zip"), str(files / "bank_txn.csv")]).collect()
+    assert {(r["file"], r["table"], r["rows"]) for r in both} == {("fir.csv", "fir", 3), ("person.csv", "person", 5), ("bank_txn.csv", "bank_txn", 6)}
     assert C.store({"fir": tables["fir"]}, str(tmp_path / "out")) == {"fir": 3}
     with pytest.raises(ValueError):
         C.load(spark, ["nothing.txt"])
@@ -198,10 +204,46 @@ def test_whole_case(spark, files, tmp_path):
     assert actions["INGEST_FILE"] == 5 and actions["GOLDEN_RECORD"] == 1 and actions["ALERT_RAISED"] == done.alerts.count()
     flagged = {r["id"] for r in G.flag_alerted(done.nodes, done.alerts).filter("alerted").collect()}
     assert {"P1", "PH:9812345678", "PH:9700000002"} <= flagged and "P3" not in flagged
-    bundle = case.export(done, done.alerts.filter("rule = 'SHARED_DEVICE'").first()["alert_id"], book)
-    assert bundle["sources"] and ledger.verify_bundle(bundle["proof"], book.registry(case.ACTORS)) == []
+    alert = done.alerts.filter("rule = 'SHARED_DEVICE'").first()["alert_id"]
+    bundle, registry = case.export(done, alert, book), book.registry(case.ACTORS)
+    assert bundle["sources"] and ledger.verify_bundle(bundle["proof"], registry) == []
+    stored = [r.asDict() for r in book.blocks().collect()]
+    assert ledger.verify_export(bundle, registry, stored) == []
+    assert ledger.verify_export(bundle | {"sources": []}, registry) == ["bundle hash", "recorded hash"]
+    assert ledger.verify_export(bundle, registry, stored[:1]) == ["replicas"]
+    verdicts = case.feedback(done, alert, "tp", "analyst", str(tmp_path / "out"), book)
+    assert [r["verdict"] for r in verdicts.collect()] == ["tp"] and book.rows(1).first()["action"] == "ALERT_FEEDBACK"
+    assert [r["verdict"] for r in case.feedback(done, alert, "fp", "analyst", str(tmp_path / "out"), book).orderBy("ts").collect()] == ["tp", "fp"]
     with pytest.raises(KeyError):
         case.export(done, "none", book)
     case.write(done, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/masters")).count() == 1
     assert book.verify()
+    case.wipe(spark, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("*"))
+
+
+def test_listings(resolved):
+    listed = R.golden_list(resolved).collect()
+    assert [(r["place"], r["n_records"], r["human_confirmed"], [x["id"] for x in r["records"]]) for r in listed] == [(1, 2, False, ["P1", "P2"])]
+    pairs = {(r["id_a"], r["id_b"]): r for r in R.pair_list(resolved).collect()}
+    assert pairs["P1", "P3"]["master_a"] == "P1" and pairs["P1", "P3"]["records_a"] == 2 and pairs["P1", "P3"]["records_b"] == 1 and pairs["P1", "P3"]["name_b"] == "Ravi Sen"
+    assert R.review_list(resolved).count() == 0
+
+
+def test_synthetic_case(spark):
+    from tessera.plans import case
+    from tessera.sources import synthetic
+
+    tables, truth = synthetic.case(spark, 3, 40)
+    assert C.violations(tables).count() == 0
+    again, _ = synthetic.case(spark, 3, 40)
+    assert sorted(map(str, again["person"].collect())) == sorted(map(str, tables["person"].collect()))
+    done = case.process(tables)
+    checked = R.check_truth(done.resolved["members"], truth["together"], truth["apart"]).collect()
+    assert len(checked) == 2 * synthetic.TWICE - 1 and all(r["ok"] for r in checked)
+    alerts = {}
+    for r in done.alerts.collect():
+        alerts.setdefault(r["rule"], []).append(r["entities"])
+    assert any(f"PH:{truth['device']}" in e for e in alerts["SHARED_DEVICE"]) and [f"PH:{truth['caller']}"] in alerts["CALL_BURST"]
+    assert any(e == [f"ACCT:{a}" for a in truth["loop"]] for e in alerts["CIRCULAR_FLOW"]) and len(alerts["SERIAL_OFFENDER"]) >= synthetic.TWICE

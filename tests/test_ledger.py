@@ -92,3 +92,43 @@ def test_commit_needs_a_majority(spark, tmp_path):
     ledger = L.Ledger(spark, str(tmp_path / "l"), L.Keys(b"k"), lambda: "t")
     with pytest.raises(RuntimeError):
         ledger.commit([("X", {}, "ann")])
+
+
+def test_keys_are_random_and_kept(spark, tmp_path):
+    first = L.Keys.stored(spark, str(tmp_path / "keys"), ["ann", "node-1"])
+    again = L.Keys.stored(spark, str(tmp_path / "keys"), ["ann", "bob"])
+    assert first.public("ann") == again.public("ann") and first.public("ann") != again.public("bob") != first.public("node-1")
+    with pytest.raises(KeyError):
+        first.public("nobody")
+
+
+def test_replicas_refuse_a_bad_block(spark, tmp_path):
+    ledger = L.Ledger(spark, str(tmp_path / "l"), L.Keys(b"k"), lambda: "2024-01-01T00:00:00")
+    ledger.ensure_genesis(["ann", "system"])
+    tip = ledger._tips()["node-1"]
+    block, entries = ledger._build(1, tip["block_hash"], tip["row_hash"], tip["seq"] + 1, [("A", {}, "ann")])
+    registry = {r["name"]: r["key"] for r in ledger._known(ledger.entries()).filter("node = 'node-1'").collect()}
+    assert L.proposal_faults(block, entries, tip, registry) == []
+    assert L.proposal_faults(block, entries, tip | {"height": 5}, registry) == ["link"]
+    assert L.proposal_faults(block, [entries[0] | {"payload": "{}"}], tip, registry) == ["entry 2: hash"]
+    assert L.proposal_faults(block | {"merkle_root": "0"}, entries, tip, registry) == ["merkle root", "header"]
+    with pytest.raises(RuntimeError):
+        ledger.commit([("A", {}, "eve")])  # not in the registry: no replica endorses it
+    assert ledger.verify() and ledger.rows().count() == 1
+
+
+def test_gaps_and_copies_in_a_chain(spark, tmp_path):
+    ledger = L.Ledger(spark, str(tmp_path / "l"), L.Keys(b"k"), lambda: "t")
+    ledger.ensure_genesis(["ann", "system"])
+    ledger.commit([("A", {}, "ann"), ("B", {}, "ann"), ("C", {}, "ann")])
+
+    class Gap(L.Ledger):
+        def entries(self):
+            return super().entries().filter("NOT (node = 'node-1' AND seq = 3)")
+
+    class Twice(L.Ledger):
+        def entries(self):
+            return super().entries().unionByName(super().entries().filter("node = 'node-2' AND seq = 4"))
+
+    assert [tuple(r)[:2] + (r["wrong"],) for r in Gap(spark, ledger.folder, ledger.keys, ledger.clock).entry_faults().collect()] == [("node-1", 4, "sequence")]
+    assert {(r["node"], r["seq"], r["wrong"]) for r in Twice(spark, ledger.folder, ledger.keys, ledger.clock).entry_faults().collect()} == {("node-2", 4, "sequence")}
