@@ -2,12 +2,13 @@
 
 Words of benchmark items and documents become template tokens: numbers, names and units turn into typed
 placeholders, other words stay, lower-cased and without the punctuation at their edges.  Windows of template
-tokens (and, for copies in other capitals, of plain words) are hash-joined; on each hit the alignment is stretched as far as tokens agree, and cut where a slot
-is inconsistent, i.e. where one value of the item would stand for two of the document.  So a question whose
-numbers, names or units were changed throughout is found as well as a verbatim copy.
+tokens (and, for copies in other capitals, of plain words) are a table, joined by hash with the windows of documents;
+on each hit the alignment is stretched as far as tokens agree, and cut where a slot is inconsistent, i.e. where one
+value of the item would stand for two of the document.  So a question whose numbers, names or units were changed
+throughout is found as well as a verbatim copy.
 
-Benchmark windows are probed in parts of bounded size, one pass over the documents each (one pass up to
-WINDOWS_A_PASS windows), so a task holds a bounded part however large the benchmark.
+Documents are read once, however large the benchmark.  A bitmap of the benchmark's window hashes, whose size is
+fixed, keeps most windows of documents out of the join; which way the join goes is Spark's choice by size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,10 @@ WINDOW, MATCH = 8, 13
 LEAST_WORDS = 0.5
 #: Items of fewer tokens are too common to look for as templates: they match exactly only.
 SHORTEST = 4
-WINDOWS_A_PASS = 2_000_000
+#: Bits of a window's hash that the bitmap knows (16 MB).
+BITS = 27
+#: Items that a document meets at a time.
+LOT = 256
 
 # Words that are capitalised for their place only, number words, and units.
 COMMON = """a about after all an and any are as at be before both but by can could did do does each every few find for
@@ -112,8 +116,13 @@ def _runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip((np.append(-1, cuts) + 1).tolist(), np.append(cuts, len(same)).tolist()) if b - a >= least]
 
 
+def keyed(hashes: np.ndarray, width: int, plain: bool) -> np.ndarray:
+    """Window hashes that tell widths and kinds apart."""
+    return B.mix(hashes + np.uint64(2 * width + plain))
+
+
 class Benchmark:
-    """A bounded part of a benchmark: its items' tokens and the places of their windows, by hash."""
+    """Some items' tokens and the places of their windows, by hash."""
 
     def __init__(self, ids: list[int], texts: list[str], window: int):
         self.ids = ids
@@ -121,30 +130,28 @@ class Benchmark:
         self.slots = np.isin(self.template, np.array([NUM, NAME, UNIT]))
         lengths = np.diff(self.at)
         self.widths = sorted({min(window, int(n)) for n in lengths if n})
-        #: By width, and whether windows are of literal tokens: sorted hashes, their places, and a first sieve.
-        self.index: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: By width, and whether windows are of literal tokens: sorted hashes, and their places.
+        self.index: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+        words = np.append(0, np.cumsum(~self.slots))
         for width, plain in ((w, p) for w in self.widths for p in (False, True)):
             hashes = window_hashes(self.literal if plain else self.template, width)
             item = np.repeat(np.arange(len(lengths)), lengths)[: len(hashes)]
             place = np.arange(len(hashes))
-            words = np.append(0, np.cumsum(~self.slots))
             good = (place + width <= self.at[item + 1]) & (np.minimum(window, lengths[item]) == width)
             if not plain:
                 good &= (words[place + width] - words[place] >= LEAST_WORDS * width) & (lengths[item] >= SHORTEST)
             hashes, place = hashes[good], place[good]
             order = np.argsort(hashes, kind="stable")
-            table = np.zeros(1 << 22, bool)
-            table[(hashes >> np.uint64(42)).astype(np.int64)] = True
-            self.index[width, plain] = hashes[order], place[order], table
+            self.index[width, plain] = hashes[order], place[order]
 
     def hits(self, template: np.ndarray, literal: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places among the documents' tokens and in the items of every window that both have."""
         there, here = [], []
         ends = np.repeat(text_at[1:], np.diff(text_at))
-        for (width, plain), (hashes, place, table) in self.index.items():
+        for (width, plain), (hashes, place) in self.index.items():
             found = window_hashes(literal if plain else template, width)
-            maybe = np.flatnonzero(table[(found >> np.uint64(42)).astype(np.int64)])
-            maybe = maybe[maybe + width <= ends[maybe]] if len(maybe) else maybe
+            maybe = np.arange(len(found))
+            maybe = maybe[maybe + width <= ends[: len(found)]]
             low, high = np.searchsorted(hashes, found[maybe], "left"), np.searchsorted(hashes, found[maybe], "right")
             many = high - low
             there.append(np.repeat(maybe, many))
@@ -189,48 +196,112 @@ FOUND = "doc_id long, item_id long, first_word long, end_word long, n_words long
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64()), ("exact", pa.bool_())])
 
 
-def _find(parts, match: int, window: int):
+_WINDOW = "hash long, kind int, item long"
+
+
+def _windows(window: int):
+    """The benchmark's windows: hash, kind (twice the width, one more for plain words), item."""
+
     def run(batches):
-        part = Benchmark(*parts.value, window)
+        for batch in batches:
+            items = batch.column("item").to_numpy()
+            part = Benchmark(items.tolist(), batch.column("text").to_pylist(), window)
+            for (width, plain), (hashes, place) in part.index.items():
+                item = items[np.searchsorted(part.at, place, side="right") - 1]
+                kind = np.full(len(place), 2 * width + plain, np.int32)
+                yield pa.record_batch([pa.array(keyed(hashes, width, plain).view(np.int64)), pa.array(kind), pa.array(item)], names=["hash", "kind", "item"])
+
+    return run
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The leading BITS bits of all window hashes, as bits; 2 ** BITS of them whatever the benchmark's size."""
+    place = F.shiftrightunsigned("hash", 64 - BITS) + 1  # Spark counts buckets from 1
+    lots = windows.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("lot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(1 << BITS >> 3, np.uint8)
+    for row in lots.toLocalIterator():
+        at = (row["lot"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _sieve(kinds: list[int], held):
+    """Documents with windows that the benchmark may have: doc_id, text, and those windows' hashes."""
+
+    def run(batches):
+        bits = held.value
         for whole in batches:
             for batch in B.byte_slices(whole):
                 template, literal, text_at = templates(*B.text_buffers(batch.column("text")))
-                docs = batch.column("doc_id").cast(pa.int64())
-                rows = list(part.matches(template, literal, text_at, match))
+                ends = np.repeat(text_at[1:], np.diff(text_at))
+                texts, hashes = [], []
+                for kind in kinds:
+                    width, plain = divmod(kind, 2)
+                    found = keyed(window_hashes(literal if plain else template, width), width, bool(plain))
+                    place = (found >> np.uint64(64 - BITS)).astype(np.int64)
+                    maybe = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    maybe = maybe[maybe + width <= ends[maybe]] if len(maybe) else maybe
+                    texts.append(np.searchsorted(text_at, maybe, side="right") - 1)
+                    hashes.append(found[maybe])
+                text, found = np.concatenate(texts), np.concatenate(hashes)
+                if len(text):
+                    order = np.lexsort((found, text))
+                    text, found = text[order], found[order]
+                    new = np.append(True, (text[1:] != text[:-1]) | (found[1:] != found[:-1]))
+                    text, found = text[new], found[new]
+                    rows, first = np.unique(text, return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(text)).astype(np.int32)), pa.array(found.view(np.int64)))
+                    some = pa.array(rows)
+                    yield pa.record_batch([batch.column("doc_id").cast(pa.int64()).take(some), batch.column("text").cast(pa.string()).take(some), lists], names=["doc_id", "text", "hashes"])
+
+    return run
+
+
+def _verify(match: int, window: int):
+    """Matches of each document (doc_id, text) with the items that it shares windows with."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in B.byte_slices(whole):
+                lists = batch.column("items").to_pylist()
+                known = {i["item"]: i for items in lists for i in items}
+                place = {item: at for at, item in enumerate(known)}
+                part = Benchmark([i["item_id"] for i in known.values()], [i["text"] for i in known.values()], window)
+                asked = [{place[i["item"]] for i in items} for items in lists]
+                docs = batch.column("doc_id").to_pylist()
+                rows = [r for r in part.matches(*templates(*B.text_buffers(batch.column("text"))), match) if r[1] in asked[r[0]]]
                 if rows:
                     t, i, a, b, exact = zip(*rows)
-                    yield pa.record_batch([docs.take(pa.array(t)), pa.array([part.ids[x] for x in i], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.subtract(b, a), pa.int64()), pa.array(exact)], schema=_ARROW)
+                    yield pa.record_batch([pa.array([docs[x] for x in t], pa.int64()), pa.array([part.ids[x] for x in i], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.subtract(b, a), pa.int64()), pa.array(exact)], schema=_ARROW)
 
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, match: int = MATCH, window: int = WINDOW, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, match: int = MATCH, window: int = WINDOW) -> DataFrame:
     """Where documents hold benchmark items: doc_id, item_id, first_word, end_word (words counted from 0), n_words, exact.
 
     A match is at least ``match`` aligned tokens, or the whole item if it is shorter: equal ones of any kind, or
     template tokens of which at least half are words.  Items of fewer than SHORTEST tokens have to be equal.
-    Clean documents have no row.  Null and empty texts on either side match nothing, a null item or document id is reported as null, repeated items and
-    rows are reported each, an empty table on either side gives no rows; other columns are ignored.
+    Clean documents have no row.  Null and empty texts on either side match nothing, a null item or document id is
+    reported as null, repeated items and rows are reported each, an empty table on either side gives no rows;
+    other columns are ignored.
     """
     spark = documents.sparkSession
+    items = benchmark.filter(F.length("text") > 0).select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = B.cut(items)
+    windows = B.cut(items.select("item", "text").mapInArrow(_windows(window), _WINDOW))
+    kinds = sorted(r["kind"] for r in windows.select("kind").distinct().collect())
     docs = documents.select("doc_id", "text")
-    items = benchmark.filter(F.length("text") > 0).select("item_id", "text")
-    out, ids, texts, size = None, [], [], 0
-
-    def passed(ids, texts):
-        return docs.mapInArrow(B.tidy(_find(spark.sparkContext.broadcast((ids, texts)), match, window)), FOUND)
-
-    for row in items.toLocalIterator():  # one part at a time
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += row["text"].count(" ") + 1
-        if size >= windows_a_pass:
-            found, ids, texts, size = passed(ids, texts), [], [], 0
-            out = found if out is None else out.unionByName(found)
-    if ids or out is None:
-        found = passed(ids, texts) if ids else docs.limit(0).mapInArrow(lambda batches: iter(()), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+    if not kinds:
+        return docs.limit(0).mapInArrow(lambda batches: iter(()), FOUND)
+    held = spark.sparkContext.broadcast(_bitmap(windows))
+    sieved = docs.mapInArrow(B.tidy(_sieve(kinds, held)), "doc_id long, text string, hashes array<long>")
+    sieved = B.cut(sieved.withColumn("row", F.monotonically_increasing_id()))
+    hits = sieved.select("row", F.explode("hashes").alias("hash")).join(windows.select("hash", "item"), "hash").select("row", "item").distinct()
+    # a document meets its items in lots of bounded size, so none has to hold all that share a window with it
+    named = hits.join(items, "item").groupBy("row", F.pmod(F.xxhash64("item"), F.ceil(F.lit(items.count() / LOT)).cast("int")).alias("lot"))
+    lists = named.agg(F.collect_list(F.struct("item", "item_id", "text")).alias("items"))
+    return sieved.select("row", "doc_id", "text").join(lists, "row").select("doc_id", "text", "items").mapInArrow(B.tidy(_verify(match, window)), FOUND)
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,8 @@
 """Decontamination, toxicity and WARC derivatives."""
 
 import random
+import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -32,7 +34,7 @@ def test_reparameterised_questions(spark):
 
 def test_short_items_parts_and_columns(spark):
     item = "a much shorter item of seven"
-    got = found(spark, [f"see {item} here", "a much shorter item"], [item, QUESTION], windows_a_pass=1)
+    got = found(spark, [f"see {item} here", "a much shorter item"], [item, QUESTION])
     assert set(got) == {(0, 0)}
     docs = documents(spark, extra=True)
     bench = spark.createDataFrame([(1, "the benchmark item that no document has at all, not even nearly")], "item_id long, text string")
@@ -70,6 +72,105 @@ def test_matches_agree_with_substrings(spark):
     assert got == {i for i, t in enumerate(texts) if any(f" {x} " in f" {t} " for x in items)}
 
 
+def slow_tokens(text):
+    """(template, literal) of every word that has a letter or digit, by plain rules."""
+    out = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        core = re.search(r"[0-9A-Za-z\x80-\U0010ffff].*", word, re.S)
+        if not core:
+            continue
+        core = re.search(r".*[0-9A-Za-z\x80-\U0010ffff]", core[0], re.S)[0]
+        low = core.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        if re.fullmatch(r"[0-9][0-9.,:/-]*", core) or low in decontaminate.NUMBERS:
+            kind = "#NUM"
+        elif low in decontaminate.UNITS:
+            kind = "#UNIT"
+        elif re.match(r"[A-ZÀ-Þ]", core) and low not in decontaminate.COMMON:
+            kind = "#NAME"
+        else:
+            kind = low
+        out.append((kind, low))
+    return out
+
+
+def slow_pairs(texts, items, match=13, least=4):
+    """(text, item) pairs with a run of equal words, or of consistent template tokens at least half of which are words."""
+
+    def good(run, want):
+        start, seen = 0, {}
+        for k in range(len(run) + 1):
+            if k < len(run):
+                (kind, ours), (_, theirs) = run[k]
+                if kind[0] != "#" or seen.setdefault(ours, theirs) == theirs:
+                    continue
+            words = sum(kind[0] != "#" for (kind, _), _ in run[start:k])
+            if k - start >= want and 2 * words >= k - start:
+                return True
+            start, seen = k, {}
+            if k < len(run) and run[k][0][0][0] == "#":
+                seen = {run[k][0][1]: run[k][1][1]}
+        return False
+
+    def runs(pairs, same):
+        run = []
+        for p in [*pairs, None]:
+            if p is not None and same(p):
+                run.append(p)
+            else:
+                yield run
+                run = []
+
+    out = set()
+    tokens = [slow_tokens(t) for t in texts]
+    for j, item in enumerate(map(slow_tokens, items)):
+        want = min(match, len(item))
+        for i, text in enumerate(tokens):
+            for shift in range(-len(item), len(text)):
+                pairs = [(item[k], text[k + shift]) for k in range(len(item)) if 0 <= k + shift < len(text)]
+                if any(len(r) >= want > 0 for r in runs(pairs, lambda p: p[0][1] == p[1][1])):
+                    out.add((i, j))
+                elif len(item) >= least and any(good(r, want) for r in runs(pairs, lambda p: p[0][1] == p[1][1] or p[0][0] == p[1][0])):
+                    out.add((i, j))
+    return out
+
+
+def test_matches_agree_with_all_alignments(spark):
+    """Numbers, names, units, items of one to three words and of slots only, verbatim and with other values."""
+    rnd = random.Random(6)
+    words, names, units = "how many the of buy sell each if pay has does more than apple pear price total".split(), "Anna Bob Carl Dora Eve Émile".split(), "kg dollars euros miles hours".split()
+
+    def sentence(n, shares):
+        kinds = rnd.choices(["w", "n", "N", "u"], shares, k=n)
+        return [rnd.choice(words) if k == "w" else str(rnd.randint(2, 99)) if k == "n" else rnd.choice(names) + rnd.choice(["", ",", "."]) if k == "N" else rnd.choice(units) for k in kinds]
+
+    items = [sentence(rnd.randint(14, 24), (6, 2, 2, 1)) for _ in range(10)] + [sentence(rnd.randint(4, 12), (5, 2, 2, 1)) for _ in range(8)]
+    items += [sentence(rnd.randint(13, 18), (0, 5, 5, 2)) for _ in range(4)] + [["42"], ["what", "is", "this"], ["Paris,", "Rome"], sentence(8, (0, 1, 0, 0))]
+    texts = []
+    for i in range(150):
+        text, item = sentence(rnd.randint(0, 30), (6, 2, 2, 1)), list(rnd.choice(items))
+        if i % 3:
+            values = {}
+            item = [values.setdefault(t, rnd.choice([t, str(rnd.randint(100, 999))]) if t.isdigit() else rnd.choice([t, rnd.choice(names)]) if t in names else rnd.choice([t, rnd.choice(units)]) if t in units else t) for t in item]
+        if i % 7 == 1:
+            item[rnd.randrange(len(item))] = "changed"
+        if i % 5 == 2:
+            item = item[rnd.randint(0, 6) :]
+        if i % 11 == 3:
+            item = [t.upper() for t in item]
+        at = rnd.randint(0, len(text))
+        texts.append(" ".join(text[:at] + item + text[at:]))
+    items = [" ".join(i) for i in items]
+    want = slow_pairs(texts, items)
+    assert set(found(spark, texts, items)) == want and len(want) > 60
+
+
+def test_repeated_items_and_rows_are_reported_each(spark):
+    docs = spark.createDataFrame([(1, f"x {QUESTION}"), (1, f"x {QUESTION}"), (None, QUESTION)], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(7, QUESTION), (7, QUESTION), (None, QUESTION)] + [(100 + i, f"{QUESTION} {i}") for i in range(300)], "item_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert len(got) == 2 * 302 and got[1, 7] == 4 and got[1, None] == 2 and got[None, 7] == 2 and got[None, 250] == 1
+
+
 INSULTS = ["idiot", "moron", "stupid", "worthless"]
 
 
