@@ -281,7 +281,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, match: int = MATCH,
     """Where documents hold benchmark items: doc_id, item_id, first_word, end_word (words counted from 0), n_words, exact.
 
     A match is at least ``match`` aligned tokens, or the whole item if it is shorter: equal ones of any kind, or
-    template tokens of which at least half are words.  Items of fewer than SHORTEST tokens have to be equal.
+    template tokens of which at least half are words; ``window`` of them (or the whole item) have to agree throughout
+    as plain words, or as template tokens, for the alignment to be looked at.  Items of fewer than SHORTEST tokens have to be equal.
     Clean documents have no row.  Null and empty texts on either side match nothing, a null item or document id is
     reported as null, repeated items and rows are reported each, an empty table on either side gives no rows;
     other columns are ignored.

@@ -94,7 +94,7 @@ def slow_tokens(text):
 
 
 def slow_pairs(texts, items, match=13, least=4):
-    """(text, item) pairs with a run of equal words, or of consistent template tokens at least half of which are words."""
+    """(text, item) pairs with a run of equal words, or of consistent tokens, equal or of one template, at least half of which are words."""
 
     def good(run, want):
         start, seen = 0, {}
@@ -127,6 +127,12 @@ def slow_pairs(texts, items, match=13, least=4):
         for i, text in enumerate(tokens):
             for shift in range(-len(item), len(text)):
                 pairs = [(item[k], text[k + shift]) for k in range(len(item)) if 0 <= k + shift < len(text)]
+                width = min(8, len(item))
+                seeds = [pairs[k : k + width] for k in range(len(pairs) - width + 1)]
+                words = lambda run: 2 * sum(p[0][0][0] != "#" for p in run) >= len(run) and len(item) >= least  # noqa: B023, E731
+                # a hit starts at a window that agrees in plain words, or in template tokens throughout
+                if not any(all(a[1] == b[1] for a, b in w) or (all(a[0] == b[0] for a, b in w) and words(w)) for w in seeds):
+                    continue
                 if any(len(r) >= want > 0 for r in runs(pairs, lambda p: p[0][1] == p[1][1])):
                     out.add((i, j))
                 elif len(item) >= least and any(good(r, want) for r in runs(pairs, lambda p: p[0][1] == p[1][1] or p[0][0] == p[1][0])):
