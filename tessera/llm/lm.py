@@ -1,18 +1,18 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are contexts (n-grams of at most order - 1 tokens).  A state has an arc for each token seen
-after it in training, weighted with its smoothed probability, and a failure arc to the state of the
+States are contexts (n-grams of at most order - 1 tokens that training has).  A state has an arc for each token seen
+after it in training, weighted with the logarithm of its smoothed probability, and a failure arc to the state of the
 next shorter context.  Smoothing is the hierarchical Dirichlet form
 
     p(w | h) = (c(hw) + K p(w | h')) / (c(h) + K),      p(w) = (c(w) + 1) / (N + V + 1)
 
-so a failure arc weighs K / (c(h) + K) and every state's distribution sums to one.  A text is read
-once from left to right: at each token the automaton follows the arc if there is one, else the failure
-arc, and adds the logarithms up.
+with a K for each order, so a failure arc weighs K / (c(h) + K) and every state's distribution sums to one.  A text is
+read once from left to right: the state is carried from token to token; where it has no arc for the token, failure arcs
+are followed and their weights added until a state has one, which leads to the next state.
 
-Counting covers every training text and is exact; counts of a block's n-grams come from the whole corpus by
-the block exchange, so no task and no driver holds the model: a block holds the part that
-its own texts visit.
+Counting covers every training text; counts of a block's n-grams come from the whole corpus by the block
+exchange, so no task and no driver holds the model: a block holds the part that its own texts visit.  N-grams
+are told apart by 64-bit hashes: of n distinct ones about n * n / 2 ** 65 pairs count as one.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 
-#: Weight of the shorter context, in tokens.
-CONCENTRATION = 400.0
+#: Tokens of an n-gram at most, and the weight of the shorter context, in tokens, at orders 2 and 3 (chosen on training rows).
+ORDER, CONCENTRATION = 3, (1600.0, 5.0)
+#: Texts that are read side by side; fewer are read one by one.
+FEW = 24
 END = B.mix(np.array([0x5F5E_3C2F_733E], dtype=np.uint64))[0]
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -39,7 +41,7 @@ class Grams:
         starts = np.cumsum(lengths) - lengths
         self.place = np.arange(len(ids)) - np.repeat(starts, lengths)
         self.starts, self.lengths = starts, lengths
-        end = np.searchsorted(types, END)
+        self.end = end = int(np.searchsorted(types, END))
         #: For each order: sorted hashes of the n-grams, and for each token the n-gram ending there (-1: none).
         self.hashes, self.at = [types], [ids.astype(np.int64)]
         before = np.empty(len(ids), np.int64)
@@ -141,31 +143,99 @@ def _answer(order: int):
 
 
 class BackoffAutomaton:
-    """The part of the model that a block's texts visit."""
+    """The states and arcs that a block's texts visit.
 
-    def __init__(self, grams: Grams, counts: list[np.ndarray], types: int, tokens: int, concentration: float):
-        self.grams, self.counts, self.k = grams, counts, concentration
+    An n-gram is the arc of its last token from the state of those before; one of fewer than ``order`` tokens is also a state.
+    By order and n-gram: whether training has it, its arc's weight, its state's failure weight, and the n-gram
+    without its first token (where a failure arc leads).
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], types: int, tokens: int, concentration: tuple[float, ...]):
+        self.grams, self.order = grams, len(counts)
+        self.seen = [c > 0 for c in counts]
         self.start = np.log10((counts[0] + 1) / (tokens + types + 1))
+        self.arc, self.shorter = [self.start], [np.zeros(len(counts[0]), np.int64)]
+        self.failure = [np.zeros(len(counts[0]))] * (self.order - 1)
+        for n in range(1, self.order):
+            k, here = concentration[n - 1], grams.at[n]
+            at = np.flatnonzero(here >= 0)
+            context, shorter = np.zeros(len(counts[n]), np.int64), np.zeros(len(counts[n]), np.int64)
+            context[here[at]], shorter[here[at]] = grams.context[n][at], grams.at[n - 1][at]
+            whole = counts[n - 1][context] + k if len(context) else np.zeros(0)
+            self.arc.append(np.log10((counts[n] + k * 10.0 ** self.arc[n - 1][shorter]) / whole) if len(context) else whole)
+            self.shorter.append(shorter)
+            self.failure[n - 1] = np.log10(k / (counts[n - 1] + k))
+
+    def _step(self, place, level, state):
+        """From the states (``level`` tokens long) of some texts over the tokens at ``place``: weights, and the next states."""
+        got, level, state = np.zeros(len(place)), level.copy(), state.copy()
+        todo = np.arange(len(place))
+        for n in range(self.order - 1, -1, -1):
+            ready = level[todo] == n
+            who, todo = todo[ready], todo[~ready]
+            if not len(who):
+                continue
+            gram = self.grams.at[n][place[who]]
+            has = gram >= 0
+            has[has] = self.seen[n][gram[has]]
+            if n:
+                fails = who[~has]
+                got[fails] += self.failure[n - 1][state[fails]]
+                state[fails] = self.shorter[n - 1][state[fails]]
+                level[fails] = n - 1
+                todo = np.concatenate([todo, fails])
+                who, gram = who[has], gram[has]
+            got[who] += self.arc[n][gram]
+            if n == self.order - 1 and n:
+                level[who], state[who] = -n, self.shorter[n][gram]
+            else:
+                # done: written as a negative level until all are; an unknown token leads to the empty state
+                known = has[has] if n else has
+                level[who], state[who] = np.where(known & (self.order > 1), -n - 1, -self.order - 1), gram
+        return got, np.where(level == -self.order - 1, 0, -level), state
+
+    def _rest(self, first: int, end: int, level: int, state: int) -> float:
+        """The same over the tokens of one text from ``first`` on."""
+        rows = [a[first:end] for a in self.grams.at]
+        seen = [np.where(r >= 0, s[r] if len(s) else False, False).tolist() for r, s in zip(rows, self.seen)]
+        arcs = [np.where(r >= 0, a[r] if len(a) else 0.0, 0.0).tolist() for r, a in zip(rows, self.arc)]
+        grams, top, total = [r.tolist() for r in rows], self.order - 1, 0.0
+        for i in range(end - first):
+            while level and not seen[level][i]:
+                total += self.failure[level - 1][state]
+                state = self.shorter[level - 1][state]
+                level -= 1
+            total += arcs[level][i]
+            gram = grams[level][i]
+            if level == top:
+                state = self.shorter[level][gram]
+            elif level or seen[0][i]:
+                level, state = level + 1, gram
+            else:
+                state = 0
+        return total
 
     def traverse(self) -> np.ndarray:
-        """log10 probability of every token in its text.
-
-        Probabilities of shorter contexts come first because an arc's smoothed weight mixes them in;
-        a token without an arc in a state gets the failure weight times the next state's.
-        """
-        got = self.start[self.grams.at[0]]
-        for n in range(1, len(self.counts)):
-            here, before = self.grams.at[n], self.grams.context[n]
-            state = np.where(before >= 0, self.counts[n - 1][before], 0)
-            seen = np.where(here >= 0, self.counts[n][here] if len(self.counts[n]) else 0, 0)
-            failure = np.log10(self.k / (state + self.k))
-            with np.errstate(divide="ignore"):
-                arc = np.log10((seen + self.k * 10.0**got) / (state + self.k))
-            got = np.where(seen > 0, arc, failure + got)
-        return got
-
-
-def _finish(order: int, concentration: float):
+        """log10 probability of every text."""
+        starts, lengths = self.grams.starts, self.grams.lengths
+        by = np.argsort(-lengths, kind="stable")
+        first, size, out = starts[by], lengths[by], np.zeros(len(lengths))
+        end = int(self.grams.end)
+        inside = self.order > 1 and end < len(self.seen[0]) and bool(self.seen[0][end])
+        level, state = np.full(len(by), int(inside)), np.full(len(by), end if inside else 0)
+        together = int(size[FEW - 1]) if len(size) >= FEW else 0
+        for t in range(together):
+            k = int(np.searchsorted(-size, -t, side="left"))
+            got, level[:k], state[:k] = self._step(first[:k] + t, level[:k], state[:k])
+            out[:k] += got
+        for i in np.flatnonzero(size > together).tolist():
+            out[i] += self._rest(int(first[i]) + together, int(first[i] + size[i]), int(level[i]), int(state[i]))
+        back = np.empty(len(by))
+        back[by] = out
+        return back
+
+
+def _finish(order: int, concentration: tuple[float, ...]):
     def finish(payload: bytes, replies: list[bytes]) -> pa.Table:
         doc, known, train, lengths, types, ids = _open(payload)
         grams = Grams(types, ids, lengths, order)
@@ -177,26 +247,28 @@ def _finish(order: int, concentration: float):
         total = lambda x: np.add.reduceat(x, grams.starts) if len(x) else np.zeros(0)
         return pa.table([
             pa.array(doc, mask=~known), pa.array(~train), pa.array(lengths), pa.array(total((own > 0).astype(np.int64))),
-            pa.array(np.full(len(doc), n_tokens)), pa.array(total(model.start[ids])), pa.array(total(model.traverse())),
+            pa.array(np.full(len(doc), n_tokens)), pa.array(total(model.start[ids])), pa.array(model.traverse()),
         ], schema=_ARROW)
 
     return finish
 
 
-def score(documents: DataFrame, train, order: int = 2, concentration: float = CONCENTRATION) -> DataFrame:
+def score(documents: DataFrame, train, order: int = ORDER, concentration: tuple[float, ...] = CONCENTRATION) -> DataFrame:
     """Score every text with a model of the texts for which ``train`` (a boolean column) holds.
 
     A null text is empty (one end token), a null id stays null, repeated rows count and are scored each,
     an empty table gives no rows, columns other than doc_id and text are ignored, and a null ``train``
-    leaves the row out of training.  Without training texts every token is equally likely.
+    leaves the row out of training.  Without training texts every token is equally likely.  ``concentration`` has
+    K for orders 2, 3 and so on; its last one holds for all further orders.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
+    concentration = tuple(concentration[min(n, len(concentration) - 1)] for n in range(order - 1))
     docs = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
     payloads = docs.mapInArrow(B.tidy(_blocks("train")), "block long, payload binary")
     return B.block_exchange(payloads, _ask(order), _answer(order), _finish(order, concentration), SCORES, _ARROW)
 
 
 def lm_scores(documents: DataFrame, folds: int = 7, fold: int = 2, **options) -> DataFrame:
-    """Train on rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``; score all rows."""
+    """Train on rows whose crc32(doc_id as text) mod ``folds`` is not ``fold``; score all rows, as :func:`score` does."""
     return score(documents, B.crc_of_id() % folds != fold, **options)

@@ -36,7 +36,7 @@ def slow_scores(rows, order, k):
         for n in range(1, len(history) + 1):
             h = tuple(history[-n:])
             state = starts if h == (END,) else counts[h]
-            base = (counts[*h, w] + k * base) / (state + k)
+            base = (counts[*h, w] + k[n - 1] * base) / (state + k[n - 1])
         return base
 
     out = []
@@ -49,12 +49,12 @@ def slow_scores(rows, order, k):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_matches_plain_counting(spark, order):
     df = documents(spark, extra=order == 2)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    got = sorted((tuple(r) for r in lm.lm_scores(df, order=order, concentration=30.0).collect()), key=str)
-    want = sorted(slow_scores(rows, order, 30.0), key=str)
+    got = sorted((tuple(r) for r in lm.lm_scores(df, order=order, concentration=(30.0, 7.0, 2.0)).collect()), key=str)
+    want = sorted(slow_scores(rows, order, (30.0, 7.0, 2.0)), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5:] for g in got] == [pytest.approx(w[5:], rel=1e-9) for w in want]
 
@@ -72,7 +72,7 @@ def test_distributions_sum_to_one(spark):
     rows = [(i, t, None, None, 0) for i, t in enumerate(["a b", "a c", "b a"])]
     probes = [(100 + i, t, None, None, 0) for i, t in enumerate(["a", "b", "c", "never", ""])]
     df = spark.createDataFrame(rows + probes, SCHEMA)
-    got = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") < 100, concentration=2.0).collect()}
+    got = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") < 100, concentration=(2.0,)).collect()}
     # one-word texts "w": p(w | start) p(end | w); the empty text: p(end | start)
     assert got[103]["n_known"] == 1 and got[104]["n_tokens"] == 1 and all(r["score"] < 0 for r in got.values())
 
