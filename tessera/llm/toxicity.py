@@ -1,8 +1,9 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-Strings are a sentence's units: words reduced to their letters (punctuation between them drops out, and
-letters written apart join up), longer ones as overlapping windows.  The kernel counts common subsequences of
-four letters that span at most six, each weighted by DECAY for every letter it skips, so an insult with
+Strings are a sentence's units: words reduced to their letters (punctuation between them drops out, letters
+written apart join up, and two short pieces side by side are one more unit), longer ones as overlapping windows.  The kernel counts common subsequences of
+four letters that span at most six, each weighted by DECAY for every letter it skips and divided by both strings' norms
+(a string's kernel with itself is 1), so an insult with
 gaps or inserted letters stays near the insult.  With landmarks l and the normalised kernel k, a string's
 features are k(s, L) K_LL^(-1/2); a squared-hinge linear machine on them scores
 
@@ -31,7 +32,11 @@ WINDOW, STEP = 16, 8
 LANDMARKS = 256
 #: At most so many labelled documents of either kind, of at most so many bytes, are learnt from.
 TRAINING_ROWS, TRAINING_BYTES = 1500, 16_384
-ROUNDS, COST = 3, 4.0
+ROUNDS, COST = 5, 4.0
+#: What the worst-scored units of clean texts weigh against others, and clean units in all against toxic ones.
+HARD, CAUTION = 5.0, 4.0
+#: Toxic texts that a positive string has to be in, by how many there are at least.
+SUPPORT = ((3, 100), (2, 20))
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
@@ -40,8 +45,6 @@ _CODE[128:192] = 37 + np.arange(64) % 27
 #: Slots for subsequences: four 6-bit letters, hashed.
 SLOTS = 1 << 21
 _SHAPES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
-#: The norm of a string of each length, all its subsequences taken as different.
-_NORM = np.sqrt([max(1e-9, sum(max(0, n - s[-1]) * DECAY ** (2 * (s[-1] + 1 - LENGTH)) for s in _SHAPES)) for n in range(WINDOW + 1)])
 
 
 def units(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +70,9 @@ def units(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     # a word of one letter before or after joins too: with and without it
     for skip, drop in ((1, 1), (0, 1), (1, 2)):
         start, text, size = (np.concatenate(x) for x in ((start, start[: len(joined)][joined] + skip), (text, text[: len(joined)][joined]), (size, size[: len(joined)][joined] - drop)))
+    # two short pieces side by side may be one word: both together are one more unit
+    pair = np.flatnonzero((text[1 : len(joined)] == text[: len(joined) - 1]) & (np.maximum(size[1 : len(joined)], size[: len(joined) - 1]) < LENGTH))
+    start, text, size = (np.concatenate(x) for x in ((start, start[pair]), (text, text[pair]), (size, size[pair] + size[pair + 1])))
     long = size > WINDOW
     if long.any():
         pieces = np.where(long, -(-(size - WINDOW) // STEP) + 1, 1)
@@ -94,16 +100,29 @@ def subsequences(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> It
 
 
 #: Strings whose subsequences are listed at a time.
-STRINGS = 32_768
+STRINGS = 16_384
+
+
+def _norms(parts: list[tuple[np.ndarray, np.ndarray, float]], n: int) -> np.ndarray:
+    """Each string's norm: its own kernel with itself, equal subsequences added up first."""
+    key = np.concatenate([own << 21 | code for own, code, _ in parts]) if parts else np.zeros(0, np.int64)
+    weight = np.concatenate([np.full(len(own), w) for own, _, w in parts]) if parts else np.zeros(0)
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], weight[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weight, first) if len(first) else weight
+    return np.sqrt(np.maximum(np.bincount(key[first] >> 21, weights=sums * sums, minlength=n), 1e-9))
 
 
 def scores(weights: np.ndarray, bias: float, letters, start, size) -> np.ndarray:
     out = np.zeros(len(size))
     for at in range(0, len(size), STRINGS):
         some = slice(at, at + STRINGS)
-        for own, code, weight in subsequences(letters, start[some], size[some]):
+        parts = list(subsequences(letters, start[some], size[some]))
+        for own, code, weight in parts:
             out[some] += weight * np.bincount(own, weights=weights[code], minlength=len(size[some]))
-    return out / _NORM[size] + bias
+        out[some] /= _norms(parts, len(size[some]))
+    return out + bias
 
 
 class Strings:
@@ -115,6 +134,10 @@ class Strings:
     def __len__(self):
         return len(self.size)
 
+    def norms(self) -> np.ndarray:
+        parts = [_norms(list(subsequences(self.letters, self.start[at : at + STRINGS], self.size[at : at + STRINGS])), len(self.size[at : at + STRINGS])) for at in range(0, len(self), STRINGS)]
+        return np.concatenate([np.zeros(0), *parts])
+
     def take(self, rows) -> Strings:
         return Strings(self.letters, self.start[rows], self.size[rows])
 
@@ -138,7 +161,7 @@ class Strings:
                     edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
                     part[rows[edge]] += np.add.reduceat(sums, edge, axis=0)
             out[at : at + len(some)] = part
-        return out / _NORM[self.size][:, None] / _NORM[landmarks.size][None, :]
+        return out / self.norms()[:, None] / landmarks.norms()[None, :]
 
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -225,9 +248,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
                 np.add.at(seen[kind], code, np.float32(weight) * often[kind][at + own])
     odds = np.log((seen[1] + 1) / (seen[0] * np.float32(len(toxic_texts) / len(clean_texts)) + 1))
     del seen, often
-    found = scores(odds, 0.0, pool.letters, pool.start, pool.size) / _NORM[pool.size]
+    found = scores(odds, 0.0, pool.letters, pool.start, pool.size) / pool.norms()
     worst = lambda n: _worst(text, unit, found, n)
     frequent = np.bincount(unit, minlength=len(pool))
+    support = next((k for k, n in SUPPORT if len(toxic_texts) >= n), 1)
     machine = None
     for turn in range(ROUNDS):
         top_text, top_unit = worst(3 if turn == 0 else 2)
@@ -237,6 +261,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
         in_clean = np.zeros(len(pool), bool)
         in_clean[unit[y[text] == 0]] = True
         positive = positive[~in_clean[positive]] if (~in_clean[positive]).any() else positive
+        # what only a text or two have says little about them: labels are wrong now and then
+        often = frequent[positive] >= support
+        positive = positive[often] if often.any() else positive
         clean = np.flatnonzero(in_clean)
         clean = clean[~np.isin(clean, positive)]
         hard = np.unique(top_unit[~is_toxic])
@@ -253,13 +280,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 8) -> Model:
         often = np.minimum(frequent[rows], 50).astype(float)
         x = pool.take(rows).kernel(landmarks).astype(float) @ whiten
         sign = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        for kind in (1, -1):
-            often[sign == kind] *= len(sign) / 2 / often[sign == kind].sum()
+        often[np.isin(rows, hard) & (sign < 0)] *= HARD
+        for kind, share in ((1, 1.0), (-1, CAUTION)):
+            often[sign == kind] *= share * len(sign) / 2 / often[sign == kind].sum()
         w = _linear_svm(x, sign, often)
         alpha, bias = whiten @ w[:-1], float(w[-1])
-        table = np.zeros(SLOTS)
+        table, norms = np.zeros(SLOTS), landmarks.norms()
         for own, code, weight in subsequences(landmarks.letters, landmarks.start, landmarks.size):
-            np.add.at(table, code, weight * (alpha / _NORM[landmarks.size])[own])
+            np.add.at(table, code, weight * (alpha / norms)[own])
         machine = table, bias
         found = scores(table, bias, pool.letters, pool.start, pool.size)
     table, bias = machine
@@ -310,25 +338,26 @@ def _score(model: Model):
     return run
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The bounded sample: of each label the ``rows`` documents whose ids have the smallest hashes."""
+def training_rows(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, longest: int = TRAINING_BYTES) -> DataFrame:
+    """The bounded sample: of each label the ``rows`` documents, of ``longest`` bytes at most, whose ids have the smallest hashes."""
     named = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fits = documents.filter(F.octet_length("text") <= TRAINING_BYTES).select("doc_id", "text")
-    some = [named.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows) for kind in (0, 1)]
+    fits = documents.filter(F.octet_length("text") <= longest).select("doc_id", "text")
+    known = fits.select("doc_id").distinct().join(named, "doc_id")
+    some = [known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for kind in (0, 1)]
     found = fits.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
     return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, training_documents: DataFrame | None = None, rows: int = TRAINING_ROWS) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, training_documents: DataFrame | None = None, rows: int = TRAINING_ROWS, longest: int = TRAINING_BYTES) -> DataFrame:
     """doc_id and score (0 to 1, higher: toxic likelier) of every text.
 
     The model is learnt from ``labels`` (doc_id, toxic) and their texts in ``training_documents`` (by default
-    ``documents``): at most ``rows`` of either label.  A document labelled twice counts as toxic if once so
+    ``documents``): at most ``rows`` of either label, of ``longest`` bytes at most.  A document labelled twice counts as toxic if once so
     labelled; null labels, ids and texts aren't learnt from.  Null and empty texts are scored as texts without
     a suspicious unit, null ids stay null, repeated rows are scored each, an empty table gives no rows, other
     columns are ignored; with labels of one kind only, every score is the same.
     """
-    sample = training_rows(documents if training_documents is None else training_documents, labels, rows).toPandas()
+    sample = training_rows(documents if training_documents is None else training_documents, labels, rows, longest).toPandas()
     sample = sample.sort_values("doc_id")
     kinds = [sample[sample.toxic == kind].head(rows) for kind in (0, 1)]
     model = fit([t for k in kinds for t in k.text], [int(t) for k in kinds for t in k.toxic])

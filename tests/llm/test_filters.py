@@ -1,8 +1,10 @@
 """Decontamination, toxicity and WARC derivatives."""
 
+import math
 import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pyarrow as pa
 import pytest
@@ -215,21 +217,45 @@ def test_toxicity_of_unpleasant_rows(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_kernel_is_the_folded_sum():
+def slow_features(word):
+    """Weights of a word's subsequences of four letters within six, by plain enumeration; the norm is theirs."""
+    out = Counter()
+    for places in combinations(range(len(word)), toxicity.LENGTH):
+        if (span := places[-1] - places[0] + 1) <= toxicity.SPAN:
+            out["".join(word[p] for p in places)] += toxicity.DECAY ** (span - toxicity.LENGTH)
+    return out
+
+
+def test_kernel_matches_plain_enumeration():
     import numpy as np
     from tessera.llm.blocks import text_buffers
 
-    letters, start, size, _ = toxicity.units(*text_buffers(pa.array(["idiot idxiot moron thereof", "a b c d e"])))
+    words = ["idiot", "idxiot", "moron", "thereof", "banana", "mississippi", "aaaaaaaa"]
+    letters, start, size, _ = toxicity.units(*text_buffers(pa.array([" ".join(words)])))
     pool = toxicity.Strings(letters, start, size)
-    gram = pool.kernel(pool)
-    assert np.allclose(gram, gram.T, atol=1e-6) and np.linalg.eigvalsh(gram.astype(float)).min() > -1e-5
-    assert gram[0, 1] > gram[0, 2] and len(pool) == 7  # letters written apart are one string, also without the first, the last
-    alpha, table = np.array([1.0, -0.5, 0.25, 0.0, 2.0, 1.5, -1.0]), np.zeros(toxicity.SLOTS)
+    gram, plain = pool.kernel(pool), [slow_features(w) for w in words]
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+    want = [[dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) for y in plain] for x in plain]
+    assert np.allclose(gram, want, atol=1e-5) and np.allclose(np.diag(gram), 1.0, atol=1e-5)
+    assert np.linalg.eigvalsh(gram.astype(float)).min() > -1e-5 and gram[0, 1] > gram[0, 2]
+    # the sum over landmarks folds into one weight for each subsequence
+    alpha, table, norms = np.array([1.0, -0.5, 0.25, 0.0, 2.0, 1.5, -1.0]), np.zeros(toxicity.SLOTS), pool.norms()
     for own, code, weight in toxicity.subsequences(letters, start, size):
-        np.add.at(table, code, weight * (alpha / toxicity._NORM[size])[own])
+        np.add.at(table, code, weight * (alpha / norms)[own])
     assert np.allclose(toxicity.scores(table, 0.0, letters, start, size), gram @ alpha, atol=1e-5)
 
 
+def test_units():
+    from tessera.llm.blocks import text_buffers
+
+    def units(text):
+        letters, start, size, _ = toxicity.units(*text_buffers(pa.array([text])))
+        return sorted("".join(chr(96 + c) for c in letters[a : a + n]) for a, n in zip(start, size))
+
+    assert units("You i.d.i.o.t") == ["idiot"] and units("id iot") == ["idiot"] and units("the clown") == ["clown"]
+    assert units("a b c d e") == ["abcd", "abcde", "bcde"]  # written apart: one string, also without the first, the last
+
+
 PAGE = '<!DOCTYPE html><html lang="fr"><head><title>A &amp; B</title><style>p{}</style></head><body><!-- x --><p>One<br>two &lt;3 <b>bold</b></p><script>var t="</p>";</script><a href="/x?a=1&amp;b=2">link</a><a href="/x?a=1&amp;b=2">again</a></body></html>'
 
 
