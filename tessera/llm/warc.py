@@ -8,6 +8,7 @@ response gives the same derivatives whenever and wherever a task runs.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import re
@@ -105,9 +106,19 @@ def derivatives(pages: DataFrame, source_columns: dict[str, str] | None = None)
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *kept).mapInArrow(_derive, RECORDS)
 
 
+def _one_line(value):
+    """A header's value: line ends percent-encoded and other control characters gone, so none can start a header of its own."""
+    value = F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.regexp_replace(value, r"[\x00-\x1F\x7F]", "")
+
+
 def serialise(records: DataFrame) -> DataFrame:
-    """Each record as WARC text without the two newlines that end it: column ``value``."""
-    line = lambda name, value: F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")))
+    """Each record as WARC text without the two newlines that end it: column ``value``.
+
+    Nulls are left out as headers and empty as blocks; control characters never reach a header; repeated records
+    are written each; an empty table gives no rows; other columns are ignored.
+    """
+    line = lambda name, value: F.when(value.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), _one_line(value), F.lit("\r\n")))
     return records.select(
         F.concat(
             F.lit("WARC/1.1\r\n"),
@@ -122,36 +133,100 @@ def serialise(records: DataFrame) -> DataFrame:
             line("Content-Type", F.col("content_type")),
             line("Content-Length", F.col("content_length").cast("string")),
             F.lit("\r\n"),
-            F.col("block"),
+            F.coalesce("block", F.lit("")),
         ).alias("value")
     )
 
 
 def write(records: DataFrame, path: str) -> None:
-    """WARC files: a record ends with two newlines, which is what separates the sink's rows."""
+    """WARC files: a record ends with two newlines, which is what separates the sink's rows.
+
+    What :func:`serialise` says of nulls, repeats and empty tables holds; a folder that is there is replaced.
+    """
     serialise(records).write.mode("overwrite").option("lineSep", "\r\n\r\n").text(path)
 
 
 def parse(body: bytes):
-    """(headers, block) of every record of a file."""
+    """(headers, block) of every record of a file, gzipped as a whole or record by record, or not at all.
+
+    Lengths alone say where a record ends; a file that isn't of whole records, each with its length, raises.
+    """
+    if body[:2] == b"\x1f\x8b":
+        body = gzip.decompress(body)
     at = 0
-    while (at := body.find(b"WARC/", at)) >= 0:
-        end = body.find(b"\r\n\r\n", at)
-        if end < 0:
+    while True:
+        while body[at : at + 2] == b"\r\n":
+            at += 2
+        if at >= len(body):
             return
-        headers = dict(line.split(": ", 1) for line in body[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-        size = int(headers.get("Content-Length", 0))
-        yield headers, body[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        end = body.find(b"\r\n\r\n", at)
+        if end < 0 or body[at : at + 5] != b"WARC/":
+            raise ValueError(f"no record at byte {at}")
+        lines = [line.split(":", 1) for line in body[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line]
+        headers = {name.strip(): value.strip() for name, value in lines}
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        if not length.isdigit() or end + 4 + int(length) > len(body):
+            raise ValueError(f"no whole record at byte {at}")
+        at = end + 4 + int(length)
+        yield headers, body[end + 4 : at]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files: headers (map) and block (binary)."""
+    """The records of WARC files, gzipped or not: headers (map) and block (binary).
+
+    A file is one row of Spark's binary source, hence of less than 2 GB; a folder without files gives no rows, repeated
+    records are rows each, and a broken file raises (see :func:`parse`).
+    """
 
     def run(batches):
         for batch in batches:
             for body in batch.column("content"):
                 found = list(parse(body.as_py()))
+                if not found:
+                    continue
                 yield pa.record_batch([pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())], names=["headers", "block"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "headers map<string,string>, block binary")
+
+
+_RESPONSE = "page_id long, url string, html string, date string, record_id string, headers string, digest string"
+_RESPONSES = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _RESPONSE.split(", ")])
+
+
+def _page(headers: dict[str, str], block: bytes) -> tuple:
+    """A response record as a page with its own date, id, HTTP headers and payload digest."""
+    named = {k.lower(): v for k, v in headers.items()}
+    head, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    text = head.decode("iso-8859-1")
+    stated = re.search(r"charset\s*=\s*\"?([\w-]+)", text, re.I) or _CHARSET.search(body[:65_536].decode("ascii", "replace"))
+    try:
+        page = body.decode(stated[1] if stated else "utf-8", "replace")
+    except LookupError:  # a charset that nobody knows
+        page = body.decode("utf-8", "replace")
+    digest = named.get("warc-payload-digest") or sha1(body)
+    return None, named.get("warc-target-uri"), page, named.get("warc-date"), named.get("warc-record-id"), text + "\r\n" if text else None, digest
+
+
+def responses(records: DataFrame) -> DataFrame:
+    """The response records of :func:`read` as pages, with the columns that :func:`derivatives` keeps.
+
+    Other kinds of records are left out; a null block is an empty page; absent headers are null.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for headers, block in zip(batch.column("headers").to_pylist(), batch.column("block").to_pylist()):
+                headers = dict(headers or [])
+                if next((v for k, v in headers.items() if k.lower() == "warc-type"), "") == "response":
+                    rows.append(_page(headers, block or b""))
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _RESPONSES)], schema=_RESPONSES)
+
+    return records.mapInArrow(run, _RESPONSE)
+
+
+def derive_files(spark: SparkSession, source: str, target: str) -> None:
+    """Derivatives of all responses in WARC files, written as WARC files."""
+    own = {c: c for c in ("date", "record_id", "headers", "digest")}
+    write(derivatives(responses(read(spark, source)), own), target)

@@ -1,9 +1,11 @@
 """Decontamination, toxicity and WARC derivatives."""
 
+import gzip
 import math
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import combinations
 
 import pyarrow as pa
@@ -292,3 +294,78 @@ def test_own_headers_are_kept(spark):
 @pytest.mark.parametrize("page", ["", "<", "<p", "&#xZZ;", "<!--", "<a href=", "\n\n"])
 def test_broken_pages(page):
     assert isinstance(warc.plain_text(page), str) and isinstance(warc.describe(page), str)
+
+
+class Reader(HTMLParser):
+    """The text of a well-formed page, by the standard parser."""
+
+    BLOCKS = set("article br div h1 h2 li p section table td tr ul".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("head", "script", "style")
+        self.parts.append("\n" if tag in self.BLOCKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("head", "script", "style")
+        self.parts.append("\n" if tag in self.BLOCKS or tag == "head" else " " if tag in ("script", "style") else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data.replace("\n", " "))
+
+    def text(self):
+        lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", line).strip(" ") for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def test_plain_text_agrees_with_a_parser():
+    rnd = random.Random(4)
+
+    def piece(depth):
+        if depth == 0 or rnd.random() < 0.3:
+            return rnd.choice(["word", "a &amp; b", "x &lt; y", "two  blanks", "line\nend", "é漢", "&#233;&nbsp;z"]) + rnd.choice(["", " "])
+        tag = rnd.choice("div p b i li section h1 span".split())
+        return f"<{tag}>" + "".join(piece(depth - 1) for _ in range(rnd.randint(0, 3))) + f"</{tag}>" + rnd.choice(["", "<br>", "<script>if (a < b) { c() }</script>", "<style>p { x: y }</style>"])
+
+    for n in range(300):
+        head = " " * rnd.choice([0, 6000]) + "<head><title>T</title></head>" if n % 2 else ""
+        page = f"<html>{head}<body>" + "".join(piece(4) for _ in range(3)) + "</body></html>"
+        reader = Reader()
+        reader.feed(page)
+        assert warc.plain_text(page) == reader.text(), page
+
+
+def test_from_files_to_files(spark, tmp_path):
+    page = PAGE.replace("é", "e")
+
+    def record(kind, uri, block, extra=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri[-1]}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 404 Not Found\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n" + page.encode() + b" caf\xe9 WARC/1.0 inside"
+    parts = [record("warcinfo", "http://a/0", b"x: y"), record("response", "http://a/1", http, "WARC-Payload-Digest: sha1:ABC\r\n"), record("request", "http://a/2", b"GET /"), record("response", "http://a/3", b"")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "in/b.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    assert len(list(warc.parse(b"".join(parts)))) == 4
+    warc.derive_files(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    found = [(r["headers"], r["block"].decode()) for r in warc.read(spark, str(tmp_path / "out/part-*")).collect()]
+    assert len(found) == 8  # two responses in each of two files, two derivatives of each
+    first = [(h, b) for h, b in found if h["WARC-Refers-To"] == "<urn:uuid:1>" and h["WARC-Type"] == "conversion"]
+    assert len(first) == 2 and all(b.endswith("café WARC/1.0 inside") for _, b in first)
+    header = first[0][0]
+    assert header["WARC-Source-Payload-Digest"] == "sha1:ABC" and header["WARC-Date"] == "2024-05-06T07:08:09Z" and "404 Not Found" in header["WARC-Source-HTTP-Headers"]
+    assert all(int(h["Content-Length"]) == len(b.encode()) and h["WARC-Block-Digest"] == warc.sha1(b.encode()) for h, b in found)
+    for broken in (b"".join(parts)[:-20], b"junk", b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
+def test_no_header_is_injected(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nX-Evil: 1\x00\n", "<p>x</p>")], "page_id long, url string, html string")
+    for r in warc.serialise(warc.derivatives(pages)).collect():
+        (headers, _), = warc.parse(r["value"].encode())
+        assert "X-Evil" not in headers and headers["WARC-Target-URI"] == "http://a/%0D%0AX-Evil: 1%0A"
