@@ -411,10 +411,12 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     base = cut(docs.mapInArrow(B.tidy(_sketches(shingle_words)), "doc_id long, text_key long, n_shingles long, key_a long, key_b long, tokens binary"))
-    # a vertex is a distinct set, named by its first key, with the row that represents it
+    # a vertex is a distinct set (of one size and 128-bit hash), numbered, with the row that represents it
     linkable = base.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    vertices = linkable.groupBy(F.col("key_a").alias("vertex")).agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("tokens").alias("tokens"))
-    vertices = cut(vertices.select("vertex", "row.doc_id", "row.text_key", "tokens").mapInArrow(B.tidy(_narrow), "vertex long, doc_id long, text_key long, tokens binary, sketch binary"))
+    same = ["key_a", "key_b", "n_shingles"]
+    vertices = linkable.groupBy(*same).agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("tokens").alias("tokens"))
+    vertices = vertices.select(F.monotonically_increasing_id().alias("vertex"), *same, "row.doc_id", "row.text_key", "tokens")
+    vertices = cut(vertices.mapInArrow(B.tidy(_narrow), "vertex long, key_a long, key_b long, n_shingles long, doc_id long, text_key long, tokens binary, sketch binary"))
     candidates = connected_components(_proposed(vertices, least_agreement(percent / 100)), contracted=True)
     members = candidates.select(F.col("component").alias("grp"), F.col("node").alias("vertex"))
     members = cut(members.join(vertices.select("vertex", "doc_id", "text_key"), "vertex"))
@@ -434,8 +436,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 5, percent: int =
     found = cut(connected_components(links, contracted=True).withColumnRenamed("node", "vertex").join(vertices.select("vertex", "doc_id"), "vertex"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = found.join(least, "component").select("vertex", "component_id")
-    named = vertices.select("vertex", "doc_id").join(named, "vertex", "left").select(F.col("vertex").alias("key_a"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = base.select("doc_id", "key_a", "n_shingles").join(named, "key_a", "left")
+    named = vertices.select("vertex", "doc_id", *same).join(named, "vertex", "left").select(*same, F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = base.select("doc_id", *same).join(named, same, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
