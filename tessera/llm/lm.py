@@ -43,8 +43,8 @@ class Grams:
         self.starts, self.lengths = starts, lengths
         self.end = end = int(np.searchsorted(types, END))
         #: For each order: sorted hashes of the n-grams, and for each token the n-gram ending there (-1: none).
-        self.hashes, self.at = [types], [ids.astype(np.int64)]
-        before = np.empty(len(ids), np.int64)
+        self.hashes, self.at = [types], [ids.astype(np.int32)]
+        before = np.empty(len(ids), np.int32)
         if len(ids):
             before[0], before[1:] = end, ids[:-1]
             before[starts] = end  # a text begins in the state after an end
@@ -52,17 +52,18 @@ class Grams:
         self.context = [None, before]
         for n in range(2, order + 1):
             if n > 2:
-                before = np.concatenate(([-1], self.at[-1][:-1]))
+                before = np.concatenate((np.full(1, -1, np.int32), self.at[-1][:-1]))
                 before[self.place < n - 2] = -1
                 self.context.append(before)
             valid = before >= 0
-            pairs, inverse = np.unique(before[valid] * len(types) + ids[valid], return_inverse=True)
+            pairs, inverse = np.unique(before[valid].astype(np.int64) * len(types) + ids[valid], return_inverse=True)
             found = B.chain(self.hashes[-1][pairs // max(len(types), 1)], types[pairs % max(len(types), 1)]) if len(pairs) else np.zeros(0, np.uint64)
             by = np.argsort(found, kind="stable")
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            here = np.full(len(ids), -1, np.int64)
+            here = np.full(len(ids), -1, np.int32)
             here[valid] = rank[inverse]
+            del pairs, inverse, rank, valid
             self.hashes.append(found[by])
             self.at.append(here)
 
@@ -104,7 +105,7 @@ def _blocks(train: str):
 
 def _open(payload: bytes):
     doc, known, train, lengths, types, ids = B.unpack(payload)
-    return doc, known.astype(bool), train.astype(bool), lengths.astype(np.int64), B.undeltas(types), ids.astype(np.int64)
+    return doc, known.astype(bool), train.astype(bool), lengths.astype(np.int64), B.undeltas(types), ids.astype(np.int32)
 
 
 def _ask(order: int):
@@ -159,7 +160,7 @@ class BackoffAutomaton:
         for n in range(1, self.order):
             k, here = concentration[n - 1], grams.at[n]
             at = np.flatnonzero(here >= 0)
-            context, shorter = np.zeros(len(counts[n]), np.int64), np.zeros(len(counts[n]), np.int64)
+            context, shorter = np.zeros(len(counts[n]), np.int32), np.zeros(len(counts[n]), np.int32)
             context[here[at]], shorter[here[at]] = grams.context[n][at], grams.at[n - 1][at]
             whole = counts[n - 1][context] + k if len(context) else np.zeros(0)
             self.arc.append(np.log10((counts[n] + k * 10.0 ** self.arc[n - 1][shorter]) / whole) if len(context) else whole)
