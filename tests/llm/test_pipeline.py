@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera.llm import blocks, queries
@@ -58,5 +59,5 @@ def test_registered_queries_run(spark, data, name):
         for table in ("documents", "embeddings"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
         want = con.execute(queries.ORACLE_SQL[name]).df()
-        rows = lambda frame: sorted(tuple(x if isinstance(x, str) else int(x) for x in r) for r in frame[list(found.columns)].itertuples(index=False))
+        rows = lambda frame: sorted(tuple(x if isinstance(x, str) else -1 if pd.isna(x) else int(x) for x in r) for r in frame[list(found.columns)].itertuples(index=False))
         assert sorted(found.columns) == sorted(want.columns) and rows(found) == rows(want)
