@@ -68,7 +68,7 @@ class Grams:
             self.at.append(here)
 
 
-def _blocks(train: str):
+def _blocks(train: str, limit: int):
     def run(batches):
         ordinal = 0
         held: list = []
@@ -87,14 +87,14 @@ def _blocks(train: str):
             return pa.record_batch({"block": pa.array([B.block_key(ordinal, payload)], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for whole in batches:
-            for batch in B.byte_slices(whole):
+            for batch in B.byte_slices(whole, limit=min(limit, B.SLICE_BYTES)):
                 body, at = B.text_buffers(batch.column("text"))
                 found, counts = B.words(body, at)
                 ends = np.cumsum(counts)
                 hashes = np.insert(found, ends, END)
                 held.append((batch.column("doc_id").cast(pa.int64()), np.asarray(batch.column(train).fill_null(False).to_numpy(zero_copy_only=False), bool), hashes, counts + 1))
                 size += len(body)
-                if size >= B.BLOCK_BYTES:
+                if size >= limit:
                     yield block()
                     held, size = [], 0
         if held:
@@ -254,19 +254,20 @@ def _finish(order: int, concentration: tuple[float, ...]):
     return finish
 
 
-def score(documents: DataFrame, train, order: int = ORDER, concentration: tuple[float, ...] = CONCENTRATION) -> DataFrame:
+def score(documents: DataFrame, train, order: int = ORDER, concentration: tuple[float, ...] = CONCENTRATION, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """Score every text with a model of the texts for which ``train`` (a boolean column) holds.
 
     A null text is empty (one end token), a null id stays null, repeated rows count and are scored each,
     an empty table gives no rows, columns other than doc_id and text are ignored, and a null ``train``
     leaves the row out of training.  Without training texts every token is equally likely.  ``concentration`` has
-    K for orders 2, 3 and so on; its last one holds for all further orders.
+    K for orders 2, 3 and so on; its last one holds for all further orders.  ``block_bytes`` of text make a block of the
+    exchange: it changes no result, only how many blocks there are and how much memory each takes.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
     concentration = tuple(concentration[min(n, len(concentration) - 1)] for n in range(order - 1))
     docs = documents.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    payloads = docs.mapInArrow(B.tidy(_blocks("train")), "block long, payload binary")
+    payloads = docs.mapInArrow(B.tidy(_blocks("train", block_bytes)), "block long, payload binary")
     return B.block_exchange(payloads, _ask(order), _answer(order), _finish(order, concentration), SCORES, _ARROW)
 
 

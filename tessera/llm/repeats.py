@@ -336,7 +336,7 @@ def _merged(length: int, gram: int):
     return answer
 
 
-def _blocks(length: int, gram: int, extra: list[str]):
+def _blocks(length: int, gram: int, extra: list[str], limit: int):
     def run(batches):
         ordinal, held, size = 0, [], 0
 
@@ -357,12 +357,12 @@ def _blocks(length: int, gram: int, extra: list[str]):
             return pa.record_batch([pa.array([B.block_key(ordinal, payload)], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
         for whole in batches:
-            for batch in B.byte_slices(whole, limit=SLICE):
+            for batch in B.byte_slices(whole, limit=min(limit, SLICE)):
                 body, at = B.text_buffers(batch.column("text"))
                 others = batch.select(extra) if extra else None
                 held.append((batch.column("doc_id").cast(pa.int64()), body, at, *anchors(body, at, length, gram), others))
                 size += len(body) + 64 * batch.num_rows
-                if size >= BLOCK:
+                if size >= limit:
                     yield block()
                     held, size = [], 0
         if held:
@@ -436,19 +436,20 @@ def _digest(block: Block, gone: np.ndarray) -> pa.Table:
     return pa.table([pa.array(block.doc, mask=~block.known), *(pa.array(c) for c in columns)], schema=_DIGESTS)
 
 
-def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every text, cut at byte exactness.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere, in the same text or another,
     goes; matches don't cross texts and are judged on the input.  A null text is empty, texts shorter than ``length``
     are left whole, repeated rows are copies of each other and lose all that is long enough, a null id stays
-    null, an empty table gives no rows, and columns other than doc_id and text are ignored.
+    null, an empty table gives no rows, and columns other than doc_id and text are ignored.  ``block_bytes`` of text
+    make a block of the exchange: it changes no result, only how many blocks there are and how much memory each takes.
     """
-    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(length, gram, [])), "block long, payload binary")
+    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(length, gram, [], block_bytes)), "block long, payload binary")
     return _exchange(payloads, length, gram, hot, _digest, DIGESTS, _DIGESTS)
 
 
-def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block_bytes: int = BLOCK) -> DataFrame:
     """The documents with repeated strings cut out of ``text``, all other columns as they were.
 
     Like :func:`removals`, but a character goes only if all its bytes do, so texts stay valid; a null
@@ -465,5 +466,5 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
         others = pa.ipc.open_stream(block.extra).read_all()
         return others.append_column("text", pa.array(texts, pa.string())).select(columns).cast(arrow)
 
-    payloads = documents.mapInArrow(B.tidy(_blocks(length, gram, extra)), "block long, payload binary")
+    payloads = documents.mapInArrow(B.tidy(_blocks(length, gram, extra, block_bytes)), "block long, payload binary")
     return _exchange(payloads, length, gram, hot, finish, documents.schema, arrow)

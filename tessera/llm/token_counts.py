@@ -76,7 +76,7 @@ def _encode_strings(strings: list[bytes] | list[str]) -> tuple[bytes, np.ndarray
     return b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
 
 
-def _blocks(path: str):
+def _blocks(path: str, limit: int):
     def run(batches):
         tokenizer, special = _tokenizer(path)
         splitter = tokenizer.pre_tokenizer.pre_tokenize_str
@@ -131,7 +131,7 @@ def _blocks(path: str):
                 ids.append(np.array(own, np.int64))
                 lengths.append(len(own))
                 size += n_bytes[-1] + 64
-                if size >= B.BLOCK_BYTES:
+                if size >= limit:
                     yield block()
                     chunks, ids, lengths, docs, n_bytes, n_special, odd, size = Numbered(), [], [], [], [], [], [], 0
         if docs:
@@ -173,12 +173,13 @@ def _finish(payload: bytes, replies: list[bytes]) -> pa.Table:
     return pa.table([pa.array(doc, mask=~known.astype(bool)), pa.array(n_bytes.astype(np.int64)), pa.array(total)], schema=_ARROW)
 
 
-def token_counts(documents: DataFrame, tokenizer_path: str) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer_path: str, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every text, as the ``tokenizers`` file counts them.
 
     No begin, end or added tokens; special strings inside a text count one each, as is that library's
     default.  A null text is empty (0 and 0), a null id stays null, repeated rows are counted each, an
-    empty table gives no rows, and columns other than doc_id and text are ignored.
+    empty table gives no rows, and columns other than doc_id and text are ignored.  ``block_bytes`` of text make a
+    block of the exchange: it changes no result, only how many blocks there are and how much memory each takes.
     """
-    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(tokenizer_path)), "block long, payload binary")
+    payloads = documents.select("doc_id", "text").mapInArrow(B.tidy(_blocks(tokenizer_path, block_bytes)), "block long, payload binary")
     return B.block_exchange(payloads, _ask, _answer(tokenizer_path), _finish, SCHEMA, _ARROW)
