@@ -2,6 +2,7 @@ import random
 from collections import deque
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from tessera.operators import graph as G
@@ -114,3 +115,18 @@ def test_ego_collapse_and_path(spark, small):
 def test_degree(spark):
     got = {r["n"]: (r["degree"], r["centrality"]) for r in G.degree(links_of(spark, [("a", "b"), ("a", "c")])).collect()}
     assert got == {"a": (2, 1.0), "b": (1, 0.5), "c": (1, 0.5)}
+
+
+def test_betweenness_of_many_sources_at_a_time(spark):
+    """Sources go together level by level, in parts of any size; their tasks are not left to the size of their names."""
+    pick = random.Random(4)
+    pairs = sorted({tuple(sorted(pick.sample(range(40), 2))) for _ in range(60)})
+    names, start, near = G._adjacency([(f"n{a}", f"n{b}") for a, b in [*pairs, *[(b, a) for a, b in pairs[:9]]]])
+    whole = G._path_shares(start, near, np.arange(len(names)))
+    parts = sum(G._path_shares(start, near, np.arange(i, min(i + 3, len(names)))) for i in range(0, len(names), 3))
+    assert len(near) == 2 * len(pairs) and np.allclose(whole, parts)
+    found = G.betweenness(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string"))
+    assert f"Range (0, {len(names)}, step=1, splits=4)" in found._jdf.queryExecution().toString()
+    got = {r["n"]: r["betweenness"] for r in found.collect()}
+    assert np.allclose([got[n] for n in names], whole / ((len(names) - 1) * (len(names) - 2)))
+    assert G.betweenness(spark.createDataFrame([], "a string, b string")).collect() == []
