@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import similarity as S
 from tessera.functions import text as X
+from tessera.operators.components import cut
 
 LARGE_AMOUNT, RELEVANT = 50_000, 60.0
 
@@ -86,6 +87,18 @@ def lookup(tables: dict[str, DataFrame], resolved: dict[str, DataFrame], node: s
     return handlers[prefix](tables, rest) if prefix in handlers and rest else person(tables, resolved, node)
 
 
+def _reachable(term: str, c: Column) -> Column:
+    """Texts that share characters enough with the term to be RELEVANT, others null.
+
+    A likeness of r takes a common subsequence of at least r / (200 - r) of the shorter text.
+    """
+    shared = [F.least(F.lit(term.count(ch)), F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))) for ch in sorted(set(term))]
+    common = shared[0]
+    for n in shared[1:]:
+        common = common + n
+    return F.when(common * (200 - RELEVANT) >= F.least(F.length(c), F.lit(len(term))) * RELEVANT, c)
+
+
 def search(tables: dict[str, DataFrame], term: str, top: int = 50) -> tuple[DataFrame, int]:
     """The ``top`` most relevant persons, vehicles, accounts and phones, and how many there are."""
     term = term.strip().lower()
@@ -93,14 +106,16 @@ def search(tables: dict[str, DataFrame], term: str, top: int = 50) -> tuple[Data
         raise ValueError("nothing to search for")
 
     def best(*columns: Column) -> Column:
-        found = [F.coalesce(S.partial_udf(F.lit(term), F.lower(c)), F.lit(0.0)) for c in columns]
+        found = [F.coalesce(S.partial_udf(F.lit(term), _reachable(term, F.lower(c))), F.lit(0.0)) for c in columns]
         return F.greatest(*found) if len(found) > 1 else found[0]
 
+    # short rows take long to score, so their number of tasks is not left to their size
+    lots = int(tables["person"].sparkSession.conf.get("spark.sql.shuffle.partitions"))
     victims = tables["person"].filter("role = 'VICTIM' AND account_no IS NOT NULL").select("account_no").distinct()
-    people = tables["person"].filter("role <> 'VICTIM'").withColumn("latin", X.display_name("name"))
+    people = tables["person"].filter("role <> 'VICTIM'").select("id", "name", "alias", "phone", "address").repartition(lots, "id").withColumn("latin", X.display_name("name"))
     persons = people.select(F.lit("Person").alias("type"), "id", F.col("name").alias("label"), best(F.col("name"), F.col("latin"), F.col("alias"), F.col("phone"), F.col("address")).alias("relevance"), F.lit(0).alias("ord"))
     cars = tables["vehicle_reg"].select(F.lit("Vehicle").alias("type"), "id", F.col("reg_no").alias("label"), best(F.col("reg_no"), F.col("owner_name")).alias("relevance"), F.lit(1).alias("ord"))
-    held = tables["bank_txn"].join(victims, "account_no", "left_anti").select("account_no", "holder_name").distinct()
+    held = tables["bank_txn"].join(victims, "account_no", "left_anti").select("account_no", "holder_name").distinct().repartition(lots, "holder_name")
     accounts = held.select(F.lit("Account").alias("type"), F.concat(F.lit("ACCT:"), "account_no").alias("id"), F.col("account_no").alias("label"), best(F.col("account_no"), F.col("holder_name")).alias("relevance"), F.lit(2).alias("ord"))
     out = persons.unionByName(cars).unionByName(accounts)
     if "cdr" in tables:
@@ -109,7 +124,8 @@ def search(tables: dict[str, DataFrame], term: str, top: int = 50) -> tuple[Data
         out = out.unionByName(callers.select(F.lit("Phone").alias("type"), F.concat(F.lit("PH:"), "caller").alias("id"), F.col("caller").alias("label"), F.lit(80.0).alias("relevance"), F.lit(3).alias("ord")))
     found = out.filter(F.col("relevance") >= RELEVANT)
     by = Window.partitionBy("id").orderBy(F.desc("relevance"), "ord", "label")
-    unique = found.withColumn("place", F.row_number().over(by)).filter("place = 1").drop("place")
+    # worked out once for the listing and the number
+    unique = cut(found.withColumn("place", F.row_number().over(by)).filter("place = 1").drop("place"))
     return unique.orderBy(F.desc("relevance"), "ord", "id").drop("ord").limit(top), unique.count()
 
 

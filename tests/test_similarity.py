@@ -40,3 +40,21 @@ def test_udfs(spark):
     df = spark.createDataFrame([("a b", "b a"), (None, "x")], "x string, y string")
     assert [r[0] for r in df.select(S.token_set_udf("x", "y")).collect()] == [100.0, None]
     assert df.select(S.partial_udf(F.lit("b"), "y").alias("p")).first()["p"] == 100.0
+
+
+def test_search_scores_only_what_can_be_relevant(spark):
+    """No relevant text is left out, and most numbers never reach Python."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions.similarity import partial_ratio
+    from tessera.operators import lookup as L
+
+    pick = random.Random(2)
+    for term in ("supplier 12", "ab", "a", "zubin 98123 zubin"):
+        texts = ["".join(pick.choice(term + "xyz0") for _ in range(pick.randrange(0, 24))) for _ in range(400)]
+        kept = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L._reachable(term, F.col("t")).alias("r")).collect()
+        assert all(r["r"] == r["t"] for r in kept if partial_ratio(term, r["t"]) >= L.RELEVANT)
+    numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("t"))
+    assert numbers.filter(L._reachable("supplier 12", F.col("t")).isNotNull()).count() == 0
