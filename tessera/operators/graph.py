@@ -138,39 +138,69 @@ def owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return direct.unionByName(kyc.join(direct, "thing").select(F.col("account").alias("thing"), "person")).distinct()
 
 
-#: Persons of one thing whose pairs one task makes with all others of it.
-TOGETHER = 1000
+#: Persons of a thing in one row, and links that one task makes.
+TOGETHER, LINKS = 1000, 1_000_000
+KINDS = ["calls", "co-accused", "money", "shared account", "shared phone", "shared vehicle"]
 
 
-def _together(owned: DataFrame) -> DataFrame:
-    """Pairs a < b of the persons of each thing; a thing of many persons is dealt to several tasks."""
+def _lists(owned: DataFrame) -> DataFrame:
+    """thing, lot and who: the persons of each thing in lists of about TOGETHER."""
     lots = owned.groupBy("thing").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("lots"))
-    dealt = owned.join(lots, "thing")
-    left = dealt.select("thing", F.col("person").alias("a"), F.pmod(F.xxhash64("person"), F.col("lots")).cast("int").alias("lot"))
-    right = dealt.select("thing", F.col("person").alias("b"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    return left.join(right, ["thing", "lot"]).filter("a < b").drop("lot")
+    lot = F.pmod(F.xxhash64("person"), F.col("lots")).cast("int")
+    return cut(owned.join(lots, "thing").groupBy("thing", lot.alias("lot")).agg(F.collect_list("person").alias("who")))
+
+
+def _together(lists: DataFrame) -> DataFrame:
+    """Two lists ``us`` and ``them`` of one thing, each two once; ``within``: a list with itself."""
+    first = lists.select("thing", F.col("lot").alias("here"), F.col("who").alias("us"))
+    second = lists.select("thing", F.col("lot").alias("there"), F.col("who").alias("them"))
+    return first.join(second, "thing").filter("here <= there").withColumn("within", F.expr("here = there"))
+
+
+def _paired(lists: DataFrame, lots: int, *more: str) -> DataFrame:
+    """Pairs a < b of ``us`` and ``them``, in ``lots`` partitions by pair; lists are dealt first, so no task makes many more than LINKS."""
+    pairs = lists.repartition(lots, "us", "them").select(F.explode("us").alias("u"), "them", "within", *more).select("u", F.explode("them").alias("v"), "within", *more)
+    pairs = pairs.filter("u < v OR (u > v AND NOT within)")
+    return pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), *more).repartition(lots, "a", "b")
 
 
 def persons_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Undirected links a < b with weight, kinds, calls, amount and what they share."""
+    """Undirected links a < b with weight, kinds, calls, amount and what they share.
+
+    Persons stay in lists until the number of links is known, which sets the number of tasks; sums of a pair are of fixed size.
+    """
+    bit = lambda kind: 1 << KINDS.index(kind)
     own = owners(nodes, edges)
-    u, v = own.select(F.col("thing").alias("src"), F.col("person").alias("a")), own.select(F.col("thing").alias("dst"), F.col("person").alias("b"))
-    both = edges.filter(F.col("etype").isin("CALLED", "TRANSFERRED_TO")).join(u, "src").join(v, "dst")
-    calls = both.filter("etype = 'CALLED'").select("a", "b", F.lit("calls").alias("kind"), (F.least("count", F.lit(20)) / 4).alias("weight"), F.col("count").alias("calls"))
-    money = both.filter("etype = 'TRANSFERRED_TO'").select("a", "b", F.lit("money").alias("kind"), F.lit(3.0).alias("weight"), "amount")
+    lists = _lists(own)
+    met = edges.filter(F.col("etype").isin("CALLED", "TRANSFERRED_TO")).withColumn("called", F.col("etype") == "CALLED")
+    met = met.groupBy(F.least("src", "dst").alias("thing"), F.greatest("src", "dst").alias("other")).agg(
+        F.sum(F.when(F.col("called"), F.least("count", F.lit(20)) / 4).otherwise(3.0)).alias("weight"),
+        F.bit_or(F.when(F.col("called"), bit("calls")).otherwise(bit("money"))).alias("kinds"),
+        F.sum(F.when(F.col("called"), F.col("count"))).alias("calls"),
+        F.sum(F.when(~F.col("called"), F.col("amount"))).alias("amount"),
+    )
+    met = met.join(lists.select("thing", F.col("who").alias("us")), "thing").join(lists.select(F.col("thing").alias("other"), F.col("who").alias("them")), "other")
+    met = met.select("us", "them", F.lit(False).alias("within"), "weight", "kinds", "calls", "amount")
     accused = nodes.filter("type = 'Person' AND role = 'ACCUSED'").select(F.col("id").alias("person"))
     named = edges.filter("etype = 'NAMED_IN'").select(F.col("src").alias("person"), F.col("dst").alias("thing")).distinct().join(accused, "person")
-    co = _together(named).select("a", "b", F.lit("co-accused").alias("kind"), F.lit(4.0).alias("weight"))
-    things = nodes.filter(F.col("type").isin("Phone", "Vehicle", "Account")).select(F.col("id").alias("thing"), "type", "label")
-    shared = _together(own).join(things, "thing").select("a", "b", F.concat(F.lit("shared "), F.lower("type")).alias("kind"), F.lit(3.0).alias("weight"), F.col("label").alias("shared"))
-    links = calls.unionByName(money, True).unionByName(co, True).unionByName(shared, True).filter("a <> b")
-    return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.sum("weight").alias("weight"),
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
-        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("amount"),
-        F.array_sort(F.collect_list("shared")).alias("shared"),
+    co = _together(_lists(named)).select("us", "them", "within", F.lit(4.0).alias("weight"), F.lit(bit("co-accused")).alias("kinds"))
+    kind = F.when(F.col("type") == "Account", bit("shared account")).when(F.col("type") == "Phone", bit("shared phone")).otherwise(bit("shared vehicle"))
+    things = nodes.filter(F.col("type").isin("Phone", "Vehicle", "Account")).select(F.col("id").alias("thing"), kind.alias("kinds"), F.col("label").alias("shared"))
+    shared = _together(lists).join(things, "thing").select("us", "them", "within", F.lit(3.0).alias("weight"), "kinds", "shared")
+    dealt = cut(met.unionByName(co, True).unionByName(shared, True))
+    lots = -(-(dealt.agg(F.sum(F.size("us").cast("long") * F.size("them"))).first()[0] or 1) // LINKS)
+    links = _paired(dealt, lots, "weight", "kinds", "calls", "amount").groupBy("a", "b").agg(
+        F.sum("weight").alias("weight"), F.bit_or("kinds").alias("kinds"), F.sum("calls").alias("calls"), F.sum("amount").alias("amount")
     )
+    labels = _paired(dealt.filter("shared IS NOT NULL"), lots, "shared").groupBy("a", "b").agg(F.array_sort(F.collect_list("shared")).alias("shared"))
+    # both are dealt by pair already, and a task's share of labels is bounded by LINKS: no sort
+    return links.join(labels.hint("shuffle_hash"), ["a", "b"], "left").select(
+        "a", "b", "weight",
+        F.array_compact(F.array(*[F.when(F.col("kinds").bitwiseAND(bit(k)) != 0, k) for k in KINDS])).alias("kinds"),
+        F.coalesce("calls", F.lit(0)).alias("calls"),
+        F.coalesce("amount", F.lit(0.0)).alias("amount"),
+        F.coalesce("shared", F.array().cast("array<string>")).alias("shared"),
+    )
 
 
 def _both_ways(links: DataFrame, *more: str) -> DataFrame:

@@ -130,3 +130,52 @@ def test_betweenness_of_many_sources_at_a_time(spark):
     got = {r["n"]: r["betweenness"] for r in found.collect()}
     assert np.allclose([got[n] for n in names], whole / ((len(names) - 1) * (len(names) - 2)))
     assert G.betweenness(spark.createDataFrame([], "a string, b string")).collect() == []
+
+
+def test_links_of_persons_made_from_lists(spark, monkeypatch):
+    """Short lists and small tasks change no link; sums are of fixed size, and tasks follow the number of links."""
+    monkeypatch.setattr(G, "TOGETHER", 3)
+    monkeypatch.setattr(G, "LINKS", 40)
+    rnd = random.Random(3)
+    people, things = [f"P{i}" for i in range(30)], {"PH:1": "1", "PH:2": None, "ACCT:1": "a1", "ACCT:2": "a2", "VEH:1": "v1"}
+    kind = {"PH": "Phone", "AC": "Account", "VE": "Vehicle"}
+    role = {p: "ACCUSED" if i % 3 else "WITNESS" for i, p in enumerate(people)}
+    nodes = [(p, "Person", p, role[p]) for p in people] + [(t, kind[t[:2]], label, None) for t, label in things.items()]
+    own = {(t, p) for t in things for p in rnd.sample(people, rnd.choice([1, 4, 12]))}
+    own |= {("PH:1", p) for p in people[:20]}  # more than a list holds
+    named = {(p, f"FIR:{rnd.randrange(4)}") for p in people}
+    met = [(a, b, "CALLED", rnd.choice([1, 7, 30]), None) for a, b in (("PH:1", "PH:2"), ("PH:2", "PH:1"), ("PH:1", "PH:1"))]
+    met += [(a, b, "TRANSFERRED_TO", 2, rnd.randrange(1000) / 4) for a, b in (("ACCT:1", "ACCT:2"), ("ACCT:2", "ACCT:1"))]
+    edges = [(p, t, "OWNS", None, None) for t, p in own] + [(p, f, "NAMED_IN", None, None) for p, f in named] + met
+    want = {}
+
+    def link(p, q, weight, kind, calls=0, amount=0.0, shared=()):
+        if p != q:
+            at = want.setdefault((min(p, q), max(p, q)), [0.0, set(), 0, 0.0, []])
+            at[0], at[2], at[3] = at[0] + weight, at[2] + calls, at[3] + amount
+            at[1].add(kind)
+            at[4] += shared
+
+    of = lambda t: [p for u, p in own if u == t]
+    for a, b, etype, n, amount in met:
+        for p in of(a):
+            for q in of(b):
+                link(p, q, *((min(n, 20) / 4, "calls", n) if etype == "CALLED" else (3.0, "money", 0, amount)))
+    for t, label in things.items():
+        for p in of(t):
+            for q in of(t):
+                if p < q:
+                    link(p, q, 3.0, f"shared {kind[t[:2]].lower()}", shared=[label] if label else [])
+    for p, f in named:
+        for q, g in named:
+            if p < q and f == g and role[p] == role[q] == "ACCUSED":
+                link(p, q, 4.0, "co-accused")
+    found = G.persons_graph(
+        spark.createDataFrame(nodes, "id string, type string, label string, role string"),
+        spark.createDataFrame(edges, "src string, dst string, etype string, count long, amount double"),
+    )
+    got = {(r["a"], r["b"]): [r["weight"], r["kinds"], r["calls"], r["amount"], r["shared"]] for r in found.collect()}
+    assert got == {k: [w, sorted(kinds), calls, amount, sorted(shared)] for k, (w, kinds, calls, amount, shared) in want.items()}
+    assert "collect_set" not in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() >= len(want) // 40
+    none = G.persons_graph(spark.createDataFrame(nodes, "id string, type string, label string, role string"), spark.createDataFrame([], "src string, dst string, etype string, count long, amount double"))
+    assert none.count() == 0
