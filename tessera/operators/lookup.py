@@ -154,17 +154,28 @@ def with_verdicts(alerts: DataFrame, feedback: DataFrame) -> DataFrame:
     return alerts.join(last, "alert_id", "left").orderBy(F.desc("confidence"), "alert_id")
 
 
+#: Source ids that every task may hold, and of more, those that a task sorts the rows for.
+FEW, NAMED = 100_000, 25_000
+
+
 def alert_sources(alerts: DataFrame, tables: dict[str, DataFrame], each: int = 5) -> DataFrame:
-    """alert_id, source_id, table and record (JSON): up to ``each`` rows of every table a source id names."""
-    ids = alerts.select("alert_id", F.explode("source_ids").alias("source_id")).distinct()
-    out = None
+    """alert_id, source_id, table and record (JSON): up to ``each`` rows of every table a source id names.
+
+    Rows are chosen once for a source id, however many alerts name it.  A few ids first sift the tables; for many, all
+    rows are sorted by id, in tasks whose number grows with that of the ids.
+    """
+    ids = cut(alerts.select("alert_id", F.explode("source_ids").alias("source_id")).filter("source_id IS NOT NULL").distinct())
+    wanted = ids.select("source_id").distinct()
+    many = wanted.count()
+    lots, out = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // NAMED)), None
     for table, key in (("fir", "id"), ("cdr", "id"), ("bank_txn", "id"), ("bank_txn", "account_no")):
         if table not in tables:
             continue
-        rows = tables[table].withColumn("record", F.to_json(F.struct(*tables[table].columns)))
-        found = ids.join(rows.select(F.col(key).alias("source_id"), F.col("id").alias("row_id"), "record"), "source_id")
-        by = Window.partitionBy("alert_id", "source_id").orderBy("row_id")
-        found = found.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= each).select("alert_id", "source_id", F.lit(table).alias("table"), "row_id", "record")
+        rows = tables[table].select(F.col(key).alias("source_id"), F.col("id").alias("row_id"), F.struct(*tables[table].columns).alias("row")).filter("source_id IS NOT NULL")
+        rows = rows.join(F.broadcast(wanted), "source_id", "left_semi") if many <= FEW else rows.repartition(lots, "source_id")
+        by = Window.partitionBy("source_id").orderBy("row_id")
+        chosen = rows.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= each)
+        found = ids.join(chosen, "source_id").select("alert_id", "source_id", F.lit(table).alias("table"), "row_id", F.to_json("row").alias("record"))
         out = found if out is None else out.unionByName(found)
     return out
 

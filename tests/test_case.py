@@ -247,3 +247,27 @@ def test_synthetic_case(spark):
         alerts.setdefault(r["rule"], []).append(r["entities"])
     assert any(f"PH:{truth['device']}" in e for e in alerts["SHARED_DEVICE"]) and [f"PH:{truth['caller']}"] in alerts["CALL_BURST"]
     assert any(e == [f"ACCT:{a}" for a in truth["loop"]] for e in alerts["CIRCULAR_FLOW"]) and len(alerts["SERIAL_OFFENDER"]) >= synthetic.TWICE
+
+
+def test_alert_sources_of_few_and_many_ids(spark, monkeypatch):
+    """Rows are chosen once for each source id, in tasks that follow the number of ids; few ids or many give the same."""
+    calls = [(f"C{i}", i % 3) for i in range(20)]
+    bank = [(f"T{i:03d}", None if i % 7 == 0 else f"A{i % 4}") for i in range(60)] + [("T001", "A1")] * 2
+    named = {"x": ["A1", "C3", "A1", None], "y": ["A1", "A2", "T005"], "z": ["nothing"], "w": []}
+    tables = {"cdr": spark.createDataFrame(calls, "id string, n int"), "bank_txn": spark.createDataFrame(bank, "id string, account_no string")}
+    alerts = spark.createDataFrame(list(named.items()), "alert_id string, source_ids array<string>")
+    want = []
+    for alert, ids in named.items():
+        for s in set(ids) - {None}:
+            want += [(alert, s, "cdr", i) for i, _ in calls if i == s] + [(alert, s, "bank_txn", i) for i, _ in bank if i == s][:5]
+            want += [(alert, s, "bank_txn", i) for i in sorted(i for i, a in bank if a == s)[:5]]
+    for few in (100, 0):
+        monkeypatch.setattr(L, "FEW", few, raising=False)
+        monkeypatch.setattr(L, "NAMED", 1, raising=False)
+        found = L.alert_sources(alerts, tables)
+        rows = found.collect()
+        assert sorted((r["alert_id"], r["source_id"], r["table"], r["row_id"]) for r in rows) == sorted(want)
+        assert all(f'"id":"{r["row_id"]}"' in r["record"] for r in rows)
+        plan = found._jdf.queryExecution().toString()
+        assert "windowspecdefinition(source_id" in plan and "windowspecdefinition(alert_id" not in plan
+        assert few or ", 5), REPARTITION_BY_NUM" in plan
